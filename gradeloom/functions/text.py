@@ -46,6 +46,16 @@ def preview(text: Column, width: int = 55) -> Column:
     return F.left(F.regexp_replace(text, r"[\n\r]+", " "), F.lit(width))
 
 
+# Fixed value: the characters Python's str.strip() removes.
+BLANKS = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def is_blank(text: Column) -> Column:
     """NULL, empty or white space only."""
     return text.isNull() | text.rlike(r"(?U)\A[\s\x1c-\x1f]*\z")
@@ -66,8 +76,7 @@ def normalize_content(content: Column) -> Column:
     text = F.coalesce(_nfc(foreign), content)
     text = F.regexp_replace(text, r"\r\n?", "\n")
     space = r"[\s\x1c-\x1f&&[^\n]]"
-    text = F.regexp_replace(text, rf"(?U)(?<!{space}){space}++(?=\n|\z)", "")
-    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z", "")
+    return strip(F.regexp_replace(text, rf"(?U)(?<!{space}){space}++(?=\n|\z)", ""))
 
 
 def content_hash(content: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.functions.text import is_blank
+from gradeloom.functions.text import is_blank, strip
 
 
 def violations(df: DataFrame, keys: list[str], rules: list[tuple[str, Column]]) -> DataFrame:
@@ -99,11 +99,11 @@ def missing_calls(plan: DataFrame, results: DataFrame) -> DataFrame:
 def call_inputs(plan: DataFrame, system: str | Column) -> DataFrame:
     """Plan rows with the text sent to the model."""
     system = F.lit(system) if isinstance(system, str) else system
-    return plan.withColumn("call_text", F.concat(F.trim(system), F.lit("\n\n"), F.col("prompt")))
+    return plan.withColumn("call_text", F.concat(strip(system), F.lit("\n\n"), F.col("prompt")))
 
 
 def judge_inputs(results: DataFrame, rubric: str | Column) -> DataFrame:
     """Result rows with the text sent to the judge."""
     rubric = F.lit(rubric) if isinstance(rubric, str) else rubric
     return results.withColumn("judge_text", F.concat(
-        F.trim(rubric), F.lit("\n\nQ: "), F.col("question"), F.lit("\n\nR: "), F.col("response")))
+        strip(rubric), F.lit("\n\nQ: "), F.col("question"), F.lit("\n\nR: "), F.col("response")))

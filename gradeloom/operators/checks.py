@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom import schema
+from gradeloom.functions.text import strip
 from gradeloom.functions.verdict_json import is_object, let
 
 # Shape of one check of a case. ``values`` and ``pattern`` serve the text
-# checks, ``required`` and ``properties`` the flat JSON schema, ``score`` the
-# kinds that are scored elsewhere (code tests and judged checks).
+# checks, ``required`` and ``properties`` the flat JSON schema.
 CHECK = (
     "struct<kind:string, `values`:array<string>, pattern:string, required:array<string>, "
-    "properties:map<string,struct<type:string,pattern:string>>, score:double, "
+    "properties:map<string,struct<type:string,pattern:string>>, "
     "threshold:double, weight:double, case_sensitive:boolean>"
 )
 
@@ -32,7 +32,7 @@ _JSON_TYPES = {
 def _text_passed(response: Column, check: Column) -> Column:
     """exact, contains, not_contains and regex after trimming and case folding."""
     as_is = F.coalesce(check["case_sensitive"], F.lit(False))
-    fold = lambda t: F.when(as_is, F.trim(t)).otherwise(F.lower(F.trim(t)))
+    fold = lambda t: F.when(as_is, strip(t)).otherwise(F.lower(strip(t)))
     text = fold(response)
     has = lambda v: F.contains(text, fold(v))
     pattern = F.when(as_is, check["pattern"]).otherwise(F.concat(F.lit("(?iu)"), check["pattern"]))
@@ -41,7 +41,7 @@ def _text_passed(response: Column, check: Column) -> Column:
         F.when(kind == "exact", text == fold(F.get(check["values"], F.lit(0))))
         .when(kind == "contains", F.forall(check["values"], has))
         .when(kind == "not_contains", ~F.exists(check["values"], has))
-        .when(kind == "regex", F.regexp_like(F.trim(response), pattern))
+        .when(kind == "regex", F.regexp_like(strip(response), pattern))
     )
 
 
@@ -74,17 +74,22 @@ def _schema_passed(response: Column, check: Column) -> Column:
 def check_scores(responses: DataFrame, cases: DataFrame) -> DataFrame:
     """One row per response and check: score, threshold, weight and verdict.
 
-    ``cases``: (case_id, kind, category, checks ARRAY<CHECK>). A missing
-    response or score is a technical ERROR, a low score is a FAIL.
+    ``cases``: (case_id, kind, category, checks ARRAY<CHECK>). Code tests and
+    judged checks are scored elsewhere: their scores come with the response, as
+    ``outside_scores`` by check number. A missing response or score is a
+    technical ERROR, a low score is a FAIL.
     """
     spec = cases.select("case_id", F.col("kind").alias("case_kind"), "category", "checks")
     rows = responses.join(spec, "case_id").select("*", F.posexplode("checks").alias("check_no", "c")).drop("checks")
     c, response = F.col("c"), F.col("response")
     text_kinds = ["exact", "contains", "not_contains", "regex"]
+    outside = F.lit(None).cast("double")
+    if "outside_scores" in responses.columns:
+        outside = F.try_element_at(F.col("outside_scores"), F.col("check_no"))
     score = (
         F.when(c["kind"].isin(text_kinds), _text_passed(response, c).cast("double"))
         .when((c["kind"] == "json_schema") & response.isNotNull(), _schema_passed(response, c).cast("double"))
-        .when(response.isNotNull(), c["score"])
+        .when(response.isNotNull(), outside)
     )
     judged = c["kind"].isin(schema.JUDGED_CHECKS)
     threshold = F.coalesce(c["threshold"], F.when(judged, schema.JUDGED_THRESHOLD).otherwise(schema.DETERMINISTIC_THRESHOLD))
@@ -106,7 +111,7 @@ def case_verdicts(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.groupBy(*keys).agg(
         F.when(~error, F.try_divide(F.sum(F.col("score") * F.col("weight")), F.sum("weight"))).alias("score"),
         F.when(error, "ERROR").when(failed, "FAIL").otherwise("PASS").alias("verdict"),
-        F.first("case_kind").alias("case_kind"), F.first("category").alias("category"),
+        F.max("case_kind").alias("case_kind"), F.max("category").alias("category"),
     )
 
 

@@ -317,12 +317,12 @@ def newest_rows(spark, d):
         "id", "created_at", "model")
 
 
-@query("e05_nulls_last", """SELECT name, ctx, row_number() OVER (ORDER BY ctx DESC NULLS LAST, name) AS place
-    FROM (SELECT name, min(context_window) AS ctx FROM catalog GROUP BY name)""")
+@query("e05_nulls_last", """SELECT provider, name, ctx, row_number() OVER (PARTITION BY provider ORDER BY ctx DESC NULLS LAST, name) AS place
+    FROM (SELECT provider, name, min(context_window) AS ctx FROM catalog GROUP BY provider, name)""")
 def nulls_last(spark, d):
-    groups = bed.catalog(spark, d).groupBy("name").agg(F.min("context_window").alias("ctx"))
-    # One row per model name.
-    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("ctx"), "name")))
+    groups = bed.catalog(spark, d).groupBy("provider", "name").agg(F.min("context_window").alias("ctx"))
+    best_first = Window.partitionBy("provider").orderBy(F.desc_nulls_last("ctx"), "name")
+    return groups.withColumn("place", F.row_number().over(best_first))
 
 
 @query("e07_normalized_metrics", "SELECT run_id, model, metric, normalized FROM norms")

@@ -184,9 +184,12 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = D.shipped_profiles(spark)
     metrics = R.model_decision_metrics(results(spark, sf_dir), models(spark, sf_dir))
     ranked = D.rank_models(metrics, profiles)
-    reco = D.recommend(ranked).select("run_id", "profile", "confidence", "weighted_scores")
     number = "CASE profile WHEN 'economie' THEN 1 WHEN 'equilibre' THEN 2 WHEN 'etudiant' THEN 3 ELSE 4 END"
-    return ranked.where("rank <= 3").join(reco, ["run_id", "profile"]).selectExpr(
+    return D.recommend(ranked).select(
+        "*", F.posexplode("weighted_scores").alias("pos", "entry")
+    ).where("pos < 3").selectExpr(
+        "*", "pos + 1 AS rank", "entry.model AS model"
+    ).selectExpr(
         f"run_id * 100 + ({number}) * 10 + 4 - rank AS id",
         "model AS recommended_model", "confidence",
         "array('mean_judge_score', 'efficiency') AS determinant_metrics",
