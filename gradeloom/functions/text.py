@@ -30,13 +30,16 @@ def style_counts(response: Column) -> dict[str, Column]:
     return counts
 
 
-def failure_type(score: Column, reasoning: Column) -> Column:
-    """Triage label from the judge's wording; the first matching group wins."""
+def failure_type(score: Column, reasoning_lower: Column) -> Column:
+    """Triage label from the judge's lower-cased wording; the first match wins.
+
+    Lower-case the text in a step of its own: the keywords then share it.
+    """
     label = F.when(score.isNull(), NOT_JUDGED)
     for name, keywords in FAILURE_KEYWORDS:
         hit = F.lit(False)
         for word in keywords:
-            hit = hit | F.coalesce(reasoning.ilike(f"%{word}%"), F.lit(False))
+            hit = hit | F.contains(reasoning_lower, F.lit(word))
         label = label.when(hit, name)
     return label.otherwise(OTHER_FAILURE)
 
@@ -66,6 +69,10 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+# Keeps the optimizer from copying the call into pushed-down filters.
+_nfc = _nfc.asNondeterministic()
+
+
 def normalize_content(content: Column) -> Column:
     """NFC, LF line ends, no trailing blanks per line, trimmed as a whole.
 

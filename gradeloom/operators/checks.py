@@ -35,7 +35,8 @@ def _text_passed(response: Column, check: Column) -> Column:
     fold = lambda t: F.when(as_is, strip(t)).otherwise(F.lower(strip(t)))
     text = fold(response)
     has = lambda v: F.contains(text, fold(v))
-    pattern = F.when(as_is, check["pattern"]).otherwise(F.concat(F.lit("(?iu)"), check["pattern"]))
+    flags = F.when(as_is, "(?U)").otherwise("(?iU)")
+    pattern = F.concat(flags, check["pattern"])
     kind = check["kind"]
     return (
         F.when(kind == "exact", text == fold(F.get(check["values"], F.lit(0))))

@@ -50,8 +50,8 @@ def profile_fingerprints(profiles: DataFrame) -> DataFrame:
 
 # --- ranking -----------------------------------------------------------------
 
-def normalize_metrics(metrics: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Min-max scaled metrics as (keys, model, metric, normalized), 1 = best.
+def _scaled(metrics: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Metrics min-max scaled within a run and oriented so that 1 is best.
 
     NULL values and metrics without spread become 0.5. A window holds the
     models of one run, so its size is bounded by the catalogue.
@@ -64,26 +64,44 @@ def normalize_metrics(metrics: DataFrame, by: tuple[str, ...] = ("run_id",)) ->
         x = (v - lo) / F.nullif(hi - lo, F.lit(0.0))
         x = x if higher_better else 1.0 - x
         scaled.append(F.coalesce(x, F.lit(0.5)).alias(name))
-    wide = metrics.select(*by, "model", *scaled)
-    return wide.unpivot([*by, "model"], METRICS, "metric", "normalized")
+    return metrics.select(*by, "model", *scaled)
+
+
+def normalize_metrics(metrics: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Scaled metrics as rows (keys, model, metric, normalized)."""
+    return _scaled(metrics, by).unpivot([*by, "model"], METRICS, "metric", "normalized")
+
+
+def _weight_maps(profiles: DataFrame) -> Column:
+    """The positive weights of every profile, as one array (an entry per profile).
+
+    Unknown metrics and profiles without a positive weight are errors.
+    """
+    positive = F.col("weight") > 0
+    known = F.when(F.col("metric").isin(METRICS), F.col("metric")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown metric "), F.col("metric"))))
+    maps = profiles.groupBy("profile").agg(F.map_from_entries(
+        F.collect_list(F.when(positive, F.struct(known.alias("metric"), "weight")))).alias("w"))
+    checked = F.when(F.size("w") > 0, F.col("w")).otherwise(
+        F.raise_error(F.concat(F.lit("no positive weight in profile "), F.col("profile"))))
+    return maps.agg(F.collect_list(F.struct("profile", checked.alias("weights")))).scalar()
 
 
 def rank_models(metrics: DataFrame, profiles: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """Weighted score and rank of each model, per run and profile.
 
-    score = sum(weight * normalized) / sum(weight) over positive weights. Terms
-    are added in metric order, so the double result never depends on the
-    shuffle. Ranking keys all start with the run: one exchange serves the
-    scaling, the weighting and the ranking.
+    score = sum(weight * normalized) / sum(weight) over positive weights, added
+    in metric order, so the double result never depends on the shuffle. The
+    profiles ride along as one small array; every key starts with the run, so
+    the exchange of the scaling also serves the ranking.
     """
-    used = profiles.where("weight > 0")
-    terms = normalize_metrics(metrics, by).join(used, "metric").groupBy(*by, "profile", "model").agg(
-        F.array_sort(F.collect_list(F.struct("metric", "weight", "normalized"))).alias("_t")
-    )
-    add = lambda of: F.aggregate("_t", F.lit(0.0), lambda acc, t: acc + of(t))
-    score = add(lambda t: t["weight"] * t["normalized"]) / add(lambda t: t["weight"])
+    rows = _scaled(metrics, by).withColumn("_p", F.explode(_weight_maps(profiles)))
+    weight = lambda m: F.coalesce(F.try_element_at(F.col("_p.weights"), F.lit(m)), F.lit(0.0))
+    total, mass = F.lit(0.0), F.lit(0.0)
+    for m in sorted(METRICS):
+        total, mass = total + weight(m) * F.col(m), mass + weight(m)
     best_first = Window.partitionBy(*by, "profile").orderBy(F.desc("score"), "model")
-    return terms.select(*by, "profile", "model", score.alias("score")).withColumn(
+    return rows.select(*by, "_p.profile", "model", (total / mass).alias("score")).withColumn(
         "rank", F.row_number().over(best_first)
     )
 

@@ -291,10 +291,11 @@ def style_confound(results: DataFrame, models: DataFrame) -> DataFrame:
 
 def result_review(results: DataFrame, models: DataFrame) -> DataFrame:
     """Every row with a failure label derived from the judge's wording."""
-    return named_results(results, models).select(
+    rows = results.withColumn("_wording", F.lower("judge_reasoning"))
+    return named_results(rows, models).select(
         "run_id", "model", "case_id", "sample_idx",
         F.col("judge_score").cast("double").alias("judge_score"),
-        text.failure_type(F.col("judge_score"), F.col("judge_reasoning")).alias("failure_type"),
+        text.failure_type(F.col("judge_score"), F.col("_wording")).alias("failure_type"),
         "output_tokens", "question", "response", "judge_reasoning", "created_at",
     )
 

@@ -223,7 +223,7 @@ _SCORED = """WITH docs AS (SELECT d.doc_id, d.source, d.lang, trim(d.text, ' ' |
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
     scored AS (
         SELECT doc_id, source, lang, 0 AS check_no, 'canary' AS case_kind, 'contains' AS check_kind, (contains(lower(t), 'the') AND contains(lower(t), 'of'))::DOUBLE AS score, 1.0 AS threshold, 1.0 AS weight FROM docs WHERE lang = 'en'
-        UNION ALL SELECT doc_id, source, lang, 0, 'main', 'regex', regexp_matches(t, '(?i)\\bla\\b')::DOUBLE, 1.0, 2.0 FROM docs WHERE lang = 'fr'
+        UNION ALL SELECT doc_id, source, lang, 0, 'main', 'regex', regexp_matches(t, '(?i)(^|[^\\p{L}\\p{N}_])la($|[^\\p{L}\\p{N}_])')::DOUBLE, 1.0, 2.0 FROM docs WHERE lang = 'fr'
         UNION ALL SELECT doc_id, source, lang, 1, 'main', 'judge', outside, 0.7, 1.0 FROM docs WHERE lang = 'fr'
         UNION ALL SELECT doc_id, source, lang, 0, 'main', 'not_contains', (NOT contains(lower(t), 'stupid') AND NOT contains(lower(t), 'und'))::DOUBLE, 1.0, 1.0 FROM docs WHERE lang = 'de'
         UNION ALL SELECT doc_id, source, lang, 1, 'main', 'exact', (lower(t) = 'ja')::DOUBLE, 0.0, 1.0 FROM docs WHERE lang = 'de'
