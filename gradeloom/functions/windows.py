@@ -1,4 +1,4 @@
-"""Ordered look-back that does not put one whole key into one task."""
+"""Look-back and percentiles that do not gather a key's rows in memory."""
 
 from __future__ import annotations
 
@@ -34,3 +34,17 @@ def lag_by_bucket(
         .withColumn(out, F.when(F.col("_pos") == 1, F.col("_far")).otherwise(F.col("_near")))
         .drop("_bucket", "_near", "_pos", "_far")
     )
+
+
+def value_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, n): the histogram of a whole-number column per key."""
+    return rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def percentiles_of_counts(value: str, points: list[float]) -> Column:
+    """Linearly interpolated percentiles over ``value_counts`` rows, as an array.
+
+    The counts of a hot key are added up in parallel, by (key, value); the task
+    that finds its percentiles sees each distinct value once.
+    """
+    return F.percentile(value, F.array(*[F.lit(p) for p in points]), F.col("n"))

@@ -50,7 +50,7 @@ def profile_fingerprints(profiles: DataFrame) -> DataFrame:
 
 # --- ranking -----------------------------------------------------------------
 
-def _scaled(metrics: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def _scaled(metrics: DataFrame, by: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
     """Metrics min-max scaled within a run and oriented so that 1 is best.
 
     NULL values and metrics without spread become 0.5. A window holds the
@@ -64,7 +64,7 @@ def _scaled(metrics: DataFrame, by: tuple[str, ...]) -> DataFrame:
         x = (v - lo) / F.nullif(hi - lo, F.lit(0.0))
         x = x if higher_better else 1.0 - x
         scaled.append(F.coalesce(x, F.lit(0.5)).alias(name))
-    return metrics.select(*by, "model", *scaled)
+    return metrics.select(*by, "model", *keep, *scaled)
 
 
 def normalize_metrics(metrics: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
@@ -87,21 +87,23 @@ def _weight_maps(profiles: DataFrame) -> Column:
     return maps.agg(F.collect_list(F.struct("profile", checked.alias("weights")))).scalar()
 
 
-def rank_models(metrics: DataFrame, profiles: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
+def rank_models(metrics: DataFrame, profiles: DataFrame, by: tuple[str, ...] = ("run_id",),
+                keep: tuple[str, ...] = ()) -> DataFrame:
     """Weighted score and rank of each model, per run and profile.
 
     score = sum(weight * normalized) / sum(weight) over positive weights, added
     in metric order, so the double result never depends on the shuffle. The
     profiles ride along as one small array; every key starts with the run, so
-    the exchange of the scaling also serves the ranking.
+    the exchange of the scaling also serves the ranking. ``keep`` names metrics
+    columns to carry along.
     """
-    rows = _scaled(metrics, by).withColumn("_p", F.explode(_weight_maps(profiles)))
+    rows = _scaled(metrics, by, keep).withColumn("_p", F.explode(_weight_maps(profiles)))
     weight = lambda m: F.coalesce(F.try_element_at(F.col("_p.weights"), F.lit(m)), F.lit(0.0))
     total, mass = F.lit(0.0), F.lit(0.0)
     for m in sorted(METRICS):
         total, mass = total + weight(m) * F.col(m), mass + weight(m)
     best_first = Window.partitionBy(*by, "profile").orderBy(F.desc("score"), "model")
-    return rows.select(*by, "_p.profile", "model", (total / mass).alias("score")).withColumn(
+    return rows.select(*by, "_p.profile", "model", *keep, (total / mass).alias("score")).withColumn(
         "rank", F.row_number().over(best_first)
     )
 
@@ -120,14 +122,18 @@ def _confidence(margin: Column) -> Column:
     )
 
 
-def recommend(ranked: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Winner, margin, confidence and ranking per run and profile."""
+def recommend(ranked: DataFrame, by: tuple[str, ...] = ("run_id",), more: tuple[Column, ...] = ()) -> DataFrame:
+    """Winner, margin, confidence and ranking per run and profile.
+
+    ``more`` adds aggregates over the ranked rows.
+    """
     best = F.max(F.when(F.col("rank") == 1, F.col("score")))
     second = F.max(F.when(F.col("rank") == 2, F.col("score")))
     return ranked.groupBy(*by, "profile").agg(
         F.max(F.when(F.col("rank") == 1, F.col("model"))).alias("recommended_model"),
         (best - second).alias("margin"),
         _ranking().alias("weighted_scores"),
+        *more,
     ).withColumn("confidence", _confidence(F.col("margin")))
 
 
@@ -141,37 +147,55 @@ _CANONICAL = {
 }
 
 
-def canonical_metrics(metrics: DataFrame) -> DataFrame:
-    """Per run: its metrics as one JSON text, rows by model, keys sorted."""
+def _metrics_json() -> Column:
+    """One metrics row as JSON text, keys sorted, digits fixed."""
     figures = {
         c: F.coalesce(F.col(c).cast(f"decimal(28,{s})").cast("string"), F.lit("null"))
         for c, s in _CANONICAL.items()
     }
-    row = F.struct(*[{**figures, "model": F.col("model")}[k].alias(k) for k in sorted([*figures, "model"])])
-    # One entry per model of the run.
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("model").alias("m"), F.to_json(row).alias("j"))))
-    return metrics.groupBy("run_id").agg(
-        F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda r: r["j"]), ","), F.lit("]"))
-        .alias("input_snapshot")
-    )
+    return F.to_json(F.struct(*[{**figures, "model": F.col("model")}[k].alias(k) for k in sorted([*figures, "model"])]))
+
+
+def _snapshot(json: Column) -> Column:
+    """The JSON rows of a run as one array text, by model (one entry per model)."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("model").alias("m"), json.alias("j"))))
+    return F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda r: r["j"]), ","), F.lit("]"))
+
+
+def canonical_metrics(metrics: DataFrame) -> DataFrame:
+    """Per run: its metrics as one JSON text, rows by model, keys sorted."""
+    return metrics.groupBy("run_id").agg(_snapshot(_metrics_json()).alias("input_snapshot"))
+
+
+def _input_hash(fingerprint: Column) -> Column:
+    return F.sha2(F.concat_ws("\x1e", "input_snapshot", fingerprint, F.col("run_id").cast("string")), 256)
+
+
+def _fingerprint_list(profiles: DataFrame) -> Column:
+    """Fingerprint of every profile, as one small array."""
+    return profile_fingerprints(profiles).agg(F.collect_list(F.struct("profile", "fingerprint"))).scalar()
 
 
 def decision_keys(metrics: DataFrame, profiles: DataFrame) -> DataFrame:
     """Cache key per (run, profile) over metrics, profile weights and run."""
-    texts = canonical_metrics(metrics)
-    pairs = texts.select("run_id", "input_snapshot", F.explode(_profile_list(profiles)).alias("_p"))
-    key = F.concat_ws("\x1e", "input_snapshot", "_p.fingerprint", F.col("run_id").cast("string"))
-    return pairs.select("run_id", F.col("_p.profile").alias("profile"), "input_snapshot",
-                        F.sha2(key, 256).alias("input_hash"))
+    pairs = canonical_metrics(metrics).withColumn("_p", F.explode(_fingerprint_list(profiles)))
+    return pairs.select("run_id", "_p.profile", "input_snapshot",
+                        _input_hash(F.col("_p.fingerprint")).alias("input_hash"))
 
 
-def _profile_list(profiles: DataFrame) -> Column:
-    """All profiles with their fingerprints as one array (a few entries)."""
-    prints = profile_fingerprints(profiles)
-    return prints.agg(F.array_sort(F.collect_list(F.struct("profile", "fingerprint")))).scalar()
+# --- decide or replay --------------------------------------------------------
 
+def keyed_recommendations(metrics: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Recommendation, metrics snapshot and cache key per (run, profile).
+
+    The snapshot is gathered from the ranked rows themselves, so the metrics
+    are computed once for the ranking and the key.
+    """
+    ranked = rank_models(metrics.withColumn("_json", _metrics_json()), profiles, keep=("_json",))
+    reco = recommend(ranked, more=(_snapshot(F.col("_json")).alias("input_snapshot"),))
+    prints = F.map_from_entries(_fingerprint_list(profiles))
+    return reco.withColumn("input_hash", _input_hash(F.element_at(prints, F.col("profile"))))
 
-# --- decide or replay --------------------------------------------------------
 
 def decide(metrics: DataFrame, profiles: DataFrame, decisions: DataFrame, prompt_id: int | None,
            force: bool = False, justifications: DataFrame | None = None) -> DataFrame:
@@ -181,9 +205,8 @@ def decide(metrics: DataFrame, profiles: DataFrame, decisions: DataFrame, prompt
     the newest first; ``force`` ignores the log. ``justifications`` adds the
     written columns (determinant_metrics, tradeoffs, reasoning) to new rows.
     """
-    keys = decision_keys(metrics, profiles)
     fresh = (
-        recommend(rank_models(metrics, profiles)).join(keys, ["run_id", "profile"])
+        keyed_recommendations(metrics, profiles)
         .withColumn("prompt_id", F.lit(prompt_id).cast("bigint"))
     )
     if justifications is not None:

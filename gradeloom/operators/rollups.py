@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gradeloom import schema
 from gradeloom.functions import numeric as N
 from gradeloom.functions import text
+from gradeloom.functions.windows import percentiles_of_counts, value_counts
 
 
 def _score_sums() -> list[Column]:
@@ -50,8 +51,8 @@ def _stddev_score() -> Column:
 def run_metrics(runs: DataFrame, results: DataFrame) -> DataFrame:
     """Per run: counts, totals and latency distribution of its raw rows.
 
-    The latency figures come from a (run, latency) histogram, so a run with
-    very many rows is merged from counts of distinct milliseconds.
+    All latency figures come from the (run, latency) histogram, so each column
+    of the facts is read by one scan only.
     """
     totals = results.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_results"),
@@ -61,10 +62,9 @@ def run_metrics(runs: DataFrame, results: DataFrame) -> DataFrame:
         F.sum(F.col("input_tokens").cast("bigint")).alias("total_input_tokens"),
         F.sum(F.col("output_tokens").cast("bigint")).alias("total_output_tokens"),
     )
-    histogram = results.groupBy("run_id", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
-    latency = histogram.groupBy("run_id").agg(
+    latency = value_counts(results, ["run_id"], "latency_ms").groupBy("run_id").agg(
         N.mean_of_sums(F.sum(F.col("latency_ms") * F.col("n")), F.sum("n"), 2).alias("avg_latency_ms"),
-        F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)), F.col("n")).alias("_p"),
+        percentiles_of_counts("latency_ms", [0.5, 0.95]).alias("_p"),
         F.min("latency_ms").alias("min_latency_ms"),
         F.max("latency_ms").alias("max_latency_ms"),
     )
@@ -81,8 +81,7 @@ def run_metrics(runs: DataFrame, results: DataFrame) -> DataFrame:
             zero["total_cost"].cast("double").alias("total_cost"),
             *[zero[c].alias(c) for c in ("total_input_tokens", "total_output_tokens")],
             "avg_latency_ms",
-            F.col("_p")[0].alias("p50_latency_ms"),
-            F.col("_p")[1].alias("p95_latency_ms"),
+            F.col("_p")[0].alias("p50_latency_ms"), F.col("_p")[1].alias("p95_latency_ms"),
             "min_latency_ms", "max_latency_ms",
         )
     )

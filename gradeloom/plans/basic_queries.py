@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import numeric as N
 from gradeloom.functions import text
+from gradeloom.functions.windows import percentiles_of_counts, value_counts
 from gradeloom.operators import cases as C
 from gradeloom.operators import decisions as D
 from gradeloom.operators import rollups as R
@@ -255,9 +256,9 @@ def sample_stddev(spark, d):
 @query("d05_percentiles", """SELECT model_id, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95
     FROM results GROUP BY model_id""")
 def percentiles(spark, d):
-    counts = bed.results(spark, d).groupBy("model_id", "latency_ms").agg(n_rows().alias("n"))
-    p = lambda q: F.round(F.percentile("latency_ms", F.lit(q), F.col("n")), 4)
-    return counts.groupBy("model_id").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    counts = value_counts(bed.results(spark, d), ["model_id"], "latency_ms")
+    found = counts.groupBy("model_id").agg(percentiles_of_counts("latency_ms", [0.5, 0.95]).alias("p"))
+    return found.select("model_id", F.round(F.col("p")[0], 4).alias("p50"), F.round(F.col("p")[1], 4).alias("p95"))
 
 
 _NAN = "CASE WHEN NOT isnan({0}) THEN round({0}, {1}) END"

@@ -158,8 +158,7 @@ def decision_keys(spark, d):
 def decide_or_replay(spark, d):
     metrics, profiles = decision_metrics(spark, d), D.shipped_profiles(spark)
     logged = profiles.where("profile IN ('rapide', 'economie')")
-    ranked = D.recommend(D.rank_models(metrics, logged)).drop("margin")
-    log = ranked.join(D.decision_keys(metrics, logged), ["run_id", "profile"]).selectExpr(
+    log = D.keyed_recommendations(metrics, logged).selectExpr(
         "run_id AS id", "'logged' AS recommended_model", "confidence", "weighted_scores", "input_hash",
         "cast(7 as bigint) AS prompt_id", "profile", "timestamp_ntz'2024-06-01 00:00:00' AS created_at")
     return D.decide(metrics, profiles, log, prompt_id=7).select(

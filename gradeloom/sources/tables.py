@@ -12,7 +12,6 @@ _SCHEMAS = {
     "models": schema.MODELS, "prompts": schema.PROMPTS, "runs": schema.RUNS,
     "results": schema.RESULTS, "decisions": schema.DECISIONS,
 }
-_PARTITIONED = ("results", "decisions")
 
 
 @dataclass(frozen=True)
@@ -34,26 +33,30 @@ def read_tables(spark: SparkSession, root: str) -> EvalTables:
     return EvalTables(**{name: read_table(spark, root, name) for name in _SCHEMAS})
 
 
-def _append(df: DataFrame, path: str) -> None:
-    """Append under run folders, so a run filter prunes whole folders.
+def _append(df: DataFrame, path: str, run_folders: bool) -> None:
+    """Append rows, clustered and sorted by run.
 
-    Rows are spread over the tasks by the shuffle's own size targets: a hot run
-    is split over several tasks and files, a small one stays in few.
+    The rebalancing brings a run's rows together, splits a hot run over several
+    tasks and lets small runs share a file. Row groups then cover narrow ranges
+    of runs and a filter on the run skips the others by their statistics. With
+    ``run_folders`` every run gets a folder of its own, which suits a store of
+    few, large runs.
     """
-    df.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
+    writer = df.hint("rebalance", "run_id").sortWithinPartitions("run_id", "id").write.mode("append")
+    (writer.partitionBy("run_id") if run_folders else writer).parquet(path)
 
 
-def append_results(df: DataFrame, path: str) -> None:
+def append_results(df: DataFrame, path: str, run_folders: bool = False) -> None:
     """Append result rows to the fact table."""
     missing = [f for f in schema.RESULTS.fieldNames() if f not in df.columns]
     if missing:
         raise ValueError(f"result rows lack {missing}")
-    _append(df.select(*[df[f.name].cast(f.dataType) for f in schema.RESULTS]), path)
+    _append(df.select(*[df[f.name].cast(f.dataType) for f in schema.RESULTS]), path, run_folders)
 
 
-def append_decisions(df: DataFrame, path: str) -> None:
+def append_decisions(df: DataFrame, path: str, run_folders: bool = False) -> None:
     """Append decisions to the log."""
-    _append(df, path)
+    _append(df, path, run_folders)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
