@@ -46,9 +46,14 @@ def guarded_corr(y: Column, x: Column) -> Column:
 
 
 def duration_ms(start: Column, end: Column) -> Column:
-    """Milliseconds between two zone-less timestamps; NULL while unfinished."""
-    micros = F.timestamp_diff("MICROSECOND", start, end)
-    return micros.cast("double") / 1000
+    """Milliseconds between two zone-less timestamps; NULL while unfinished.
+
+    Read off the interval's own fields: no session time zone is involved.
+    """
+    span = end - start
+    field = lambda name: F.extract(F.lit(name), span).cast("double")
+    minutes = (field("DAY") * 24 + field("HOUR")) * 60 + field("MINUTE")
+    return minutes * 60000 + field("SECOND") * 1000
 
 
 def scale_verdict(score_text: Column) -> Column:
