@@ -36,6 +36,24 @@ def lag_by_bucket(
     )
 
 
+def number_rows(rows: DataFrame, key: str, order: list[str], existing: DataFrame, out: str = "id") -> DataFrame:
+    """Ids above the largest one of ``existing``, rising with ``order`` inside a key.
+
+    Keys are spread over 256 buckets; a running count over the buckets (256
+    rows) tells each one where its numbers start, so no task numbers them all.
+    """
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(256)))
+    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(key, *order))
+    return (
+        rows.withColumn("_pos", place).join(starts, "_b")
+        .withColumn(out, top + F.col("_start") + F.col("_pos")).drop("_b", "_pos", "_start")
+    )
+
+
 def value_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n): the histogram of a whole-number column per key."""
     return rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom import schema
 from gradeloom.functions.text import content_hash
+from gradeloom.functions.windows import number_rows
 from gradeloom.operators.cases import violations
 
 METRICS = list(schema.METRIC_DIRECTION)
@@ -231,9 +232,14 @@ def decide(metrics: DataFrame, profiles: DataFrame, decisions: DataFrame, prompt
     )
 
 
-def decisions_to_insert(decided: DataFrame) -> DataFrame:
-    """The computed, not replayed, decisions: rows for the log."""
-    return decided.where(~F.col("replayed")).drop("replayed", "decision_id", "margin")
+def decisions_to_insert(decided: DataFrame, log: DataFrame, now) -> DataFrame:
+    """The computed, not replayed, decisions as rows of the log."""
+    new = number_rows(decided.where(~F.col("replayed")), "input_hash", ["profile"], log)
+    new = new.withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
+    return new.select(*[
+        (F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema.DECISIONS
+    ])
 
 
 def metrics_feed(metrics: DataFrame, run_id: int) -> DataFrame:

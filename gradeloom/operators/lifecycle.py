@@ -7,9 +7,18 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.functions.windows import number_rows
 from gradeloom.sources.tables import append_decisions, append_results
 
 
+def open_runs(runs: DataFrame, requested: DataFrame, now: dt.datetime) -> DataFrame:
+    """New, unfinished runs for (request, prompt_id, dataset) rows; ids follow the last run."""
+    return number_rows(requested, "request", [], runs).select(
+        "request", "id", "prompt_id", "dataset", F.lit(now).cast("timestamp_ntz").alias("started_at"),
+        F.lit(None).cast("timestamp_ntz").alias("finished_at"),
+    )
+
+
 def finalize_runs(runs: DataFrame, results: DataFrame, now: dt.datetime) -> DataFrame:
     """Close open runs at their last row, or at ``now`` when they have none."""
     last = results.groupBy("run_id").agg(F.max("created_at").alias("_last"))

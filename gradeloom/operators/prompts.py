@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import content_hash, is_blank
-from gradeloom.functions.windows import lag_by_bucket
+from gradeloom.functions.windows import lag_by_bucket, number_rows
 from gradeloom.operators.cases import violations
 
 
@@ -47,7 +47,7 @@ def sync_prompts(prompts: DataFrame, staged: DataFrame, now) -> DataFrame:
     ).select("name", "hash", "_first.*")
     in_order = Window.partitionBy("name").orderBy("id")
     made = (
-        _number_rows(first, prompts)
+        number_rows(first, "name", ["source"], prompts)
         .join(newest, "name", "left")
         .withColumn("previous_version_id", F.coalesce(F.lag("id").over(in_order), "latest_id"))
         .withColumn("action", F.when(F.col("previous_version_id").isNull(), "initial").otherwise("new_version"))
@@ -66,24 +66,6 @@ def sync_prompts(prompts: DataFrame, staged: DataFrame, now) -> DataFrame:
     )
 
 
-def _number_rows(fresh: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Ids above the largest one in use, rising with ``source`` inside a name.
-
-    Names are spread over 256 buckets; a running count over the buckets (256
-    rows) tells each one where its numbers start, so no task numbers them all.
-    """
-    rows = fresh.withColumn("_b", F.pmod(F.xxhash64("name"), F.lit(256)))
-    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    top = prompts.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("name", "source"))
-    return (
-        rows.withColumn("_pos", place).join(starts, "_b")
-        .withColumn("id", top + F.col("_start") + F.col("_pos")).drop("_b", "_pos", "_start")
-    )
-
-
 def latest_prompts(prompts: DataFrame) -> DataFrame:
     """Newest version of each name."""
     newest = Window.partitionBy("name").orderBy(F.desc("created_at"), F.desc("id"))

@@ -105,6 +105,16 @@ def verdict_scale(spark, d):
 _NOW = dt.datetime(2024, 12, 31)
 
 
+@query("a04_open_runs", """WITH d AS (SELECT DISTINCT s_nationkey FROM supplier), t AS (SELECT max(s_suppkey) + 1 AS top FROM supplier)
+    SELECT count(*) AS n, count(*) AS n_ids, min(top) + 1 AS lowest, min(top) + count(*) AS highest, count(DISTINCT s_nationkey) AS n_datasets FROM d, t""")
+def open_runs(spark, d):
+    runs = bed.runs(spark, d)
+    asked = runs.groupBy("dataset").agg(F.max("prompt_id").alias("prompt_id")).withColumn("request", F.col("dataset"))
+    return L.open_runs(runs, asked, _NOW).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.min("id").alias("lowest"),
+        F.max("id").alias("highest"), F.count_distinct("dataset").alias("n_datasets"))
+
+
 @query("a04_finalize_runs", """SELECT u.id, u.dataset, coalesce(u.finished_at, max(r.created_at), TIMESTAMP '2024-12-31') AS finished_at
     FROM runs u LEFT JOIN results r ON r.run_id = u.id GROUP BY u.id, u.dataset, u.finished_at""")
 def finalize_runs(spark, d):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gradeloom import schema
 from gradeloom.operators import decisions as D
-from helpers import rows
+from helpers import T0, rows
 
 _COLUMNS = ("run_id long, model string, n_judged long, n_cases long, avg_input_tokens double, avg_output_tokens double, "
             "avg_total_tokens double, avg_latency_ms double, mean_judge_score double, stddev_judge_score double, "
@@ -94,10 +94,15 @@ def test_decisions_are_replayed_newest_first_unless_forced(spark):
     log = _log(spark, keys, None, 2).unionByName(_log(spark, keys, None, 1)).unionByName(_log(spark, keys, 5, 3))
     seen = D.decide(m, p, log, prompt_id=None)
     assert {(r.recommended_model, r.replayed, r.decision_id) for r in seen.collect()} == {("from-2", True, 2)}
-    assert D.decisions_to_insert(seen).count() == 0
+    assert D.decisions_to_insert(seen, log, T0).count() == 0
     assert {r.recommended_model for r in D.decide(m, p, log, prompt_id=5).collect()} == {"from-3"}
     fresh = D.decide(m, p, log, prompt_id=None, force=True)
-    assert D.decisions_to_insert(fresh).count() == 4
+    made = D.decisions_to_insert(fresh, log, T0)
+    assert made.schema.fieldNames() == schema.DECISIONS.fieldNames()
+    assert sorted(r.id for r in made.collect()) == [4, 5, 6, 7]
+    # What was inserted is replayed the next time.
+    again = D.decide(m, p, made, prompt_id=None)
+    assert {r.replayed for r in again.collect()} == {True}
     # By hand: fast scores 0.6, 0.5 (a tie, first by name), 0.8 and 0.9.
     assert {r.recommended_model for r in fresh.collect()} == {"fast"}
 

@@ -53,6 +53,14 @@ def test_runs_are_closed_at_their_last_row(spark):
     assert rows(L.finalize_runs(u, r, now), "id", "finished_at") == [(1, T0), (2, T0 + dt.timedelta(days=3)), (3, now)]
 
 
+def test_opened_runs_continue_the_ids(spark):
+    u, _, _ = _store(spark)
+    asked = spark.createDataFrame([("x", 7, "d"), ("y", 7, "e")], "request string, prompt_id long, dataset string")
+    opened = L.open_runs(u, asked, T0)
+    assert sorted(r.id for r in opened.collect()) == [4, 5]
+    assert {(r.started_at, r.finished_at) for r in opened.collect()} == {(T0, None)}
+
+
 def test_snapshot_restores_and_refuses_unknown_names(spark, tmp_path):
     u, r, d = _store(spark)
     parts = L.export_dataset(u, r, d, "b", str(tmp_path / "snap"))
