@@ -5,37 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WHOLE = "decimal(20,0)"
+# A one-decimal judge score as a whole number of tenths, in SQL.
+TENTHS = "cast(judge_score * 10 as bigint)"
 
 
-def tenths(score: Column) -> Column:
-    """A one-decimal score as a whole number of tenths."""
-    return (score * 10).cast("bigint")
-
-
-def mean_of_sums(total: Column, n: Column, scale: int, unit: int = 1) -> Column:
+def mean_of_sums(total: str, n: str, scale: int, unit: int = 1) -> Column:
     """``total / (n * unit)`` rounded once, half away from zero; NULL when n is 0.
 
-    The quotient of two whole decimals keeps 18 digits after the point, so the
-    rounding sees the exact tie cases that a double or a ``decimal(7,5)`` mean
-    would already have lost.
+    Both are SQL expressions over whole numbers. The quotient of two whole
+    decimals keeps 18 digits after the point, so the rounding sees the exact tie
+    cases that a double or a ``decimal(7,5)`` mean would already have lost.
     """
-    return F.round(total.cast(_WHOLE) / F.nullif(n * unit, F.lit(0)).cast(_WHOLE), scale).cast("double")
+    count = f"cast(nullif(({n}) * {unit}, 0) as decimal(20,0))"
+    return F.expr(f"cast(round(cast({total} as decimal(20,0)) / {count}, {scale}) as double)")
 
 
-def mean_cost(total: Column, n: Column, scale: int = 6) -> Column:
+def mean_cost(total: str, n: str, scale: int = 6) -> Column:
     """Mean of a summed decimal cost, rounded once."""
-    return F.round(total.cast("decimal(24,9)") / F.nullif(n, F.lit(0)).cast(_WHOLE), scale).cast("double")
+    count = f"cast(nullif({n}, 0) as decimal(20,0))"
+    return F.expr(f"cast(round(cast({total} as decimal(24,9)) / {count}, {scale}) as double)")
 
 
-def stddev_of_sums(n: Column, total: Column, total_sq: Column, unit: int = 1) -> Column:
+def stddev_of_sums(n: str, total: str, total_sq: str, unit: int = 1) -> Column:
     """Sample standard deviation from additive sums; NULL below two values."""
-    big = "decimal(38,0)"
-    spread = n.cast("decimal(18,0)") * total_sq.cast(_WHOLE) - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")
-    return F.when(
-        n > 1,
-        F.sqrt(spread.cast(big).cast("double") / (n * (n - 1)).cast("double")) / unit,
-    )
+    square = f"cast({total} as decimal(19,0)) * cast({total} as decimal(19,0))"
+    spread = f"cast({n} as decimal(18,0)) * cast({total_sq} as decimal(20,0)) - {square}"
+    return F.expr(f"CASE WHEN {n} > 1 THEN sqrt(cast({spread} as double) / cast({n} * ({n} - 1) as double)) / {unit} END")
 
 
 def guarded_corr(y: Column, x: Column) -> Column:

@@ -16,17 +16,17 @@ from gradeloom.functions import text
 from gradeloom.functions.windows import percentiles_of_counts, value_counts
 
 
-def _score_sums() -> list[Column]:
-    s = N.tenths(F.col("judge_score"))
-    return [
-        F.count("judge_score").alias("n_judged"),
-        F.sum(s).alias("score_sum"),
-        F.sum(s * s).alias("score_sq"),
-    ]
+_SCORE_SUMS = [
+    "count(judge_score) AS n_judged", f"sum({N.TENTHS}) AS score_sum", f"sum({N.TENTHS} * {N.TENTHS}) AS score_sq",
+]
+
+
+def _aggs(*expressions: str) -> list[Column]:
+    return [F.expr(e) for e in expressions]
 
 
 def _merge(*names: str) -> list[Column]:
-    return [F.sum(n).alias(n) for n in names]
+    return _aggs(*[f"sum({n}) AS {n}" for n in names])
 
 
 def _names(models: DataFrame, *extra: str) -> DataFrame:
@@ -39,11 +39,11 @@ def named_results(results: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def _mean_score(scale: int = 1) -> Column:
-    return N.mean_of_sums(F.col("score_sum"), F.col("n_judged"), scale, unit=10)
+    return N.mean_of_sums("score_sum", "n_judged", scale, unit=10)
 
 
 def _stddev_score() -> Column:
-    return F.round(N.stddev_of_sums(F.col("n_judged"), F.col("score_sum"), F.col("score_sq"), unit=10), 2)
+    return F.round(N.stddev_of_sums("n_judged", "score_sum", "score_sq", unit=10), 2)
 
 
 # --- run level ---------------------------------------------------------------
@@ -54,19 +54,15 @@ def run_metrics(runs: DataFrame, results: DataFrame) -> DataFrame:
     All latency figures come from the (run, latency) histogram, so each column
     of the facts is read by one scan only.
     """
-    totals = results.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n_results"),
-        F.count_distinct("model_id").alias("n_models"),
-        F.count_distinct("case_id").alias("n_cases"),
-        F.sum("cost").alias("total_cost"),
-        F.sum(F.col("input_tokens").cast("bigint")).alias("total_input_tokens"),
-        F.sum(F.col("output_tokens").cast("bigint")).alias("total_output_tokens"),
-    )
+    totals = results.groupBy("run_id").agg(*_aggs(
+        "count(1) AS n_results", "count(DISTINCT model_id) AS n_models", "count(DISTINCT case_id) AS n_cases",
+        "sum(cost) AS total_cost", "sum(cast(input_tokens as bigint)) AS total_input_tokens",
+        "sum(cast(output_tokens as bigint)) AS total_output_tokens",
+    ))
     latency = value_counts(results, ["run_id"], "latency_ms").groupBy("run_id").agg(
-        N.mean_of_sums(F.sum(F.col("latency_ms") * F.col("n")), F.sum("n"), 2).alias("avg_latency_ms"),
+        N.mean_of_sums("sum(latency_ms * n)", "sum(n)", 2).alias("avg_latency_ms"),
         percentiles_of_counts("latency_ms", [0.5, 0.95]).alias("_p"),
-        F.min("latency_ms").alias("min_latency_ms"),
-        F.max("latency_ms").alias("max_latency_ms"),
+        *_aggs("min(latency_ms) AS min_latency_ms", "max(latency_ms) AS max_latency_ms"),
     )
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in (
         "n_results", "n_models", "n_cases", "total_cost", "total_input_tokens", "total_output_tokens")}
@@ -94,7 +90,7 @@ def cost_by_dataset(runs: DataFrame, results: DataFrame) -> DataFrame:
         runs.join(per_run, runs["id"] == per_run["run_id"], "left")
         .groupBy("dataset")
         .agg(F.sum(F.coalesce("total_cost", F.lit(0).cast("decimal(28,9)"))).alias("_sum"), F.count(F.lit(1)).alias("n_runs"))
-        .select("dataset", "n_runs", N.mean_cost(F.col("_sum"), F.col("n_runs")).alias("avg_total_cost"))
+        .select("dataset", "n_runs", N.mean_cost("_sum", "n_runs").alias("avg_total_cost"))
     )
 
 
@@ -120,8 +116,7 @@ def complete_cases(results: DataFrame) -> DataFrame:
     )
     return (
         cases.join(_run_roster(results), "run_id")
-        .where((F.col("n_present") == F.col("n_models"))
-               & (~F.col("is_judged") | (F.col("n_scored") == F.col("n_models"))))
+        .where("n_present = n_models AND (NOT is_judged OR n_scored = n_models)")
         .select("run_id", "case_id")
     )
 
@@ -140,22 +135,14 @@ def _fair_sums(results: DataFrame) -> DataFrame:
     fold by (run, model, present, scored), which leaves only a few rows per run
     to compare with the run's number of models. No step gathers a run's facts.
     """
-    tokens = F.col("input_tokens").cast("bigint") + F.col("output_tokens")
-    judged = F.col("judge_score").isNotNull()
-    measures = {
-        "in": F.col("input_tokens").cast("bigint"),
-        "out": F.col("output_tokens").cast("bigint"),
-        "lat": F.col("latency_ms").cast("bigint"),
-        "cost": F.col("cost"),
-    }
-    cells = results.groupBy("run_id", "case_id", "model_id").agg(
-        F.count(F.lit(1)).alias("n_results"),
-        *_score_sums(),
-        F.sum(measures["lat"]).alias("lat_all"),
-        F.sum(tokens).alias("tok_all"),
-        F.sum("cost").alias("cost_all"),
-        *[F.sum(F.when(judged, m)).alias(f"{k}_judged") for k, m in measures.items()],
-    )
+    measures = {"in": "cast(input_tokens as bigint)", "out": "cast(output_tokens as bigint)",
+                "lat": "cast(latency_ms as bigint)", "cost": "cost"}
+    cells = results.groupBy("run_id", "case_id", "model_id").agg(*_aggs(
+        "count(1) AS n_results", *_SCORE_SUMS,
+        "sum(cast(latency_ms as bigint)) AS lat_all", "sum(cost) AS cost_all",
+        "sum(cast(input_tokens as bigint) + output_tokens) AS tok_all",
+        *[f"sum(CASE WHEN judge_score IS NOT NULL THEN {m} END) AS {k}_judged" for k, m in measures.items()],
+    ))
     of_case = Window.partitionBy("run_id", "case_id")
     cells = cells.withColumns({
         "n_present": F.count(F.lit(1)).over(of_case),
@@ -171,10 +158,7 @@ def _fair_sums(results: DataFrame) -> DataFrame:
         "n_models": F.size(F.collect_set("model_id").over(of_run)),
         "is_judged": F.sum("n_judged").over(of_run) > 0,
     })
-    fair = folded.where(
-        (F.col("n_present") == F.col("n_models"))
-        & (~F.col("is_judged") | (F.col("n_scored") == F.col("n_models")))
-    )
+    fair = folded.where("n_present = n_models AND (NOT is_judged OR n_scored = n_models)")
     return fair.groupBy("run_id", "model_id").agg(*_merge(*sums))
 
 
@@ -195,11 +179,11 @@ def model_metrics(results: DataFrame, models: DataFrame) -> DataFrame:
     )
     return g.select(
         "model", "n_results",
-        N.mean_of_sums(F.col("lat_all"), F.col("n_results"), 2).alias("avg_latency_ms"),
+        N.mean_of_sums("lat_all", "n_results", 2).alias("avg_latency_ms"),
         F.col("cost_all").cast("double").alias("total_cost"),
         _mean_score().alias("avg_judge_score"),
         "n_cases", _stddev_score().alias("stddev_judge_score"), "n_judged",
-        N.mean_of_sums(F.col("tok_all"), F.col("n_results"), 1).alias("avg_total_tokens"),
+        N.mean_of_sums("tok_all", "n_results", 1).alias("avg_total_tokens"),
         "run_id",
     )
 
@@ -212,20 +196,19 @@ def model_decision_metrics(results: DataFrame, models: DataFrame) -> DataFrame:
         .groupBy("run_id", "model", "context_window")
         .agg(*_merge(*_V8_SUMS), F.max("n_cases").alias("n_cases"))
     )
-    n, ctx = F.col("n_judged"), F.col("context_window").cast("bigint")
-    score = (F.col("score_sum").cast("decimal(16,0)") / 10).cast("decimal(17,1)")
-    cost = F.nullif(F.col("cost_judged").cast("decimal(24,9)"), F.lit(0).cast("decimal(24,9)"))
+    efficiency = ("cast(round(cast(cast(score_sum as decimal(16,0)) / 10 as decimal(17,1))"
+                  " / nullif(cast(cost_judged as decimal(24,9)), 0), 4) as double) AS efficiency")
     return g.select(
         "model", "n_judged", "n_cases",
-        N.mean_of_sums(F.col("in_judged"), n, 1).alias("avg_input_tokens"),
-        N.mean_of_sums(F.col("out_judged"), n, 1).alias("avg_output_tokens"),
-        N.mean_of_sums(F.col("in_judged") + F.col("out_judged"), n, 1).alias("avg_total_tokens"),
-        N.mean_of_sums(F.col("lat_judged"), n, 2).alias("avg_latency_ms"),
+        N.mean_of_sums("in_judged", "n_judged", 1).alias("avg_input_tokens"),
+        N.mean_of_sums("out_judged", "n_judged", 1).alias("avg_output_tokens"),
+        N.mean_of_sums("in_judged + out_judged", "n_judged", 1).alias("avg_total_tokens"),
+        N.mean_of_sums("lat_judged", "n_judged", 2).alias("avg_latency_ms"),
         _mean_score().alias("mean_judge_score"),
         _stddev_score().alias("stddev_judge_score"),
-        F.round(score / cost, 4).cast("double").alias("efficiency"),
-        N.mean_of_sums(F.col("in_judged") * 100, n * ctx, 3).alias("ctx_pct"),
-        N.mean_cost(F.col("cost_judged"), n).alias("avg_cost"),
+        F.expr(efficiency),
+        N.mean_of_sums("in_judged * 100", "n_judged * cast(context_window as bigint)", 3).alias("ctx_pct"),
+        N.mean_cost("cost_judged", "n_judged").alias("avg_cost"),
         "run_id",
     )
 
@@ -234,11 +217,10 @@ def model_decision_metrics(results: DataFrame, models: DataFrame) -> DataFrame:
 
 def style_metrics(results: DataFrame, models: DataFrame) -> DataFrame:
     """Per (model, prompt style) across all runs: judged and styled rows."""
-    s = N.tenths(F.col("judge_score"))
     part = (
         results.where("prompt_style IS NOT NULL AND judge_score IS NOT NULL")
         .groupBy("model_id", "prompt_style")
-        .agg(F.count("judge_score").alias("n_judged"), F.sum(s).alias("score_sum"), F.min(s).alias("lo"), F.max(s).alias("hi"))
+        .agg(*_aggs(*_SCORE_SUMS[:2], f"min({N.TENTHS}) AS lo", f"max({N.TENTHS}) AS hi"))
     )
     return (
         part.join(_names(models), "model_id")
@@ -255,18 +237,16 @@ def style_metrics(results: DataFrame, models: DataFrame) -> DataFrame:
 
 def result_variance(results: DataFrame, models: DataFrame) -> DataFrame:
     """Per (run, model, case): spread of the repeated samples."""
-    s = N.tenths(F.col("judge_score"))
-    g = named_results(results, models).groupBy("run_id", "model", "case_id").agg(
-        *_score_sums(), F.min(s).alias("lo"), F.max(s).alias("hi"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("latency_ms").cast("bigint")).alias("lat"), F.sum("cost").alias("cost"),
-    )
+    g = named_results(results, models).groupBy("run_id", "model", "case_id").agg(*_aggs(
+        *_SCORE_SUMS, f"min({N.TENTHS}) AS lo", f"max({N.TENTHS}) AS hi",
+        "count(1) AS n", "sum(cast(latency_ms as bigint)) AS lat", "sum(cost) AS cost",
+    ))
     return g.select(
         "run_id", "model", "case_id", F.col("n_judged").alias("n_samples"),
         _mean_score().alias("mean_score"), _stddev_score().alias("stddev_score"),
         (F.col("lo") / F.lit(10)).alias("min_score"), (F.col("hi") / F.lit(10)).alias("max_score"),
-        N.mean_of_sums(F.col("lat"), F.col("n"), 2).alias("avg_latency_ms"),
-        N.mean_cost(F.col("cost"), F.col("n")).alias("avg_cost"),
+        N.mean_of_sums("lat", "n", 2).alias("avg_latency_ms"),
+        N.mean_cost("cost", "n").alias("avg_cost"),
     )
 
 
@@ -312,12 +292,12 @@ def failure_counts(results: DataFrame, models: DataFrame, max_score: float = 5.0
 
 def score_stats(results: DataFrame, models: DataFrame) -> DataFrame:
     """Per (run, model): unrounded mean, sample spread (0 for one draw), n."""
-    part = results.where("judge_score IS NOT NULL").groupBy("run_id", "model_id").agg(*_score_sums())
+    part = results.where("judge_score IS NOT NULL").groupBy("run_id", "model_id").agg(*_aggs(*_SCORE_SUMS))
     g = (
         part.join(_names(models), "model_id").groupBy("run_id", "model")
         .agg(*_merge("n_judged", "score_sum", "score_sq"))
     )
-    spread = N.stddev_of_sums(F.col("n_judged"), F.col("score_sum"), F.col("score_sq"), unit=10)
+    spread = N.stddev_of_sums("n_judged", "score_sum", "score_sq", unit=10)
     return g.select(
         "run_id", "model",
         (F.col("score_sum") / (F.col("n_judged") * 10)).alias("mean_score"),
@@ -330,7 +310,7 @@ def style_averages(results: DataFrame, models: DataFrame) -> DataFrame:
     """Per (run, model, prompt style): unrounded mean score and n."""
     part = (
         results.where("judge_score IS NOT NULL AND prompt_style <> ''")
-        .groupBy("run_id", "model_id", "prompt_style").agg(*_score_sums()[:2])
+        .groupBy("run_id", "model_id", "prompt_style").agg(*_aggs(*_SCORE_SUMS[:2]))
     )
     return (
         part.join(_names(models), "model_id").groupBy("run_id", "model", "prompt_style")
@@ -351,7 +331,7 @@ def style_delta(results: DataFrame, models: DataFrame, baseline: str = "zero-sho
     keys = ["model", *by]
     part = (
         results.where("prompt_style IS NOT NULL AND judge_score IS NOT NULL")
-        .groupBy("model_id", *by, "prompt_style").agg(*_score_sums()[:2])
+        .groupBy("model_id", *by, "prompt_style").agg(*_aggs(*_SCORE_SUMS[:2]))
     )
     g = (
         part.join(_names(models), "model_id").groupBy(*keys, "prompt_style")
@@ -370,13 +350,13 @@ def run_summary(planned: DataFrame, results: DataFrame) -> DataFrame:
     ``planned`` holds (run_id, n_planned); a failed call leaves no row, so the
     failures are the difference and the plan need not be spelled out.
     """
-    lat = F.col("latency_ms").cast("bigint")
-    got = results.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("inserted"), F.sum("cost").alias("total_cost"),
-        F.sum(F.col("input_tokens").cast("bigint")).alias("total_input_tokens"),
-        F.sum(F.col("output_tokens").cast("bigint")).alias("total_output_tokens"),
-        F.min(lat).alias("min_latency_ms"), F.sum(lat).alias("_lat"), F.max(lat).alias("max_latency_ms"),
-    )
+    got = results.groupBy("run_id").agg(*_aggs(
+        "count(1) AS inserted", "sum(cost) AS total_cost",
+        "sum(cast(input_tokens as bigint)) AS total_input_tokens",
+        "sum(cast(output_tokens as bigint)) AS total_output_tokens",
+        "min(cast(latency_ms as bigint)) AS min_latency_ms", "max(cast(latency_ms as bigint)) AS max_latency_ms",
+        "sum(cast(latency_ms as bigint)) AS _lat",
+    ))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return planned.join(got, "run_id", "left").select(
         "run_id", z("inserted").alias("inserted"),

@@ -73,16 +73,15 @@ def guarded_ratios(spark, d):
     judged = F.count("judge_score")
     return bed.results(spark, d).groupBy("run_id").agg(
         (F.sum("input_tokens") / F.nullif(judged, F.lit(0))).alias("tokens_per_verdict"),
-        F.coalesce(F.sum(N.tenths(F.col("judge_score"))), F.lit(0)).alias("tenths"))
+        F.coalesce(F.sum(F.expr(N.TENTHS)), F.lit(0)).alias("tenths"))
 
 
 @query("b06_rounded_means", f"""SELECT run_id, case_id, {O.mean('sum(tenths)', 'count(tenths)', 1, 10)} AS mean_score,
     {O.mean('sum(latency_ms)', 'count(*)', 2)} AS avg_latency_ms FROM results GROUP BY run_id, case_id""")
 def rounded_means(spark, d):
-    s = F.col("judge_score")
     return bed.results(spark, d).groupBy("run_id", "case_id").agg(
-        N.mean_of_sums(F.sum(N.tenths(s)), F.count(s), 1, unit=10).alias("mean_score"),
-        N.mean_of_sums(F.sum(F.col("latency_ms").cast("bigint")), n_rows(), 2).alias("avg_latency_ms"))
+        N.mean_of_sums(f"sum({N.TENTHS})", "count(judge_score)", 1, unit=10).alias("mean_score"),
+        N.mean_of_sums("sum(cast(latency_ms as bigint))", "count(1)", 2).alias("avg_latency_ms"))
 
 
 _OBS = """SELECT {keys}model, case_id, CAST(sum(tenths) AS DOUBLE) / CAST(count(*) * 10 AS DOUBLE) AS judge_score,
@@ -378,7 +377,7 @@ def formats(spark, d):
 def log_means(spark, d):
     log = F.log1p("output_tokens")
     return bed.results(spark, d).groupBy("model_id").agg(
-        F.round(F.avg(log), 6).alias("mean_log"), F.round(F.sum(N.tenths(F.col("judge_score")) * log), 3).alias("dot"))
+        F.round(F.avg(log), 6).alias("mean_log"), F.round(F.sum(F.expr(N.TENTHS) * log), 3).alias("dot"))
 
 
 @query("g01_first_score", "SELECT id, weighted_scores[1].score AS top_score FROM decisions")
