@@ -235,7 +235,7 @@ def decide(metrics: DataFrame, profiles: DataFrame, decisions: DataFrame, prompt
 def decisions_to_insert(decided: DataFrame, log: DataFrame, now) -> DataFrame:
     """The computed, not replayed, decisions as rows of the log."""
     new = number_rows(decided.where(~F.col("replayed")), "input_hash", ["profile"], log)
-    new = new.withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
+    new = new.withColumn("created_at", F.lit(str(now)).cast("timestamp_ntz"))
     return new.select(*[
         (F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.DECISIONS

@@ -14,7 +14,7 @@ from gradeloom.sources.tables import append_decisions, append_results
 def open_runs(runs: DataFrame, requested: DataFrame, now: dt.datetime) -> DataFrame:
     """New, unfinished runs for (request, prompt_id, dataset) rows; ids follow the last run."""
     return number_rows(requested, "request", [], runs).select(
-        "request", "id", "prompt_id", "dataset", F.lit(now).cast("timestamp_ntz").alias("started_at"),
+        "request", "id", "prompt_id", "dataset", F.lit(str(now)).cast("timestamp_ntz").alias("started_at"),
         F.lit(None).cast("timestamp_ntz").alias("finished_at"),
     )
 
@@ -24,7 +24,7 @@ def finalize_runs(runs: DataFrame, results: DataFrame, now: dt.datetime) -> Data
     last = results.groupBy("run_id").agg(F.max("created_at").alias("_last"))
     return (
         runs.join(last, runs["id"] == last["run_id"], "left")
-        .withColumn("finished_at", F.coalesce("finished_at", "_last", F.lit(now).cast("timestamp_ntz")))
+        .withColumn("finished_at", F.coalesce("finished_at", "_last", F.lit(str(now)).cast("timestamp_ntz")))
         .select(*runs.columns)
     )
 

@@ -62,7 +62,7 @@ def sync_prompts(prompts: DataFrame, staged: DataFrame, now) -> DataFrame:
     ]
     return (
         made.select(*columns, "previous_version_id").unionByName(unchanged[0]).unionByName(unchanged[1])
-        .withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
+        .withColumn("created_at", F.lit(str(now)).cast("timestamp_ntz"))
     )
 
 

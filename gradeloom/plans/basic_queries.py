@@ -317,7 +317,7 @@ def newest_rows(spark, d):
         "id", "created_at", "model")
 
 
-@query("e05_nulls_last", """SELECT provider, name, ctx, row_number() OVER (PARTITION BY provider ORDER BY ctx DESC NULLS LAST, name) AS place
+@query("e05_nulls_last", """SELECT provider, name, ctx, CAST(row_number() OVER (PARTITION BY provider ORDER BY ctx DESC NULLS LAST, name) AS INTEGER) AS place
     FROM (SELECT provider, name, min(context_window) AS ctx FROM catalog GROUP BY provider, name)""")
 def nulls_last(spark, d):
     groups = bed.catalog(spark, d).groupBy("provider", "name").agg(F.min("context_window").alias("ctx"))
@@ -337,7 +337,7 @@ def normalized_spread(spark, d):
         F.min("normalized").alias("lo"), F.max("normalized").alias("hi"), n_rows().alias("n"))
 
 
-@query("e08_rank", "SELECT run_id, profile, model, rank FROM ranked")
+@query("e08_rank", "SELECT run_id, profile, model, CAST(rank AS INTEGER) AS rank FROM ranked")
 def rank(spark, d):
     return D.rank_models(decision_metrics(spark, d), D.shipped_profiles(spark)).select("run_id", "profile", "model", "rank")
 

@@ -18,11 +18,11 @@ from gradeloom.streaming import live
 # --- markdown features -------------------------------------------------------
 
 _COUNTED = """WITH prose AS (SELECT id, response, regexp_replace(response, '```[^`]*```', '', 'g') AS prose FROM responses),
-    counted AS (SELECT id, len(regexp_extract_all(prose, '(?m)^#{1,6}\\s')) AS resp_style_headers,
-    len(regexp_extract_all(prose, '\\*\\*[^*\\n]+\\*\\*|__[^_\\n]+__')) AS resp_style_bold,
-    len(regexp_extract_all(prose, '(?m)^\\s*\\d+\\.\\s')) AS resp_style_ordered,
-    len(regexp_extract_all(prose, '(?m)^\\s*[-*+]\\s')) AS resp_style_unordered,
-    len(regexp_extract_all(response, '```[^`]*```')) AS resp_style_code_blocks FROM prose)
+    counted AS (SELECT id, CAST(len(regexp_extract_all(prose, '(?m)^#{1,6}\\s')) AS INTEGER) AS resp_style_headers,
+    CAST(len(regexp_extract_all(prose, '\\*\\*[^*\\n]+\\*\\*|__[^_\\n]+__')) AS INTEGER) AS resp_style_bold,
+    CAST(len(regexp_extract_all(prose, '(?m)^\\s*\\d+\\.\\s')) AS INTEGER) AS resp_style_ordered,
+    CAST(len(regexp_extract_all(prose, '(?m)^\\s*[-*+]\\s')) AS INTEGER) AS resp_style_unordered,
+    CAST(len(regexp_extract_all(response, '```[^`]*```')) AS INTEGER) AS resp_style_code_blocks FROM prose)
     """
 
 
@@ -239,7 +239,7 @@ def text_checks(spark, d):
     return _scored(spark, d).where("NOT is_judged").select("doc_id", "check_no", "check_kind", "score")
 
 
-@query("k03_verdicts", _SCORED + "SELECT doc_id, check_no, threshold, verdict FROM verdicts")
+@query("k03_verdicts", _SCORED + "SELECT doc_id, check_no, CAST(threshold AS DOUBLE) AS threshold, verdict FROM verdicts")
 def verdicts(spark, d):
     return _scored(spark, d).select("doc_id", "check_no", "threshold", "verdict")
 
@@ -322,6 +322,7 @@ def live_metrics(spark, d):
 @query("s02_regression_alerts", f"""WITH daily AS (SELECT event_type AS model, CAST(ts AS DATE) AS day, count(*) AS n, sum({_TENTHS}) AS s FROM events GROUP BY 1, 2),
     running AS (SELECT model, day, CAST(sum(s) OVER w AS DOUBLE) / CAST(sum(n) OVER w * 10 AS DOUBLE) AS mean_score FROM daily WINDOW w AS (PARTITION BY model ORDER BY day)),
     states AS (SELECT *, mean_score < 3.1 AS low, coalesce(lag(mean_score < 3.1) OVER (PARTITION BY model ORDER BY day), false) AS was FROM running)
-    SELECT model, day, mean_score, CASE WHEN low THEN 'raised' ELSE 'resolved' END AS event FROM states WHERE low <> was""")
+    SELECT model, CAST(day AS VARCHAR) AS day, mean_score, CASE WHEN low THEN 'raised' ELSE 'resolved' END AS event FROM states WHERE low <> was""")
 def regression_alerts(spark, d):
-    return live.regression_alerts(_streamed(spark, d), threshold=3.1)
+    alerts = live.regression_alerts(_streamed(spark, d), threshold=3.1)
+    return alerts.withColumn("day", F.col("day").cast("string"))

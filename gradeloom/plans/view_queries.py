@@ -23,6 +23,11 @@ def _pair(spark, d):
     return bed.results(spark, d), bed.models(spark, d)
 
 
+def _joined(df):
+    """The list of metrics as one text, which every engine compares alike."""
+    return df.withColumn("determinant_metrics", F.array_join("determinant_metrics", ","))
+
+
 def _model_metrics(spark, d):
     return R.model_metrics(*_pair(spark, d))
 
@@ -78,18 +83,18 @@ def model_decision_metrics(spark, d):
     return decision_metrics(spark, d)
 
 
-@query("v09_decision_summary", """SELECT d.id AS decision_id, d.recommended_model, d.confidence, d.reasoning, d.tradeoffs, d.determinant_metrics,
+@query("v09_decision_summary", """SELECT d.id AS decision_id, d.recommended_model, d.confidence, d.reasoning, d.tradeoffs, array_to_string(d.determinant_metrics, ',') AS determinant_metrics,
     d.created_at, m.mean_judge_score, m.stddev_judge_score, m.avg_total_tokens, m.efficiency, m.avg_latency_ms, m.ctx_pct, m.avg_cost,
     m.n_judged, d.run_id FROM decisions d LEFT JOIN mdm m ON m.model = d.recommended_model AND m.run_id IS NOT DISTINCT FROM d.run_id
     ORDER BY d.created_at DESC, d.id DESC LIMIT 1""")
 def decision_summary(spark, d):
-    return D.decision_summary(bed.decisions(spark, d), decision_metrics(spark, d))
+    return _joined(D.decision_summary(bed.decisions(spark, d), decision_metrics(spark, d)))
 
 
-@query("v10_decision_by_profile", """SELECT profile, recommended_model, confidence, top_score, reasoning, tradeoffs, determinant_metrics,
+@query("v10_decision_by_profile", """SELECT profile, recommended_model, confidence, top_score, reasoning, tradeoffs, array_to_string(determinant_metrics, ',') AS determinant_metrics,
     created_at, mean_judge_score, efficiency, avg_total_tokens, avg_latency_ms, ctx_pct, avg_cost, n_judged, run_id FROM by_profile""")
 def decision_by_profile(spark, d):
-    return by_profile(spark, d).drop("weighted_scores")
+    return _joined(by_profile(spark, d).drop("weighted_scores"))
 
 
 # --- ranking, cache, feed ----------------------------------------------------
@@ -101,7 +106,7 @@ def call_cost(spark, d):
     return K.call_cost(rows.drop("cost"), models).select("id", F.col("cost").cast("double").alias("cost"))
 
 
-@query("m07_rank_models", "SELECT run_id, profile, model, round(score, 9) AS score, rank FROM ranked")
+@query("m07_rank_models", "SELECT run_id, profile, model, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM ranked")
 def rank_models(spark, d):
     return D.rank_models(decision_metrics(spark, d), D.shipped_profiles(spark)).withColumn("score", F.round("score", 9))
 
@@ -335,10 +340,10 @@ def detail_log_styled(spark, d):
     return B.detail_log(*_pair(spark, d), B.latest_run(bed.runs(spark, d)), with_style=True)
 
 
-@query("q05_decision_cards", """SELECT run_id, profile, recommended_model, confidence, top_score, determinant_metrics, tradeoffs, reasoning
+@query("q05_decision_cards", """SELECT run_id, profile, recommended_model, confidence, top_score, array_to_string(determinant_metrics, ',') AS determinant_metrics, tradeoffs, reasoning
     FROM by_profile""")
 def decision_cards(spark, d):
-    return B.decision_cards(by_profile(spark, d))
+    return _joined(B.decision_cards(by_profile(spark, d)))
 
 
 @query("q06_weighted_ranking", """SELECT run_id, profile, e.model AS model, e.score AS score
