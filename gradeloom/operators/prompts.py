@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.functions.text import content_hash, is_blank
+from gradeloom.functions.text import content_hash, is_blank, strip
 from gradeloom.functions.windows import lag_by_bucket, number_rows
 from gradeloom.operators.cases import violations
 
@@ -22,7 +22,7 @@ def validate_prompts(staged: DataFrame) -> DataFrame:
 def hashed(staged: DataFrame) -> DataFrame:
     """Staged templates with trimmed name, text version and content hash."""
     return staged.withColumns({
-        "name": F.trim("name"),
+        "name": strip(F.col("name")),
         "version": F.col("version").cast("string"),
         "hash": content_hash(F.col("content")),
     })
