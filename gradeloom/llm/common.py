@@ -58,12 +58,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds
 
 
-def blocks(bounds: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts, each of ``most`` bytes at most unless one text is longer."""
+def blocks(bounds: np.ndarray, most: int = BLOCK, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, each of ``most`` bytes and ``rows`` texts at most unless one text is longer."""
     n, start = len(bounds) - 1, 0
     while start < n:
         stop = int(np.searchsorted(bounds, bounds[start] + most, side="right")) - 1
-        stop = min(max(stop, start + 1), n)
+        stop = min(max(stop, start + 1), start + rows, n)
         yield start, stop
         start = stop
 
@@ -83,38 +83,45 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return cache["powers"]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end) of ``data``."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers(len(data))
+def running_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of the bytes' codes times the powers of a base, from the left."""
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE_CODES[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(_BYTE_CODES[data] * _powers(len(data))[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end), from their ``running_sums``."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    inverse = _powers(len(sums) - 1)[1]
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 
-def words_of(raw: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(kept: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``True``; runs end at the cuts between texts."""
+    first = kept.copy()
+    first[1:] &= ~kept[:-1]
+    last = kept.copy()
+    last[:-1] &= ~kept[1:]
+    inner = cuts[1:-1]
+    inner = inner[(inner > 0) & (inner < len(kept))]
+    first[inner] = kept[inner]
+    last[inner - 1] = kept[inner - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts, A-Z lower-cased.
 
     Returns the bytes, the starts and ends of the words in them, the hashes of
     the words and, per text, the number of the first word (one entry more).
     """
-    data = raw[bounds[0] : bounds[-1]]
-    if lower:
-        data = LOWER[data]
+    data = LOWER[raw[bounds[0] : bounds[-1]]]
     cuts = bounds - bounds[0]
-    word = ~_SPACE[data]
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    last = word.copy()
-    last[:-1] &= ~word[1:]
-    inner = cuts[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
-    first[inner] = word[inner]
-    last[inner - 1] = word[inner - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return data, starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, cuts)
+    starts, ends = runs_of(~_SPACE[data], cuts)
+    return data, starts, ends, span_hashes(running_sums(data), starts, ends), np.searchsorted(starts, cuts)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
