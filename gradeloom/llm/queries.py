@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import language_id, packing, token_store, toxicity
+from gradeloom.llm import byte_bpe, language_id, packing, token_store, toxicity
 from gradeloom.llm.exact_dedup import exact_groups
 from gradeloom.llm.minhash_dedup import near_groups
 from gradeloom.session import scratch_path
@@ -81,3 +81,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-store")
     token_store.write_tokens(table(spark, sf_dir, "documents"), folder)
     return token_store.read_tokens(spark, folder)
+
+
+@query("op10_byte_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), with_ids=False)
