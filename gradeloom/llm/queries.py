@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import byte_bpe, language_id, packing, token_store, toxicity
+from gradeloom.llm.embedding_dedup import near_vectors
 from gradeloom.llm.exact_dedup import exact_groups
 from gradeloom.llm.minhash_dedup import near_groups
 from gradeloom.session import scratch_path
@@ -83,6 +84,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, folder)
 
 
+@query("op9_embedding_dedup", """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reached(node, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+       (SELECT min(other) FROM reached r WHERE r.node = e.vec_id) AS component_id,
+       e.vec_id = (SELECT min(other) FROM reached r WHERE r.node = e.vec_id) AS kept
+FROM embeddings e
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), with_ids=False)
