@@ -11,6 +11,7 @@ from gradeloom.llm import byte_bpe, language_id, packing, token_store, toxicity
 from gradeloom.llm.embedding_dedup import near_vectors
 from gradeloom.llm.exact_dedup import exact_groups
 from gradeloom.llm.minhash_dedup import near_groups
+from gradeloom.llm.substring_dedup import repeats
 from gradeloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +73,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
