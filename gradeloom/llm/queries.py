@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import byte_bpe, language_id, packing, token_store, toxicity
+from gradeloom.llm import byte_bpe, html_extract, language_id, packing, token_store, toxicity
 from gradeloom.llm.embedding_dedup import near_vectors
 from gradeloom.llm.exact_dedup import exact_groups
 from gradeloom.llm.minhash_dedup import near_groups
@@ -78,6 +78,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op6_html_extract")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
