@@ -6,6 +6,11 @@ low bits of each (mixed) minimum are kept, packed into five words. Documents
 that share a bucket are compared by counting agreeing bit pairs, corrected for
 chance agreement; what passes is confirmed on the full sets.
 
+A document also keeps, per place of a table of ``PARITY`` bits, whether an even or
+odd number of its shingles hash there. Two sets that differ in few shingles
+differ in as few of these bits at most, so a pair with more differing bits than
+its sizes allow is ruled out for certain.
+
 With 32 bands of 5 rows, a pair at similarity 0.8 misses all buckets with
 probability 3e-6; the estimate has a standard error of 0.038 there, and the
 bound on it lies more than five of them below the threshold.
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from gradeloom.llm.common import _ODD, blocks, mix64, shingle_hashes, stored, text_buffers, words_of
 from gradeloom.llm.graph import components
 
-BANDS, ROWS, BITS = 32, 5, 2
+BANDS, ROWS, BITS, PARITY = 32, 5, 2, 1024
 _WORDS = BANDS * ROWS * BITS // 64
 _RANDOM = np.random.RandomState(5)
 _FACTORS = _RANDOM.randint(0, 2**31, size=BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -75,10 +80,18 @@ def signatures(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys, packed
 
 
+def parities(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The parity bits of every non-empty set, in 64-bit words."""
+    full = counts[counts > 0]
+    at = np.repeat(np.arange(len(full)), full) * PARITY + (sets % np.uint64(PARITY)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(full) * PARITY) & 1
+    return np.packbits(odd.astype(bool).reshape(len(full), PARITY), axis=1, bitorder="little").view(np.uint64).reshape(len(full), PARITY // 64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, bounds = text_buffers(batch.column(1))
-        for a, b in blocks(bounds):
+        for a, b in blocks(bounds, rows=2048):
             sets, counts = shingle_sets(raw, bounds[a : b + 1], size)
             full = counts > 0
             starts = np.concatenate(([0], np.cumsum(counts)[:-1]))[full]
@@ -88,12 +101,12 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                 for j in range(2):
                     prints[full, j] = np.add.reduceat(mix64(sets + _salt(j + 1)), starts)
             lists = []
-            for values, width in ((keys, BANDS), (packed, _WORDS)):
+            for values, width in ((keys, BANDS), (packed, _WORDS), (parities(sets, counts), PARITY // 64)):
                 at = np.concatenate(([0], np.cumsum(full) * width)).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(values.reshape(-1).view(np.int64))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), pa.array(counts), *(pa.array(prints[:, j].copy().view(np.int64)) for j in range(2)), *lists],
-                names=["doc_id", "n_shingles", "p0", "p1", "keys", "bits"])
+                names=["doc_id", "n_shingles", "p0", "p1", "keys", "bits", "odd"])
 
 
 def _collect_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -119,6 +132,11 @@ def estimate(left: Column, right: Column) -> Column:
     return (share - chance) / (1 - chance)
 
 
+def differing(left: Column, right: Column) -> Column:
+    """Differing parity bits; two sets differ in so many shingles at least."""
+    return reduce(Column.__add__, (F.bit_count(left[i].bitwiseXOR(right[i])) for i in range(PARITY // 64)))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
                 star_rounds: int = 3, margin: float = 0.2) -> DataFrame:
     """The group of near duplicates that every row belongs to.
@@ -135,12 +153,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member is compared with one hub, not with every other. Buckets whose members
     are then still in different groups get other hubs, for ``star_rounds``
     rounds. What remains apart is compared member by member, so no link is lost
-    to the choice of hubs; there, the estimate from the packed bits
-    (at least ``percent / 100 - margin``) and the sizes of the sets rule out
-    pairs inside the join.
+    to the choice of hubs. Pairs are ruled out by the sizes of the sets, by the
+    estimate from the packed bits (less than ``percent / 100 - margin``) and by
+    the parity bits; in the last comparison that happens inside the join, which
+    so emits little more than links between groups.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, p0 long, p1 long, keys array<long>, bits array<long>"
+    schema = "doc_id long, n_shingles long, p0 long, p1 long, keys array<long>, bits array<long>, odd array<long>"
     sketch = stored(source.mapInArrow(partial(_sketch, size=size), schema), "sketch")
     classes = stored(sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "p0", "p1")
                      .agg(F.min("doc_id").alias("rep")), "classes")
@@ -149,7 +168,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exploded = sketched.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
     busy = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stored(exploded.join(busy, "key", "left_semi"), "members")
-    bits = sketched.select(F.col("doc_id").alias("rep"), "n_shingles", "bits")
+    bits = sketched.select(F.col("doc_id").alias("rep"), "n_shingles", "bits", "odd")
     needed = members.select("rep").distinct()
     bits = stored(bits.join(needed, "rep", "left_semi"), "bits")
     # Only texts that share a bucket travel.
@@ -158,13 +177,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     floor = percent / 100 - margin
 
+    def possible(na: str, nb: str, bits_a: str, bits_b: str, odd_a: str, odd_b: str) -> Column:
+        sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+        differ = differing(F.col(odd_a), F.col(odd_b)) * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
+        return sizes & differ & (estimate(F.col(bits_a), F.col(bits_b)) >= floor)
+
     def close(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and estimate allow a link."""
-        left = bits.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"))
-        right = bits.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"))
+        """Pairs whose sketches allow a link."""
+        left, right = (bits.select(F.col("rep").alias(x), *(F.col(c).alias(c + x) for c in ("n_shingles", "bits", "odd"))) for x in "ab")
         return (pairs.join(left, "a").join(right, "b")
-                .where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate(F.col("ba"), F.col("bb")) >= floor))
-                .select("a", "b"))
+                .where(possible("n_shinglesa", "n_shinglesb", "bitsa", "bitsb", "odda", "oddb")).select("a", "b"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
@@ -188,8 +210,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rest = stored(rest, "rest")
             x, y = rest.alias("x"), rest.alias("y")
             pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-                           & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent)
-                           & (estimate(F.col("x.bits"), F.col("y.bits")) >= floor))
+                           & possible("x.n_shingles", "y.n_shingles", "x.bits", "y.bits", "x.odd", "y.odd"))
             pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         links = stored(confirmed(pairs), "confirmed")
         if links.limit(1).count() == 0:
