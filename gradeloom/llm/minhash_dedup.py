@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import _ODD, blocks, mix64, shingle_hashes, stored, text_buffers, words_of
+from gradeloom.llm.common import _ODD, blocks, fresh, mix64, shingle_hashes, stored, text_buffers, words_of
 from gradeloom.llm.graph import components
 
 BANDS, ROWS, BITS, PARITY = 32, 5, 2, 1024
@@ -225,3 +225,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = sketch.select("doc_id", "n_shingles", "p0", "p1").join(of_class, ["n_shingles", "p0", "p1"], "left")
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` per group of near duplicates, that with the smallest id.
+
+    Rows that are linked with nothing stay, as do null and wordless texts and rows
+    without an id. All columns stay as they are.
+    """
+    key = fresh(docs, "_near_id")
+    gone = near_groups(docs, id_col, text_col, size, percent).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti")
