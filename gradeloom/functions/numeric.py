@@ -30,7 +30,7 @@ def stddev_of_sums(n: str, total: str, total_sq: str, unit: int = 1) -> Column:
     """Sample standard deviation from additive sums; NULL below two values."""
     square = f"cast({total} as decimal(19,0)) * cast({total} as decimal(19,0))"
     spread = f"cast({n} as decimal(18,0)) * cast({total_sq} as decimal(20,0)) - {square}"
-    return F.expr(f"CASE WHEN {n} > 1 THEN sqrt(cast({spread} as double) / cast({n} * ({n} - 1) as double)) / {unit} END")
+    return F.expr(f"CASE WHEN {n} > 1 THEN sqrt(cast({spread} as double) / (cast({n} as double) * cast({n} - 1 as double))) / {unit} END")
 
 
 def guarded_corr(y: Column, x: Column) -> Column:

@@ -19,10 +19,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_MARK = "end of the document 7c1f"
+
+
+def strict_json(text: Column) -> Column:
+    """The text as VARIANT; NULL unless all of it is one JSON document.
+
+    The parser stops behind the first value. So the text is read as the first
+    element of an array of two, the second a mark: what follows the first value
+    moves the mark or spoils the array. A key that occurs twice in one object is
+    rejected like any other text that is not JSON.
+    """
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')))
+    member = lambda i, kind: F.try_variant_get(both, f"$[{i}]", kind)
+    whole = (member(1, "string") == _MARK) & member(2, "variant").isNull() & ~F.contains(text, F.lit(_MARK))
+    return F.when(whole, member(0, "variant"))
+
+
 def json_document(raw: Column) -> Column:
     """The answer as VARIANT; NULL when it is not JSON."""
     inner = F.nullif(F.regexp_extract(raw, FENCED_OBJECT, 1), F.lit(""))
-    return F.try_parse_json(F.coalesce(inner, raw))
+    return strict_json(F.coalesce(inner, raw))
 
 
 def type_of(doc: Column, path: str) -> Column:

@@ -76,7 +76,8 @@ def call_plan(requests: DataFrame, cases: DataFrame) -> DataFrame:
     """
     return (
         requests.join(cases, "dataset")
-        .withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.col("samples").cast("int") - 1)))
+        .where("samples > 0")  # a sequence to -1 would count down
+        .withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.greatest(F.col("samples").cast("int"), F.lit(1)) - 1)))
         .drop("samples")
     )
 
@@ -84,7 +85,7 @@ def call_plan(requests: DataFrame, cases: DataFrame) -> DataFrame:
 def planned_counts(requests: DataFrame, cases: DataFrame) -> DataFrame:
     """Size of each run's plan, by arithmetic."""
     sizes = cases.groupBy("dataset").agg(F.count(F.lit(1)).alias("_cases"))
-    asked = requests.groupBy("run_id", "dataset").agg(F.sum("samples").alias("_calls"))
+    asked = requests.groupBy("run_id", "dataset").agg(F.sum(F.greatest("samples", F.lit(0))).alias("_calls"))
     return asked.join(sizes, "dataset", "left").select(
         "run_id", (F.col("_calls") * F.coalesce("_cases", F.lit(0))).alias("n_planned")
     )
@@ -96,6 +97,11 @@ def missing_calls(plan: DataFrame, results: DataFrame) -> DataFrame:
     return plan.join(done, ["run_id", "model_id", "case_id", "sample_idx"], "left_anti")
 
 
+def failed_calls(plan: DataFrame, results: DataFrame) -> DataFrame:
+    """Number of planned calls without a result row, per run that has any."""
+    return missing_calls(plan, results).groupBy("run_id").agg(F.count(F.lit(1)).alias("failed"))
+
+
 def call_inputs(plan: DataFrame, system: str | Column) -> DataFrame:
     """Plan rows with the text sent to the model."""
     system = F.lit(system) if isinstance(system, str) else system

@@ -38,10 +38,15 @@ def upsert_catalog(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def patch_catalog(models: DataFrame, patch: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Overwrite catalogue columns with the non-NULL values of a patch, by name."""
+    """Overwrite catalogue columns with the non-NULL values of a patch, by name.
+
+    Two patch rows for one name are an error.
+    """
     on = on or ["name"]
     changed = [c for c in patch.columns if c not in on]
-    fixes = patch.select(*on, *[F.col(c).alias(f"_new_{c}") for c in changed])
+    twice = F.raise_error(F.concat_ws(" ", F.lit("two patch rows for"), *on)).cast("boolean")
+    fixes = (patch.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(f"_new_{c}") for c in changed])
+             .where(F.when(F.col("_n") > 1, twice).otherwise(True)).drop("_n"))
     return models.join(fixes, on, "left").select(
         *[F.coalesce(f"_new_{c}", c).alias(c) if c in changed else F.col(c) for c in models.columns]
     )
@@ -55,12 +60,22 @@ def prune_catalog(models: DataFrame, results: DataFrame, provider: str) -> DataF
 
 
 def call_cost(results: DataFrame, models: DataFrame) -> DataFrame:
-    """Result rows with the exact cost of their tokens at catalogue prices."""
+    """Result rows with the exact cost of their tokens at catalogue prices.
+
+    A result of a model that the catalogue lacks stays, with a NULL cost;
+    ``unpriced`` counts such rows.
+    """
     prices = models.select(F.col("id").alias("model_id"), "input_cost", "output_cost")
     cost = (F.col("input_tokens").cast("decimal(10,0)") * F.col("input_cost").cast("decimal(18,12)")
             + F.col("output_tokens").cast("decimal(10,0)") * F.col("output_cost").cast("decimal(18,12)"))
     return (
-        results.join(prices, "model_id")
+        results.join(prices, "model_id", "left")
         .withColumn("cost", cost.cast("decimal(18,9)"))
         .drop("input_cost", "output_cost")
     )
+
+
+def unpriced(results: DataFrame, models: DataFrame) -> DataFrame:
+    """Model ids that results refer to and the catalogue lacks, with their rows."""
+    counts = results.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_results"))
+    return counts.join(models.select(F.col("id").alias("model_id")), "model_id", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom import schema
 from gradeloom.functions.text import strip
-from gradeloom.functions.verdict_json import is_object, let
+from gradeloom.functions.verdict_json import is_object, let, strict_json
 
 # Shape of one check of a case. ``values`` and ``pattern`` serve the text
 # checks, ``required`` and ``properties`` the flat JSON schema.
@@ -68,20 +68,24 @@ def _schema_passed(response: Column, check: Column) -> Column:
                          | fits(F.element_at(members, r["key"]), r["value"]))
         return F.coalesce(present & expected & typed, F.lit(False))
 
-    valid = is_object(F.try_parse_json(response))
+    valid = is_object(strict_json(response))
     return valid & let(F.from_json(F.when(valid, response), "map<string,variant>"), conforms)
 
 
-def check_scores(responses: DataFrame, cases: DataFrame) -> DataFrame:
+def check_scores(responses: DataFrame, cases: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     """One row per response and check: score, threshold, weight and verdict.
 
     ``cases``: (case_id, kind, category, checks ARRAY<CHECK>). Code tests and
     judged checks are scored elsewhere: their scores come with the response, as
     ``outside_scores`` by check number. A missing response or score is a
-    technical ERROR, a low score is a FAIL.
+    technical ERROR, a low score is a FAIL. ``plan`` lists the calls that were to
+    be made: one that left no response is an ERROR of each of its checks. A case
+    that is unknown or has no checks is one ERROR row without a check.
     """
+    if plan is not None:
+        responses = plan.join(responses, [c for c in plan.columns if c in responses.columns], "left")
     spec = cases.select("case_id", F.col("kind").alias("case_kind"), "category", "checks")
-    rows = responses.join(spec, "case_id").select("*", F.posexplode("checks").alias("check_no", "c")).drop("checks")
+    rows = responses.join(spec, "case_id", "left").select("*", F.posexplode_outer("checks").alias("check_no", "c")).drop("checks")
     c, response = F.col("c"), F.col("response")
     text_kinds = ["exact", "contains", "not_contains", "regex"]
     outside = F.lit(None).cast("double")
@@ -92,7 +96,7 @@ def check_scores(responses: DataFrame, cases: DataFrame) -> DataFrame:
         .when((c["kind"] == "json_schema") & response.isNotNull(), _schema_passed(response, c).cast("double"))
         .when(response.isNotNull(), outside)
     )
-    judged = c["kind"].isin(schema.JUDGED_CHECKS)
+    judged = F.coalesce(c["kind"].isin(schema.JUDGED_CHECKS), F.lit(False))
     threshold = F.coalesce(c["threshold"], F.when(judged, schema.JUDGED_THRESHOLD).otherwise(schema.DETERMINISTIC_THRESHOLD))
     return rows.withColumns({
         "check_kind": c["kind"], "is_judged": judged, "score": score, "threshold": threshold,
@@ -117,16 +121,16 @@ def case_verdicts(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def dataset_gate(scored: DataFrame, keys: list[str], min_pass_rate: float = 0.9) -> DataFrame:
-    """Canaries all pass and enough deterministic checks pass."""
+    """Canaries all pass, every case is known and enough deterministic checks pass."""
     canary, det = F.col("case_kind") == "canary", ~F.col("is_judged")
     passed = F.col("verdict") == "PASS"
     g = scored.groupBy(*keys).agg(
-        F.count_if(canary).alias("n_canary"), F.count_if(canary & passed).alias("n_canary_pass"),
+        F.count_if(F.col("case_kind").isNull()).alias("n_unknown"), F.count_if(canary).alias("n_canary"), F.count_if(canary & passed).alias("n_canary_pass"),
         F.count_if(det & ~canary).alias("n_checks"), F.count_if(det & ~canary & passed).alias("n_pass"),
     )
     rate = F.try_divide(F.col("n_pass"), F.col("n_checks"))
     return g.withColumn("pass_rate", rate).withColumn(
-        "gate_ok", (F.col("n_canary") == F.col("n_canary_pass")) & (F.coalesce(rate, F.lit(1.0)) >= min_pass_rate)
+        "gate_ok", (F.col("n_unknown") == 0) & (F.col("n_canary") == F.col("n_canary_pass")) & (F.coalesce(rate, F.lit(1.0)) >= min_pass_rate)
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom import schema
-from gradeloom.functions.text import content_hash
 from gradeloom.functions.windows import number_rows
 from gradeloom.operators.cases import violations
 
@@ -36,16 +35,25 @@ def validate_profiles(profiles: DataFrame) -> DataFrame:
     return rows.unionByName(empty.unionByName(zero), allowMissingColumns=True)
 
 
-def _weights_text() -> Column:
-    """Canonical text of a profile's weights, metrics in order (at most seven)."""
-    item = F.concat(F.col("metric"), F.lit("="), F.col("weight").cast("decimal(18,6)").cast("string"))
-    return F.array_join(F.array_sort(F.collect_list(item)), ";")
+def profile_named(profiles: DataFrame, name: str) -> DataFrame:
+    """The weights of one profile; an unknown name is an error that lists the known ones."""
+    is_it = F.col("profile") == name
+    found = profiles.agg(
+        F.collect_list(F.when(is_it, F.struct("profile", "metric", "weight"))).alias("w"),
+        F.array_join(F.array_sort(F.collect_set("profile")), ", ").alias("known"))
+    missing = F.raise_error(F.concat(F.lit(f"no profile {name!r}; known: "), F.col("known")))
+    return found.select(F.explode(F.when(F.size("w") > 0, F.col("w")).otherwise(missing)).alias("e")).select("e.*")
 
 
 def profile_fingerprints(profiles: DataFrame) -> DataFrame:
-    """Hash of name and weights per profile; the order of weights is irrelevant."""
-    return profiles.groupBy("profile").agg(_weights_text().alias("_w")).select(
-        "profile", content_hash(F.concat_ws("\n", "profile", "_w")).alias("fingerprint")
+    """Hash of name and weights per profile; the order of weights is irrelevant.
+
+    The hashed text is JSON with every digit of the weights, so no two profiles
+    share a text and an edit of any digit changes it (at most seven weights).
+    """
+    weights = F.array_sort(F.collect_list(F.struct("metric", F.col("weight").cast("double").alias("weight"))))
+    return profiles.groupBy("profile").agg(weights.alias("weights")).select(
+        "profile", F.sha2(F.to_json(F.struct("profile", "weights")), 256).alias("fingerprint")
     )
 
 
@@ -203,8 +211,9 @@ def decide(metrics: DataFrame, profiles: DataFrame, decisions: DataFrame, prompt
     """One decision per run and profile: replayed from the log or computed.
 
     A logged decision with the same cache key, prompt and profile is replayed,
-    the newest first; ``force`` ignores the log. ``justifications`` adds the
-    written columns (determinant_metrics, tradeoffs, reasoning) to new rows.
+    the newest first, with every column as it was stored; ``force`` ignores the
+    log. ``justifications`` adds the written columns (determinant_metrics,
+    tradeoffs, reasoning) to new rows only.
     """
     fresh = (
         keyed_recommendations(metrics, profiles)
@@ -213,10 +222,12 @@ def decide(metrics: DataFrame, profiles: DataFrame, decisions: DataFrame, prompt
     if justifications is not None:
         fresh = fresh.join(justifications, ["run_id", "profile"], "left")
     log = decisions.where(F.lit(False)) if force else decisions
+    stored = [c for c in schema.DECISIONS.fieldNames()
+              if c in decisions.columns and c not in ("id", "input_hash", "prompt_id", "profile", "run_id")]
     last = (
         log.groupBy("input_hash", "prompt_id", "profile")
         .agg(F.max_by(
-            F.struct("id", "recommended_model", "confidence", "weighted_scores"),
+            F.struct("id", *stored),
             F.struct("created_at", "id")).alias("_hit"))
         .select(F.col("input_hash").alias("_h"), F.col("prompt_id").alias("_q"), F.col("profile").alias("_f"), "_hit")
     )
@@ -224,7 +235,8 @@ def decide(metrics: DataFrame, profiles: DataFrame, decisions: DataFrame, prompt
         (fresh["input_hash"] == F.col("_h")) & fresh["prompt_id"].eqNullSafe(F.col("_q"))
         & fresh["profile"].eqNullSafe(F.col("_f"))
     )
-    kept = {c: F.coalesce(F.col(f"_hit.{c}"), F.col(c)) for c in ("recommended_model", "confidence", "weighted_scores")}
+    hit = F.col("_hit").isNotNull()
+    kept = {c: F.when(hit, F.col(f"_hit.{c}")).otherwise(F.col(c) if c in fresh.columns else F.lit(None)) for c in stored}
     return (
         fresh.join(last, same, "left")
         .withColumns({**kept, "replayed": F.col("_hit").isNotNull(), "decision_id": F.col("_hit.id")})

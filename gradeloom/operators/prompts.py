@@ -33,10 +33,15 @@ def sync_prompts(prompts: DataFrame, staged: DataFrame, now) -> DataFrame:
 
     ``now`` is the literal creation time of new rows. Staged templates of one
     name are taken in ``source`` order, each new one replacing the one before,
-    and a repeat of a text is the version already made for it.
+    and a repeat of a text is the version already made for it. An unchanged
+    template comes back as the stored row: its version, its predecessor and its
+    time of creation.
     """
     staged = hashed(staged).select("source", "name", "version", "content", "hash")
-    known = prompts.groupBy("name", "hash").agg(F.min("id").alias("known_id"))
+    before = F.col("previous_version_id") if "previous_version_id" in prompts.columns else F.lit(None).cast("bigint")
+    row = F.struct(F.col("id").alias("known_id"), F.col("version").cast("string").alias("known_version"),
+                   before.cast("bigint").alias("known_previous"), F.col("created_at").cast("timestamp_ntz").alias("known_at"))
+    known = prompts.groupBy("name", "hash").agg(F.min_by(row, "id").alias("_k")).select("name", "hash", "_k.*")
     newest = prompts.groupBy("name").agg(
         F.max_by("id", F.struct("created_at", "id")).alias("latest_id")
     )
@@ -52,18 +57,15 @@ def sync_prompts(prompts: DataFrame, staged: DataFrame, now) -> DataFrame:
         .withColumn("previous_version_id", F.coalesce(F.lag("id").over(in_order), "latest_id"))
         .withColumn("action", F.when(F.col("previous_version_id").isNull(), "initial").otherwise("new_version"))
     )
-    none = F.lit(None).cast("bigint").alias("previous_version_id")
-    seen = joined.where("known_id IS NOT NULL").withColumn("id", F.col("known_id"))
-    repeats = fresh.join(first.select("source"), "source", "left_anti").join(
-        made.select("name", "hash", "id"), ["name", "hash"])
-    columns = ["source", "name", "version", "hash", "content", "action", "id"]
-    unchanged = [
-        part.withColumn("action", F.lit("unchanged")).select(*columns, none) for part in (seen, repeats)
-    ]
-    return (
-        made.select(*columns, "previous_version_id").unionByName(unchanged[0]).unionByName(unchanged[1])
-        .withColumn("created_at", F.lit(str(now)).cast("timestamp_ntz"))
-    )
+    made = made.withColumn("created_at", F.lit(str(now)).cast("timestamp_ntz"))
+    seen = joined.where("known_id IS NOT NULL").withColumns({
+        "id": F.col("known_id"), "version": F.col("known_version"),
+        "previous_version_id": F.col("known_previous"), "created_at": F.col("known_at")})
+    repeats = fresh.select("source", "name", "content", "hash").join(first.select("source"), "source", "left_anti").join(
+        made.select("name", "hash", "id", "version", "previous_version_id", "created_at"), ["name", "hash"])
+    columns = ["source", "name", "version", "hash", "content", "action", "id", "previous_version_id", "created_at"]
+    same = [part.withColumn("action", F.lit("unchanged")).select(*columns) for part in (seen, repeats)]
+    return made.select(*columns).unionByName(same[0]).unionByName(same[1])
 
 
 def latest_prompts(prompts: DataFrame) -> DataFrame:

@@ -344,11 +344,12 @@ def style_delta(results: DataFrame, models: DataFrame, baseline: str = "zero-sho
                     (F.col("mean_score") - base).alias("delta"))
 
 
-def run_summary(planned: DataFrame, results: DataFrame) -> DataFrame:
+def run_summary(planned: DataFrame, results: DataFrame, failed: DataFrame) -> DataFrame:
     """Per run: inserted and failed calls, spend and latency; zeros when empty.
 
-    ``planned`` holds (run_id, n_planned); a failed call leaves no row, so the
-    failures are the difference and the plan need not be spelled out.
+    ``planned`` has a row per run; ``failed`` has (run_id, failed), the planned
+    calls without a result row. Rows that were not planned, or stored twice, count
+    as inserted and hide no failure.
     """
     got = results.groupBy("run_id").agg(*_aggs(
         "count(1) AS inserted", "sum(cost) AS total_cost",
@@ -358,9 +359,8 @@ def run_summary(planned: DataFrame, results: DataFrame) -> DataFrame:
         "sum(cast(latency_ms as bigint)) AS _lat",
     ))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return planned.join(got, "run_id", "left").select(
-        "run_id", z("inserted").alias("inserted"),
-        (F.col("n_planned") - z("inserted")).alias("failed"),
+    return planned.select("run_id").join(got, "run_id", "left").join(failed, "run_id", "left").select(
+        "run_id", z("inserted").alias("inserted"), z("failed").alias("failed"),
         z("total_cost").cast("double").alias("total_cost"),
         z("total_input_tokens").alias("total_input_tokens"),
         z("total_output_tokens").alias("total_output_tokens"),

@@ -32,15 +32,20 @@ def parse_justifications(raw: DataFrame, column: str = "raw") -> DataFrame:
 def apply_verdicts(results: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Write valid verdicts (id, judge_score, judge_reasoning) onto result rows.
 
-    Several verdicts for one row fold to the last by ``judged_at`` when that
-    column is there; a rejected verdict changes nothing.
+    Several verdicts for one row fold to the last by ``judged_at``, equal times by
+    score and reasoning. Without that column a second valid verdict for a row is
+    an error. A rejected verdict changes nothing. Verdicts with a ``run_id`` join
+    on (run_id, id), which a store clustered by run answers from those runs.
     """
     valid = verdicts.where("judge_score IS NOT NULL")
-    order = "judged_at" if "judged_at" in verdicts.columns else "judge_score"
-    new = valid.groupBy("id").agg(
-        F.max_by(F.struct("judge_score", "judge_reasoning"), order).alias("_new")
-    )
-    return results.join(new, "id", "left").withColumns({
+    key = ["run_id", "id"] if "run_id" in verdicts.columns else ["id"]
+    timed = ["judged_at"] if "judged_at" in verdicts.columns else []
+    last = F.max_by(F.struct("judge_score", "judge_reasoning"), F.struct(*timed, "judge_score", "judge_reasoning"))
+    several = F.lit(False) if timed else F.count(F.lit(1)) > 1
+    new = valid.groupBy(*key).agg(last.alias("_last"), several.alias("_several")).select(
+        *key, F.when(F.col("_several"), F.raise_error(F.concat(F.lit("several verdicts, in no order, for row "), F.col("id"))).cast(
+            "struct<judge_score:decimal(3,1),judge_reasoning:string>")).otherwise(F.col("_last")).alias("_new"))
+    return results.join(new, key, "left").withColumns({
         "judge_score": F.coalesce("_new.judge_score", "judge_score"),
         "judge_reasoning": F.when(F.col("_new").isNotNull(), F.col("_new.judge_reasoning")).otherwise(F.col("judge_reasoning")),
     }).drop("_new")

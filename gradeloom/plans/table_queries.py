@@ -51,7 +51,7 @@ def append_results(spark, d):
 
 _RAW = """WITH quoted AS (SELECT doc_id AS id, to_json(text)::VARCHAR AS reasoning, n_chars % 101 AS pct FROM documents),
 scored AS (SELECT id, reasoning, CASE WHEN pct < 100 THEN '0.' || lpad(CAST(pct AS VARCHAR), 2, '0') ELSE '1.00' END AS score FROM quoted),
-raw AS (SELECT id, CASE id % 8
+raw AS (SELECT id, CASE id % 11
     WHEN 0 THEN '{"score": ' || score || ', "reasoning": ' || reasoning || '}'
     WHEN 1 THEN 'Voici :' || chr(10) || '```json' || chr(10) || '{"score": ' || score || ', "reasoning": ' || reasoning || '}' || chr(10) || '```'
     WHEN 2 THEN 'Score ' || score || ' because ' || reasoning
@@ -59,6 +59,9 @@ raw AS (SELECT id, CASE id % 8
     WHEN 4 THEN '{"score": true, "reasoning": ' || reasoning || '}'
     WHEN 5 THEN '{"score": ' || score || ', "reasoning": "  "}'
     WHEN 6 THEN '[' || score || ', ' || reasoning || ']'
+    WHEN 8 THEN '{"score": ' || score || ', "reasoning": ' || reasoning || '} as asked'
+    WHEN 9 THEN '{"score": ' || score || ', "reasoning": ' || reasoning || '}{"score": 1}'
+    WHEN 10 THEN '```' || chr(10) || '{"score": ' || score || ', "reasoning": ' || reasoning || '}' || chr(10) || '```' || chr(10) || '```' || chr(10) || '{"score": 1}' || chr(10) || '```'
     ELSE '{"score": 1, "reasoning": ' || reasoning || '}' END AS raw FROM scored),
 inner_text AS (SELECT id, CASE WHEN regexp_matches(raw, '(?s)```(?:json)?\\s*(\\{.*\\})\\s*```')
     THEN regexp_extract(raw, '(?s)```(?:json)?\\s*(\\{.*\\})\\s*```', 1) ELSE raw END AS txt FROM raw),
@@ -144,10 +147,10 @@ def patch_catalog(spark, d):
 
 
 @query("a07_prune_catalog", """SELECT id, provider, name FROM catalog c WHERE NOT (provider ILIKE 'economy'
-    AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = c.id AND l.l_quantity = 50))""")
+    AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = c.id))""")
 def prune_catalog(spark, d):
-    perfect = bed.table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("model_id"))
-    return K.prune_catalog(bed.catalog(spark, d), perfect, "economy").select("id", "provider", "name")
+    used = bed.table(spark, d, "lineitem").select(F.col("l_partkey").alias("model_id"))
+    return K.prune_catalog(bed.catalog(spark, d), used, "economy").select("id", "provider", "name")
 
 
 @query("a08_read_questions", """SELECT 'q' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS uid, lang AS subcategory, text AS prompt
@@ -163,7 +166,7 @@ _CASE_FILES = """WITH headers AS (SELECT conv_id AS source, CASE WHEN max(turn)
     CASE WHEN max(turn) <> 5 THEN '1' END AS version FROM conversations GROUP BY conv_id),
 cases AS (SELECT conv_id AS source, turn AS position,
     CASE WHEN length(text) % 7 = 0 THEN ' ' ELSE 'len-' || length(text) % 5 END AS case_id,
-    CASE WHEN length(text) % 11 = 0 THEN chr(10) ELSE text END AS prompt FROM conversations WHERE role = 'assistant'),
+    CASE WHEN length(text) % 11 = 0 THEN chr(10) ELSE text END AS prompt FROM conversations),
 bad AS (SELECT source, position, case_id, 'id_missing' AS rule FROM cases WHERE trim(case_id) = ''
     UNION ALL SELECT source, position, case_id, 'prompt_missing' FROM cases WHERE prompt = chr(10)
     UNION ALL SELECT source, min(position), case_id, 'duplicate_id' FROM cases WHERE trim(case_id) <> '' GROUP BY source, case_id HAVING count(*) > 1
@@ -178,7 +181,7 @@ def _case_files(spark, d):
     headers = turns.groupBy(F.col("conv_id").alias("source")).agg(F.max("turn").alias("t")).selectExpr(
         "source", "CASE WHEN t > 6 THEN ' ' ELSE concat('set-', source) END AS name",
         "CASE WHEN t <> 5 THEN '1' END AS version")
-    rows = turns.where("role = 'assistant'").selectExpr(
+    rows = turns.selectExpr(
         "conv_id AS source", "turn AS position",
         "CASE WHEN length(text) % 7 = 0 THEN ' ' ELSE concat('len-', length(text) % 5) END AS case_id",
         "CASE WHEN length(text) % 11 = 0 THEN '\\n' ELSE text END AS prompt")

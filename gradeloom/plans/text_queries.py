@@ -69,28 +69,31 @@ def document_hash(spark, d):
 
 
 def _known(spark, d):
-    """Prompt table: the turns of users and systems, chained by time."""
-    kept = bed.prompts(spark, d).where("role <> 'assistant'").withColumn("hash", content_hash(F.col("content")))
-    return kept.select("id", "name", "content", "version", "hash", "created_at")
+    """Prompt table: all turns of a conversation but its last, chained by time."""
+    turns = bed.prompts(spark, d)
+    last = turns.groupBy("name").agg(F.max("turn").alias("_last"))
+    kept = P.version_chain(turns.join(last, "name").where("turn < _last")).withColumn("hash", content_hash(F.col("content")))
+    return kept.select("id", "name", "content", "version", "hash", "previous_version_id", "created_at")
 
 
 _KNOWN = f"""WITH known AS (SELECT id, name, version, created_at, sha256({_clean_sql('content')}) AS hash,
-    lag(id) OVER (PARTITION BY name ORDER BY created_at, id) AS previous_version_id FROM prompts WHERE role <> 'assistant')
+    lag(id) OVER (PARTITION BY name ORDER BY created_at, id) AS previous_version_id FROM prompts p WHERE turn < (SELECT max(turn) FROM prompts q WHERE q.name = p.name))
     """
 
 
 @query("n03_sync_prompts", _KNOWN + f""", staged AS (SELECT name, version, sha256({_clean_sql('content')}) AS hash FROM
-        (SELECT *, row_number() OVER (PARTITION BY name ORDER BY turn DESC) AS rn FROM prompts) WHERE rn = 1)
-    SELECT s.name, s.version, s.hash, CASE WHEN k.id IS NOT NULL THEN 'unchanged' WHEN l.id IS NOT NULL THEN 'new_version' ELSE 'initial' END AS action,
-        k.id AS known_id, CASE WHEN k.id IS NULL THEN l.id END AS previous_version_id
-    FROM staged s LEFT JOIN (SELECT name, hash, min(id) AS id FROM known GROUP BY name, hash) k ON k.name = s.name AND k.hash = s.hash
+        (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN CAST(substring(name, 6) AS BIGINT) % 3 = 0 THEN turn ELSE -turn END) AS rn FROM prompts) WHERE rn = 1)
+    SELECT s.name, coalesce(k.version, s.version) AS version, coalesce(k.created_at, TIMESTAMP '2024-06-01') AS created_at, s.hash, CASE WHEN k.id IS NOT NULL THEN 'unchanged' WHEN l.id IS NOT NULL THEN 'new_version' ELSE 'initial' END AS action,
+        k.id AS known_id, CASE WHEN k.id IS NULL THEN l.id ELSE k.previous_version_id END AS previous_version_id
+    FROM staged s LEFT JOIN (SELECT * FROM known o WHERE id = (SELECT min(id) FROM known i WHERE i.name = o.name AND i.hash = o.hash)) k ON k.name = s.name AND k.hash = s.hash
     LEFT JOIN (SELECT name, arg_max(id, created_at) AS id FROM known GROUP BY name) l ON l.name = s.name""")
 def sync_prompts(spark, d):
     turns = bed.prompts(spark, d)
-    staged = turns.groupBy("name").agg(F.max_by(F.struct("version", "content"), "turn").alias("s")).select(
+    order = F.expr("CASE WHEN CAST(substring(name, 6) AS BIGINT) % 3 = 0 THEN -turn ELSE turn END")
+    staged = turns.groupBy("name").agg(F.max_by(F.struct("version", "content"), order).alias("s")).select(
         F.col("name").alias("source"), "name", "s.version", "s.content")
     synced = P.sync_prompts(_known(spark, d), staged, now="2024-06-01 00:00:00")
-    return synced.select("name", "version", "hash", "action",
+    return synced.select("name", "version", "created_at", "hash", "action",
                          F.when(F.col("action") == "unchanged", F.col("id")).alias("known_id"), "previous_version_id")
 
 
@@ -114,8 +117,7 @@ def prompt_history(spark, d):
 
 @query("e06_version_chain", _KNOWN + "SELECT id, name, previous_version_id FROM known")
 def version_chain(spark, d):
-    kept = bed.prompts(spark, d).where("role <> 'assistant'").select("id", "name", "created_at")
-    return P.version_chain(kept).select("id", "name", "previous_version_id")
+    return _known(spark, d).select("id", "name", "previous_version_id")
 
 
 _HISTORY = "SELECT id, name, version, substring(hash, 1, 12) AS hash_short, hash, previous_version_id, created_at FROM known"
@@ -161,6 +163,8 @@ _FORMS = [
     """'{"reasoning": ' || {r} || ', "determinant_metrics": ["efficiency", 1]}'""",
     """'{"reasoning": ' || {r} || ', "tradeoffs": 5}'""",
     """'{"reasoning": " ", "tradeoffs": ""}'""",
+    """'{"reasoning": ' || {r} || '} voila'""",
+    """'{"reasoning": ' || {r} || '}, {"reasoning": "b"}'""",
     """'Je retiens ' || {r}""",
 ]
 
@@ -212,16 +216,21 @@ def _language_cases(spark, d):
 
 
 def _scored(spark, d):
+    """Answers to the cases; some are lost and some have a case that nobody knows."""
     docs, labels = bed.table(spark, d, "documents"), bed.table(spark, d, "labels")
-    answers = docs.join(labels, "doc_id", "left").selectExpr(
-        "doc_id", "source", "lang AS case_id", "text AS response",
+    plan = docs.selectExpr("doc_id", "source", "CASE WHEN n_chars % 17 = 0 THEN 'unheard' ELSE lang END AS case_id")
+    answers = docs.where("n_chars % 13 > 0").join(labels, "doc_id", "left").selectExpr(
+        "doc_id", "text AS response",
         "CASE WHEN quality IS NOT NULL THEN map(1, cast(0.5 + 0.3 * quality as double)) END AS outside_scores")
-    return K.check_scores(answers, _language_cases(spark, d))
+    return K.check_scores(answers, _language_cases(spark, d), plan)
 
 
-_SCORED = """WITH docs AS (SELECT d.doc_id, d.source, d.lang, trim(d.text, ' ' || chr(9) || chr(10)) AS t, 0.5 + 0.3 * l.quality AS outside
+_SCORED = """WITH docs AS (SELECT d.doc_id, d.source, CASE WHEN d.n_chars % 17 = 0 THEN 'unheard' ELSE d.lang END AS lang,
+        CASE WHEN d.n_chars % 13 > 0 THEN trim(d.text, ' ' || chr(9) || chr(10)) END AS t, CASE WHEN d.n_chars % 13 > 0 THEN 0.5 + 0.3 * l.quality END AS outside
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
     scored AS (
+        SELECT doc_id, source, lang, NULL::INTEGER AS check_no, NULL AS case_kind, NULL AS check_kind, NULL::DOUBLE AS score, 1.0 AS threshold, 1.0 AS weight FROM docs WHERE lang = 'unheard'
+        UNION ALL
         SELECT doc_id, source, lang, 0 AS check_no, 'canary' AS case_kind, 'contains' AS check_kind, (contains(lower(t), 'the') AND contains(lower(t), 'of'))::DOUBLE AS score, 1.0 AS threshold, 1.0 AS weight FROM docs WHERE lang = 'en'
         UNION ALL SELECT doc_id, source, lang, 0, 'main', 'regex', regexp_matches(t, '(?i)(^|[^\\p{L}\\p{N}_])la($|[^\\p{L}\\p{N}_])')::DOUBLE, 1.0, 2.0 FROM docs WHERE lang = 'fr'
         UNION ALL SELECT doc_id, source, lang, 1, 'main', 'judge', outside, 0.7, 1.0 FROM docs WHERE lang = 'fr'
@@ -229,7 +238,7 @@ _SCORED = """WITH docs AS (SELECT d.doc_id, d.source, d.lang, trim(d.text, ' ' |
         UNION ALL SELECT doc_id, source, lang, 1, 'main', 'exact', (lower(t) = 'ja')::DOUBLE, 0.0, 1.0 FROM docs WHERE lang = 'de'
         UNION ALL SELECT doc_id, source, lang, 0, 'edge', 'contains', contains(t, 'Que')::DOUBLE, 1.0, 1.0 FROM docs WHERE lang = 'es'
         UNION ALL SELECT doc_id, source, lang, 1, 'edge', 'refusal', outside, 0.7, 1.0 FROM docs WHERE lang = 'es'),
-    verdicts AS (SELECT *, check_kind IN ('judge', 'refusal') AS is_judged,
+    verdicts AS (SELECT *, coalesce(check_kind IN ('judge', 'refusal'), false) AS is_judged,
         CASE WHEN score IS NULL THEN 'ERROR' WHEN score >= threshold THEN 'PASS' ELSE 'FAIL' END AS verdict FROM scored)
     """
 
@@ -251,12 +260,12 @@ def case_verdicts(spark, d):
     return K.case_verdicts(_scored(spark, d), ["doc_id"]).select("doc_id", F.round("score", 9).alias("score"), "verdict")
 
 
-@query("k05_dataset_gate", _SCORED + """, g AS (SELECT source, count(*) FILTER (WHERE case_kind = 'canary') AS n_canary,
+@query("k05_dataset_gate", _SCORED + """, g AS (SELECT source, count(*) FILTER (WHERE case_kind IS NULL) AS n_unknown, count(*) FILTER (WHERE case_kind = 'canary') AS n_canary,
         count(*) FILTER (WHERE case_kind = 'canary' AND verdict = 'PASS') AS n_canary_pass,
         count(*) FILTER (WHERE case_kind <> 'canary' AND NOT is_judged) AS n_checks,
         count(*) FILTER (WHERE case_kind <> 'canary' AND NOT is_judged AND verdict = 'PASS') AS n_pass FROM verdicts GROUP BY source)
     SELECT *, CAST(n_pass AS DOUBLE) / nullif(n_checks, 0) AS pass_rate,
-        n_canary = n_canary_pass AND coalesce(CAST(n_pass AS DOUBLE) / nullif(n_checks, 0), 1.0) >= 0.5 AS gate_ok FROM g""")
+        n_unknown = 0 AND n_canary = n_canary_pass AND coalesce(CAST(n_pass AS DOUBLE) / nullif(n_checks, 0), 1.0) >= 0.5 AS gate_ok FROM g""")
 def dataset_gate(spark, d):
     return K.dataset_gate(_scored(spark, d), ["source"], 0.5)
 

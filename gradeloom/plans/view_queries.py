@@ -16,6 +16,7 @@ from gradeloom.plans.basic_queries import (
     _NAN, _OBS, _PLAN, CANONICAL, by_profile, dataset_cases, decision_metrics, requests,
 )
 from gradeloom.plans.registry import query
+from gradeloom.session import scratch_path
 from gradeloom.sources import bed
 
 
@@ -139,8 +140,8 @@ def validate_profiles(spark, d):
     return D.validate_profiles(file)
 
 
-_PRINT = """SELECT profile, sha256(profile || chr(10) || string_agg(metric || '=' || CAST(CAST(weight AS DECIMAL(18,6)) AS VARCHAR), ';'
-    ORDER BY metric || '=' || CAST(CAST(weight AS DECIMAL(18,6)) AS VARCHAR))) AS fingerprint"""
+_PRINT = """SELECT profile, sha256('{"profile":' || to_json(profile) || ',"weights":[' || string_agg('{"metric":' || to_json(metric)
+    || ',"weight":' || CAST(CAST(weight AS DOUBLE) AS VARCHAR) || '}', ',' ORDER BY metric) || ']}') AS fingerprint"""
 
 
 @query("m10_profile_fingerprint", f"""{_PRINT} FROM (SELECT p_brand AS profile, p_type AS metric, sum(p_size) / 100.0 AS weight
@@ -159,15 +160,21 @@ def decision_keys(spark, d):
 
 
 @query("m12_decide_or_replay", """SELECT run_id, profile, CASE WHEN profile IN ('rapide', 'economie') THEN 'logged' ELSE recommended_model END AS recommended_model,
-    confidence, profile IN ('rapide', 'economie') AS replayed FROM reco""")
+    confidence, profile IN ('rapide', 'economie') AS replayed, CASE WHEN profile IN ('rapide', 'economie') THEN 'as stored' ELSE 'new' END AS reasoning,
+    CASE WHEN profile IN ('rapide', 'economie') THEN TIMESTAMP '2024-06-01' END AS created_at FROM reco""")
 def decide_or_replay(spark, d):
     metrics, profiles = decision_metrics(spark, d), D.shipped_profiles(spark)
     logged = profiles.where("profile IN ('rapide', 'economie')")
     log = D.keyed_recommendations(metrics, logged).selectExpr(
         "run_id AS id", "'logged' AS recommended_model", "confidence", "weighted_scores", "input_hash",
-        "cast(7 as bigint) AS prompt_id", "profile", "timestamp_ntz'2024-06-01 00:00:00' AS created_at")
-    return D.decide(metrics, profiles, log, prompt_id=7).select(
-        "run_id", "profile", "recommended_model", "confidence", "replayed")
+        "cast(7 as bigint) AS prompt_id", "profile", "timestamp_ntz'2024-06-01 00:00:00' AS created_at", "'as stored' AS reasoning")
+    # The log is read as a store of its own, not worked out again from the facts.
+    path = scratch_path(spark, "log")
+    log.write.parquet(path)
+    prose = bed.runs(spark, d).select(F.col("id").alias("run_id"), F.lit("new").alias("reasoning"),
+                                      F.explode(F.array(*map(F.lit, schema.PROFILE_WEIGHTS))).alias("profile"))
+    decided = D.decide(metrics, profiles, spark.read.parquet(path), prompt_id=7, justifications=prose)
+    return decided.select("run_id", "profile", "recommended_model", "confidence", "replayed", "reasoning", "created_at")
 
 
 @query("m13_metrics_feed", "SELECT * FROM mdm WHERE run_id = (SELECT max(run_id) FROM results WHERE tenths IS NOT NULL)")
@@ -244,7 +251,9 @@ def style_slopes(spark, d):
 # --- run summaries and gates -------------------------------------------------
 
 _SUMMARY = _PLAN.format(samples=8) + """, planned AS (SELECT run_id, count(*) AS n_planned FROM plan GROUP BY run_id),
-    summary AS (SELECT p.run_id, count(r.id) AS inserted, p.n_planned - count(r.id) AS failed,
+    lost AS (SELECT run_id, count(*) AS n FROM plan p WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.run_id = p.run_id
+        AND r.model_id = p.model_id AND r.case_id = p.case_id AND r.sample_idx = p.sample_idx) GROUP BY run_id),
+    summary AS (SELECT p.run_id, count(r.id) AS inserted, coalesce((SELECT n FROM lost l WHERE l.run_id = p.run_id), 0) AS failed,
         CAST(coalesce(sum(r.micro), 0) AS DOUBLE) / 1000000 AS total_cost,
         coalesce(sum(r.input_tokens), 0)::BIGINT AS total_input_tokens, coalesce(sum(r.output_tokens), 0)::BIGINT AS total_output_tokens,
         coalesce(min(r.latency_ms), 0)::BIGINT AS min_latency_ms, coalesce(CAST(sum(r.latency_ms) AS DOUBLE) / count(r.id), 0.0) AS avg_latency_ms,
@@ -254,8 +263,8 @@ _SUMMARY = _PLAN.format(samples=8) + """, planned AS (SELECT run_id, count(*) AS
 
 
 def _summary(spark, d):
-    planned = C.planned_counts(requests(spark, d, 8), dataset_cases(spark, d))
-    return R.run_summary(planned, bed.results(spark, d))
+    asked, cases, results = requests(spark, d, 8), dataset_cases(spark, d), bed.results(spark, d)
+    return R.run_summary(C.planned_counts(asked, cases), results, C.failed_calls(C.call_plan(asked, cases), results))
 
 
 @query("m14_run_summary", _SUMMARY + "SELECT * FROM summary")

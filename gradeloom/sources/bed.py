@@ -145,7 +145,7 @@ def verdict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN pct < 100 THEN concat('0.', lpad(cast(pct as string), 2, '0')) ELSE '1.00' END AS score",
     ).selectExpr(
         "id",
-        "CASE id % 8"
+        "CASE id % 11"
         " WHEN 0 THEN concat('{\"score\": ', score, ', \"reasoning\": ', reasoning, '}')"
         " WHEN 1 THEN concat('Voici :\\n```json\\n{\"score\": ', score, ', \"reasoning\": ', reasoning, '}\\n```')"
         " WHEN 2 THEN concat('Score ', score, ' because ', reasoning)"
@@ -153,6 +153,9 @@ def verdict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         " WHEN 4 THEN concat('{\"score\": true, \"reasoning\": ', reasoning, '}')"
         " WHEN 5 THEN concat('{\"score\": ', score, ', \"reasoning\": \"  \"}')"
         " WHEN 6 THEN concat('[', score, ', ', reasoning, ']')"
+        " WHEN 8 THEN concat('{\"score\": ', score, ', \"reasoning\": ', reasoning, '} as asked')"
+        " WHEN 9 THEN concat('{\"score\": ', score, ', \"reasoning\": ', reasoning, '}{\"score\": 1}')"
+        " WHEN 10 THEN concat('```\n{\"score\": ', score, ', \"reasoning\": ', reasoning, '}\n```\n```\n{\"score\": 1}\n```')"
         " ELSE concat('{\"score\": 1, \"reasoning\": ', reasoning, '}') END AS raw",
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeloom import schema
 
@@ -59,9 +61,27 @@ def append_decisions(df: DataFrame, path: str, run_folders: bool = False) -> Non
     _append(df, path, run_folders)
 
 
+def _question_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are not blank, read as questions; ``bad`` has one that is none."""
+    fields = T.StructType([*schema.QUESTIONS.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = spark.read.option("lineSep", "\n").text(path).where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    read = lines.withColumn("q", F.from_json("value", fields, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.col("q._corrupt_record").isNotNull() | F.col("q.uid").isNull()
+    return read.select("q.*", F.when(bad, F.col("value")).alias("bad"))
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Question JSON lines. Only a line feed ends a line."""
-    return (
-        spark.read.schema(schema.QUESTIONS).option("lineSep", "\n").json(path)
-        .where("uid IS NOT NULL")
-    )
+    """Question JSON lines. Only a line feed ends a line; blank lines are skipped.
+
+    A line that is not a JSON object with a uid stops the query;
+    ``rejected_questions`` lists such lines.
+    """
+    failed = F.raise_error(F.concat(F.lit("not a question: "), F.substring("bad", 1, 200))).cast("string")
+    lines = _question_lines(spark, path)
+    return lines.select(F.when(F.col("bad").isNotNull(), failed).otherwise(F.col("uid")).alias("uid"),
+                        *[f for f in schema.QUESTIONS.fieldNames() if f != "uid"])
+
+
+def rejected_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a question file that ``read_questions`` refuses."""
+    return _question_lines(spark, path).where("bad IS NOT NULL").select(F.col("bad").alias("line"))

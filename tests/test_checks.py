@@ -52,6 +52,22 @@ def test_missing_scores_and_responses_are_errors(spark):
     assert rows(_score(spark, [_spec("exact", values=["a"])], None), "verdict") == [("ERROR",)]
 
 
+@pytest.mark.parametrize("response", ['{"a": 1} and more', '{"a": 1}{"a": 1}', '{"a": 1}, {"a": 1}', '{"a": 1}]', '{"a": 1, "a": 2}', "", '{"a": 1'])
+def test_json_schema_wants_one_document(spark, response):
+    assert rows(_score(spark, [_spec("json_schema", required=["a"])], response), "score") == [(0.0,)]
+
+
+def test_lost_calls_and_unknown_cases_fail_the_gate(spark):
+    cases = spark.createDataFrame([("can", "canary", "x", [tuple(_spec("exact", values=["a"]).values())]), ("bare", "main", "x", [])],
+                                  f"case_id string, kind string, category string, checks array<{K.CHECK}>")
+    plan = spark.createDataFrame([("s", 1, "can"), ("s", 2, "can"), ("t", 3, "can"), ("u", 4, "can"), ("u", 5, "new"), ("v", 6, "bare")], "set string, call int, case_id string")
+    answers = spark.createDataFrame([(1, "a"), (3, "a"), (4, "a"), (5, "a"), (6, "a")], "call int, response string")
+    scored = K.check_scores(answers, cases, plan)
+    assert rows(scored, "call", "verdict") == [(1, "PASS"), (2, "ERROR"), (3, "PASS"), (4, "PASS"), (5, "ERROR"), (6, "ERROR")]
+    gate = {r.set: (r.n_canary, r.n_canary_pass, r.n_unknown, r.gate_ok) for r in K.dataset_gate(scored, ["set"]).collect()}
+    assert gate == {"s": (2, 1, 0, False), "t": (1, 1, 0, True), "u": (1, 1, 1, False), "v": (0, 0, 0, False)}
+
+
 def test_gate_needs_all_canaries_and_the_pass_rate(spark):
     rows_ = [("d", "canary", False, "PASS", 1.0), ("d", "main", False, "PASS", 1.0), ("d", "edge", False, "FAIL", 0.0), ("d", "main", True, "PASS", 0.8)]
     scored = spark.createDataFrame(rows_, "set string, case_kind string, is_judged boolean, verdict string, score double")

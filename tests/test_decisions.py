@@ -67,6 +67,14 @@ def test_fingerprint_ignores_order_and_sees_weights(spark):
         return rows(D.profile_fingerprints(spark.createDataFrame([("p", m, w) for m, w in items], schema.PROFILES)))
     a = of(("efficiency", 0.3), ("avg_cost", 0.7))
     assert a == of(("avg_cost", 0.7), ("efficiency", 0.3)) != of(("avg_cost", 0.6), ("efficiency", 0.3))
+    assert of(("efficiency", 0.12345671)) != of(("efficiency", 0.12345674))
+
+
+def test_a_profile_is_found_by_name_or_the_known_ones_are_listed(spark):
+    p = D.shipped_profiles(spark)
+    assert {r.profile for r in D.profile_named(p, "rapide").collect()} == {"rapide"}
+    with pytest.raises(Exception, match="economie, equilibre, etudiant, rapide"):
+        D.profile_named(p, "fast").collect()
 
 
 def test_cache_key_sees_metrics_weights_and_run_but_not_row_order(spark):
@@ -103,6 +111,11 @@ def test_decisions_are_replayed_newest_first_unless_forced(spark):
     # What was inserted is replayed the next time.
     again = D.decide(m, p, made, prompt_id=None)
     assert {r.replayed for r in again.collect()} == {True}
+    prose = spark.createDataFrame([(1, n, "new prose", ["x"], "new") for n in schema.PROFILE_WEIGHTS],
+                                  "run_id long, profile string, reasoning string, determinant_metrics array<string>, tradeoffs string")
+    stored = made.withColumn("reasoning", F.lit("old prose")).withColumn("tradeoffs", F.lit(None).cast("string"))
+    replayed = D.decide(m, p, stored, prompt_id=None, justifications=prose).collect()
+    assert {(r.reasoning, r.tradeoffs, r.determinant_metrics, str(r.created_at)) for r in replayed} == {("old prose", None, None, str(T0))}
     # By hand: fast scores 0.6, 0.5 (a tie, first by name), 0.8 and 0.9.
     assert {r.recommended_model for r in fresh.collect()} == {"fast"}
 

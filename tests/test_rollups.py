@@ -4,6 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.functions.numeric import stddev_of_sums
 from gradeloom.operators import cases as C
 from gradeloom.operators import rollups as R
 from helpers import T0, models, results, rows, runs
@@ -100,7 +101,7 @@ def test_run_summary_and_status(spark):
     asked = spark.createDataFrame([(1, "d", 1, 2), (1, "d", 2, 2), (2, "d", 1, 1)], "run_id long, dataset string, model_id long, samples long")
     cases = spark.createDataFrame([("d", "a"), ("d", "b")], "dataset string, case_id string")
     r = results(spark, [{"model_id": m, "case_id": c, "sample_idx": s, "judge_score": 3} for m in (1, 2) for c in "ab" for s in (0, 1)][:7])
-    summary = R.run_summary(C.planned_counts(asked, cases), r)
+    summary = R.run_summary(C.planned_counts(asked, cases), r, C.failed_calls(C.call_plan(asked, cases), r))
     assert rows(summary, "run_id", "inserted", "failed", "avg_latency_ms") == [(1, 7, 1, 100.0), (2, 0, 2, 0.0)]
     plan = C.call_plan(asked, cases)
     assert plan.count() == 10
@@ -110,6 +111,22 @@ def test_run_summary_and_status(spark):
     assert rows(R.run_status(summary, gate.where("run_id = 9"))) == [(1, 3), (2, 3)]
 
 
+def test_a_row_stored_twice_hides_no_failure(spark):
+    asked = spark.createDataFrame([(1, "d", 1, 2), (1, "d", 2, 0)], "run_id long, dataset string, model_id long, samples long")
+    cases = spark.createDataFrame([("d", "a")], "dataset string, case_id string")
+    plan = C.call_plan(asked, cases)
+    assert rows(plan, "model_id", "sample_idx") == [(1, 0), (1, 1)] and rows(C.planned_counts(asked, cases)) == [(1, 2)]
+    r = results(spark, [{"case_id": "a"}, {"case_id": "a"}, {"case_id": "a"}])
+    summary = R.run_summary(C.planned_counts(asked, cases), r, C.failed_calls(plan, r))
+    assert rows(summary, "inserted", "failed") == [(3, 1)]
+
+
+def test_spread_of_very_many_rows(spark):
+    n = 4_000_000_000
+    sql = stddev_of_sums(f"{n}L", f"{n}L", f"{2 * n}L")
+    assert spark.range(1).select(sql).first()[0] == pytest.approx(1.0)
+
+
 def test_failure_labels_take_the_first_match(spark):
     texts = ["Le modèle REFUSE", "Il manque la rime", "la rime est fausse", "C'est FAUX", "Bien", "N'atteint pas le but", None]
     r = results(spark, [{"judge_score": 1, "judge_reasoning": t, "case_id": f"c{i}"} for i, t in enumerate(texts)] + [{"case_id": "c9"}])

@@ -31,6 +31,8 @@ def test_patch_and_prune(spark):
     c = _catalog(spark, (1, "Old", "a", "1", 1), (2, "old", "b", "1", 1), (3, "new", "c", "1", 1))
     patch = spark.createDataFrame([("a", 9)], "name string, context_window int")
     assert rows(K.patch_catalog(c, patch), "id", "context_window") == [(1, 9), (2, None), (3, None)]
+    with pytest.raises(Exception, match="two patch rows for a"):
+        K.patch_catalog(c, patch.union(patch)).collect()
     used = results(spark, [{"model_id": 2}])
     assert rows(K.prune_catalog(c, used, "OLD"), "id") == [(2,), (3,)]
 
@@ -38,6 +40,9 @@ def test_patch_and_prune(spark):
 def test_call_cost_is_exact(spark):
     r = results(spark, [{"input_tokens": 1000, "output_tokens": 500}]).drop("cost")
     assert K.call_cost(r, models(spark, "m")).first().cost == Decimal("0.010500000")
+    strange = results(spark, [{"model_id": 7}, {"model_id": 1}]).drop("cost")
+    assert [x.cost is None for x in K.call_cost(strange, models(spark, "m")).orderBy("model_id").collect()] == [False, True]
+    assert rows(K.unpriced(strange, models(spark, "m"))) == [(7, 1)]
 
 
 def _store(spark):

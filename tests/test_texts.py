@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from gradeloom.functions.text import content_hash, normalize_content
 from gradeloom.operators import cases as C
 from gradeloom.operators import prompts as P
 from gradeloom.operators import verdicts as V
-from gradeloom.sources.tables import read_questions
+from gradeloom.sources.tables import read_questions, rejected_questions
 from helpers import results, rows
 
 VERDICTS = {
@@ -29,6 +30,13 @@ VERDICTS = {
     '{"score": 0.5, "reasoning": 3}': (None, "bad_reasoning"),
     "[0.5]": (None, "not_object"),
     '{"score": NaN, "reasoning": "ok"}': (None, "not_json"),
+    '{"score": 0.5, "reasoning": "x"} trailing': (None, "not_json"),
+    '{"score": 0.5, "reasoning": "x"}{"score": 1}': (None, "not_json"),
+    '{"score": 0.5, "reasoning": "x"}, {"score": 1}': (None, "not_json"),
+    '{"score": 0.5, "reasoning": "x"}]': (None, "not_json"),
+    '```\n{"score": 0.5, "reasoning": "x"}\n```\n```\n{"score": 1}\n```': (None, "not_json"),
+    # A repeated key is no choice to make for a judge: the text is rejected.
+    '{"score": 0.5, "score": 0.6, "reasoning": "x"}': (None, "not_json"),
     None: (None, "not_json"),
 }
 
@@ -47,6 +55,16 @@ def test_valid_verdicts_are_attached_and_rejects_change_nothing(spark):
         (1, 2.5, "new"), (2, None, None), (3, None, None)]
 
 
+def test_the_last_verdict_counts_and_needs_an_order(spark):
+    r = results(spark, [{}, {}]).select("id", "run_id", "judge_score", "judge_reasoning")
+    kind = "id long, run_id long, judge_score decimal(3,1), judge_reasoning string, judged_at int"
+    twice = spark.createDataFrame([(1, 1, Decimal("4.0"), "old", 1), (1, 1, Decimal("1.0"), "new", 2), (2, 1, None, None, 3)], kind)
+    assert [(i, s and float(s), t) for i, s, t in rows(V.apply_verdicts(r, twice), "id", "judge_score", "judge_reasoning")] == [(1, 1.0, "new"), (2, None, None)]
+    with pytest.raises(Exception, match="several verdicts"):
+        V.apply_verdicts(r, twice.drop("judged_at")).collect()
+    assert V.apply_verdicts(r, twice.drop("judged_at").where("judge_reasoning = 'new'")).count() == 2
+
+
 @pytest.mark.parametrize("raw, reject", [
     ('{"reasoning": "r", "determinant_metrics": ["a"], "tradeoffs": "t"}', None), ('{"reasoning": "r"}', None),
     ('{"reasoning": "r", "determinant_metrics": []}', None), ('{"reasoning": ""}', "bad_reasoning"),
@@ -78,6 +96,8 @@ def test_sync_finds_unchanged_new_and_initial_templates(spark):
     assert got["a"].id == 4 and got["b"].previous_version_id == 4
     assert got["c"].previous_version_id == got["b"].id and got["d"].previous_version_id is None
     assert got["e"].id == got["d"].id and sorted(got[s].id for s in "bcd") == [10, 11, 12]
+    assert (got["a"].version, got["a"].previous_version_id, got["a"].created_at) == ("2", None, t(2))
+    assert got["b"].created_at == dt.datetime(2024, 6, 1)
     # A second sync over the enlarged table changes nothing.
     made = [r for r in got.values() if r.action != "unchanged"]
     more = spark.createDataFrame([(r.id, r.name, r.content, r.version, r.created_at, r.hash) for r in made],
@@ -114,6 +134,14 @@ def test_questions_split_on_line_feeds_only_and_balance(spark, tmp_path):
     assert rows(C.balanced_subset(q, 1), "case_id", "kind", "check") == [("a", "main", "judge"), ("c", "main", "judge")]
 
 
+def test_bad_question_lines_stop_the_query(spark, tmp_path):
+    file = tmp_path / "q.jsonl"
+    file.write_text('{"uid": "b", "prompt": "p"}\n{"uid": \n  \n{"prompt": "no id"}\n', encoding="utf-8")
+    assert rows(rejected_questions(spark, str(file))) == [('{"prompt": "no id"}',), ('{"uid": ',)]
+    with pytest.raises(Exception, match="not a question"):
+        read_questions(spark, str(file)).collect()
+
+
 def test_call_and_judge_texts(spark):
     plan = spark.createDataFrame([("p",)], "prompt string")
     assert C.call_inputs(plan, " sys \n").first().call_text == "sys\n\np"
