@@ -276,6 +276,9 @@ def _layout(rng: random.Random, title: str, paragraphs: list[str], filler: list[
         if rng.random() < 0.12:
             main.append(part(rng.choice(["advert", "share", "form", "side", "notice"])))
     tag = rng.choice(["article", "main", "div", "div", "section", "td"])
+    if rng.random() < 0.1:  # no element around the text
+        bare = "".join(f'<p data-y="1">{text}</p>' for text in paragraphs)
+        return "<body>" + maybe("notice menu", 0.5) + bare + maybe("form footer", 0.5) + "</body>"
     inner = open_(tag, _MAIN, 1) + maybe("share", 0.2) + "".join(main) + maybe("share advert comments", 0.25) + f"</{tag}>"
     for _ in range(rng.randint(0, 3)):
         inner = open_("div", _WRAP if rng.random() < 0.7 else _MAIN, 2) + maybe("menu side advert", 0.15) + inner + maybe("side advert comments form", 0.2) + "</div>"
