@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradeloom import schema
+from gradeloom.functions.text import content_hash
 from gradeloom.operators import cases as C
 from gradeloom.operators import catalog as K
 from gradeloom.operators import decisions as D
+from gradeloom.operators import prompts as P
 from gradeloom.operators import rollups as R
 from gradeloom.operators import style as S
 from gradeloom.plans import boards as B
@@ -18,6 +20,8 @@ from gradeloom.plans.basic_queries import (
 from gradeloom.plans.registry import query
 from gradeloom.session import scratch_path
 from gradeloom.sources import bed
+from gradeloom.sources.tables import EvalTables
+from gradeloom.sources.views import register_views
 
 
 def _pair(spark, d):
@@ -422,3 +426,36 @@ def run_decisions(spark, d):
     GROUP BY dataset""")
 def cost_by_dataset(spark, d):
     return R.cost_by_dataset(bed.runs(spark, d), bed.results(spark, d))
+
+
+# --- panels as SQL text over the registered views -----------------------------
+
+def _registered(spark, d):
+    turns = P.version_chain(bed.prompts(spark, d)).withColumn("hash", content_hash(F.col("content")))
+    register_views(spark, EvalTables(bed.models(spark, d), turns, bed.runs(spark, d), bed.results(spark, d), bed.decisions(spark, d)))
+
+
+@query("q02_score_sql", "SELECT run_id, model, avg_judge_score, avg_latency_ms FROM mm WHERE run_id % 2 = 0 AND avg_judge_score >= 2.5")
+def score_sql(spark, d):
+    _registered(spark, d)
+    return spark.sql("SELECT run_id, model, avg_judge_score, avg_latency_ms FROM model_metrics WHERE run_id % 2 = 0 AND avg_judge_score >= 2.5")
+
+
+@query("q08_comparison_sql", """SELECT m.run_id, u.dataset, m.model, m.mean_judge_score, m.avg_cost FROM mdm m JOIN runs u ON u.id = m.run_id
+    WHERE m.n_judged >= 3""")
+def comparison_sql(spark, d):
+    _registered(spark, d)
+    return spark.sql("""SELECT m.run_id, u.dataset, m.model, m.mean_judge_score, m.avg_cost FROM model_decision_metrics m
+        JOIN runs u ON u.id = m.run_id WHERE m.n_judged >= 3""")
+
+
+@query("q05_cards_sql", "SELECT profile, recommended_model, count(*) AS n, max(top_score) AS best FROM by_profile GROUP BY profile, recommended_model")
+def cards_sql(spark, d):
+    _registered(spark, d)
+    return spark.sql("SELECT profile, recommended_model, count(*) AS n, max(top_score) AS best FROM decision_by_profile GROUP BY profile, recommended_model")
+
+
+@query("q09_failures_sql", "SELECT model, failure_type, count(*) AS n FROM review WHERE judge_score < 4 GROUP BY model, failure_type")
+def failures_sql(spark, d):
+    _registered(spark, d)
+    return spark.sql("SELECT model, failure_type, count(*) AS n FROM result_review WHERE judge_score < 4 GROUP BY model, failure_type")
