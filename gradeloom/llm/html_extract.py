@@ -257,6 +257,7 @@ def _layout(rng: random.Random, title: str, paragraphs: list[str], filler: list[
         return "".join(part(k) for k in kinds.split() if rng.random() < share)
 
     main = []
+    title = " ".join(title.split()[: rng.choice([1, 2, 4, 8, 30])])
     if title:
         heading = rng.choice(["h1", "h1", "h2"])
         head = f"<{heading}>{title}</{heading}>"
