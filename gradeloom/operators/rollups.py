@@ -52,12 +52,15 @@ def run_metrics(runs: DataFrame, results: DataFrame) -> DataFrame:
     """Per run: counts, totals and latency distribution of its raw rows.
 
     All latency figures come from the (run, latency) histogram, so each column
-    of the facts is read by one scan only.
+    of the facts is read by one scan only. Models and cases are counted on the
+    (run, model, case) cells that the facts fold to, not on the facts.
     """
-    totals = results.groupBy("run_id").agg(*_aggs(
-        "count(1) AS n_results", "count(DISTINCT model_id) AS n_models", "count(DISTINCT case_id) AS n_cases",
-        "sum(cost) AS total_cost", "sum(cast(input_tokens as bigint)) AS total_input_tokens",
-        "sum(cast(output_tokens as bigint)) AS total_output_tokens",
+    cells = results.groupBy("run_id", "model_id", "case_id").agg(*_aggs(
+        "count(1) AS n", "sum(cost) AS cost", "sum(cast(input_tokens as bigint)) AS tin", "sum(cast(output_tokens as bigint)) AS tout",
+    ))
+    totals = cells.groupBy("run_id").agg(*_aggs(
+        "sum(n) AS n_results", "count(DISTINCT model_id) AS n_models", "count(DISTINCT case_id) AS n_cases",
+        "sum(cost) AS total_cost", "sum(tin) AS total_input_tokens", "sum(tout) AS total_output_tokens",
     ))
     latency = value_counts(results, ["run_id"], "latency_ms").groupBy("run_id").agg(
         N.mean_of_sums("sum(latency_ms * n)", "sum(n)", 2).alias("avg_latency_ms"),
@@ -96,16 +99,6 @@ def cost_by_dataset(runs: DataFrame, results: DataFrame) -> DataFrame:
 
 # --- fairness: cases every model of the run completed ------------------------
 
-def _run_roster(results: DataFrame) -> DataFrame:
-    """Per run: number of models and whether anything was scored."""
-    per_model = results.groupBy("run_id", "model_id").agg(
-        F.max(F.col("judge_score").isNotNull()).alias("scored")
-    )
-    return per_model.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n_models"), F.max("scored").alias("is_judged")
-    )
-
-
 def complete_cases(results: DataFrame) -> DataFrame:
     """(run, case) pairs comparable across all models of the run."""
     cells = results.groupBy("run_id", "case_id", "model_id").agg(
@@ -114,8 +107,11 @@ def complete_cases(results: DataFrame) -> DataFrame:
     cases = cells.groupBy("run_id", "case_id").agg(
         F.count(F.lit(1)).alias("n_present"), F.count_if("scored").alias("n_scored")
     )
+    # The roster comes from the same cells: the facts are read once.
+    per_model = cells.groupBy("run_id", "model_id").agg(F.max("scored").alias("scored"))
+    roster = per_model.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_models"), F.max("scored").alias("is_judged"))
     return (
-        cases.join(_run_roster(results), "run_id")
+        cases.join(roster, "run_id")
         .where("n_present = n_models AND (NOT is_judged OR n_scored = n_models)")
         .select("run_id", "case_id")
     )

@@ -56,6 +56,13 @@ def test_roll_ups_read_no_text_and_scan_the_facts_once(spark, stored):
     assert "response#" not in plan and "judge_reasoning" not in plan
 
 
+def test_distinct_counts_run_on_cells(spark, stored):
+    facts = tables.read_table(spark, f"{stored}/flat", "results")
+    plan = plan_of(R.run_metrics(bed.runs(spark, SF), facts))
+    below = plan[plan.index("Expand"):].split("\n")
+    assert any("HashAggregate(keys=[run_id" in ln and "model_id" in ln and "case_id" in ln for ln in below)
+
+
 def test_nothing_is_multiplied_out(spark):
     r, m = bed.results(spark, SF), bed.models(spark, SF)
     metrics = R.model_decision_metrics(r, m)
