@@ -315,6 +315,7 @@ def _streamed(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     out = scratch_path(spark, "live")
     live.start_rollup(_event_results(stream), out, scratch_path(spark, "live-state"), once=True).awaitTermination()
+    live.compact(spark, out, keep=0)
     return live.read_partials(spark, out)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,12 +38,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the folder named by ``spark.checkpoint.dir``.
 
     That folder has to be visible to every executor. Only a local session may
-    fall back to a temporary folder.
+    fall back to a temporary folder, which goes when the program ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="gradeloom-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,6 +4,10 @@ Each micro-batch is reduced to additive partial sums and written to a folder
 named after its batch id. A replayed batch overwrites its own folder, so the
 sums stay right after a failure, and there is no keyed state to keep. Readers
 add the partial rows up.
+
+``compact`` folds closed batches into a generation, a folder named after the last
+batch in it. A generation counts once its writing has been committed; readers take
+the newest and the batches behind it, and no folder that they read changes.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gradeloom.operators.rollups import model_metrics
+
 _SUMS = ["n_results", "n_judged", "score_tenths", "tokens"]
 
 
@@ -35,9 +41,53 @@ def start_rollup(stream: DataFrame, out: str, checkpoint: str, once: bool = Fals
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+_PARTIAL = "run_id bigint, model string, day date, n_results bigint, n_judged bigint, score_tenths bigint, tokens bigint"
+
+
+def _folders(spark: SparkSession, out: str) -> tuple[int, list[int]]:
+    """Last batch of the newest committed generation, or -1, and the batches behind it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return -1, []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}/_SUCCESS"))
+    base = max((int(n[5:]) for n in names if n.startswith("upto=") and done(n)), default=-1)
+    batches = sorted(int(n[9:]) for n in names if n.startswith("batch_id=") and int(n[9:]) > base and done(n))
+    return base, batches
+
+
+def _read(spark: SparkSession, out: str, base: int, batches: list[int]) -> DataFrame:
+    paths = [f"{out}/upto={base}"] * (base >= 0) + [f"{out}/batch_id={b}" for b in batches]
+    return spark.read.schema(_PARTIAL).parquet(*paths) if paths else spark.createDataFrame([], _PARTIAL)
+
+
 def read_partials(spark: SparkSession, out: str) -> DataFrame:
-    schema = "run_id bigint, model string, day date, n_results bigint, n_judged bigint, score_tenths bigint, tokens bigint"
-    return spark.read.schema(schema).parquet(out)
+    """The newest generation and the batches behind it."""
+    return _read(spark, out, *_folders(spark, out))
+
+
+def compact(spark: SparkSession, out: str, keep: int = 1) -> None:
+    """Fold all batches but the ``keep`` newest, which may be replayed, into a new generation."""
+    base, batches = _folders(spark, out)
+    closed = batches[: len(batches) - keep] if keep else batches
+    if closed:
+        folded = _read(spark, out, base, closed).groupBy("run_id", "model", "day").agg(*[F.sum(c).alias(c) for c in _SUMS])
+        folded.write.mode("overwrite").parquet(f"{out}/upto={closed[-1]}")
+
+
+def expire(spark: SparkSession, out: str) -> None:
+    """Delete what the newest generation holds: older generations and their batches.
+
+    To be run when no reader that began before the last ``compact`` is left.
+    """
+    base, _ = _folders(spark, out)
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path) if base >= 0 else []:
+        kind, _, number = status.getPath().getName().partition("=")
+        if (kind == "upto" and int(number) < base) or (kind == "batch_id" and int(number) <= base):
+            fs.delete(status.getPath(), True)
 
 
 def live_metrics(partials: DataFrame) -> DataFrame:
@@ -53,6 +103,32 @@ def touched_runs(batch: DataFrame, results: DataFrame) -> DataFrame:
     return results.join(batch.select("run_id").distinct(), "run_id", "left_semi")
 
 
+def start_run_views(stream: DataFrame, models: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep the model metrics on complete cases up to date under ``out``.
+
+    They cannot be added up, so each batch is stored and the metrics of the runs
+    in it are computed anew from all their rows. A replayed batch overwrites what
+    it wrote.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/facts/batch_id={batch_id}")
+        facts = spark.read.schema(batch.schema).parquet(f"{out}/facts")
+        metrics = model_metrics(touched_runs(batch, facts), models)
+        metrics.write.mode("overwrite").parquet(f"{out}/model_metrics/batch_id={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_run_views(spark: SparkSession, out: str) -> DataFrame:
+    """Model metrics of every run, from the last batch that touched it."""
+    rows = spark.read.parquet(f"{out}/model_metrics")
+    last = rows.groupBy("run_id").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, ["run_id", "batch_id"], "left_semi").drop("batch_id")
+
+
 def regression_alerts(partials: DataFrame, threshold: float = 3.5) -> DataFrame:
     """Days on which a model's running mean fell below the threshold or recovered.
 

@@ -1,7 +1,8 @@
 import datetime as dt
 
+from gradeloom.operators import rollups as R
 from gradeloom.streaming import live
-from helpers import rows
+from helpers import models, results, rows
 
 _SCHEMA = "run_id long, model string, created_at timestamp_ntz, judge_score decimal(3,1), output_tokens int"
 
@@ -39,3 +40,41 @@ def test_alerts_rise_and_resolve_in_event_time(spark):
 def test_touched_runs_are_recomputed_whole(spark):
     batch = spark.createDataFrame([(1,)], "run_id long")
     assert live.touched_runs(batch, spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "run_id long, x string")).count() == 2
+
+
+def test_compaction_publishes_generations(spark, tmp_path):
+    out = str(tmp_path / "parts")
+    kind = "run_id bigint, model string, day date, n_results bigint, n_judged bigint, score_tenths bigint, tokens bigint"
+
+    def batch(number, *counts):
+        day = dt.date(2024, 1, 1)
+        spark.createDataFrame([(1, "m", day, n, n, 10 * n, n) for n in counts], kind).write.mode("overwrite").parquet(f"{out}/batch_id={number}")
+
+    def total():
+        return live.read_partials(spark, out).groupBy().sum("n_results").first()[0]
+
+    assert live.read_partials(spark, out).count() == 0
+    for number in range(4):
+        batch(number, 1, number)
+    assert total() == 10
+    live.compact(spark, out)
+    assert total() == 10 and live.read_partials(spark, out).count() == 1 + 2
+    batch(3, 5)  # a replay of the newest batch counts
+    batch(1, 99)  # one of a closed batch does not
+    assert total() == 11
+    batch(4, 7)
+    live.compact(spark, out)
+    live.expire(spark, out)
+    assert total() == 18 and sorted(p.name for p in (tmp_path / "parts").iterdir()) == ["batch_id=4", "upto=3"]
+
+
+def test_touched_runs_are_computed_anew(spark, tmp_path):
+    first = results(spark, [{"run_id": 1, "model_id": 1, "judge_score": 1}, {"run_id": 1, "model_id": 2, "judge_score": 3}, {"run_id": 2, "judge_score": 2}])
+    second = results(spark, [{"run_id": 1, "model_id": m, "judge_score": 5, "case_id": "c2"} for m in (1, 2)])
+    both, catalogue = first.unionByName(second), models(spark, "a", "b")
+    for i, part in enumerate((first, second)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live.start_run_views(stream, catalogue, str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
+    got = live.read_run_views(spark, str(tmp_path / "out"))
+    assert rows(got, *sorted(got.columns)) == rows(R.model_metrics(both, catalogue), *sorted(got.columns))
