@@ -106,6 +106,32 @@ def test_repeats_on_given_documents(spark):
     assert repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeats_meet_members_that_are_settled(spark):
+    """The third document shares its passage with the second, which the first settles."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(0, 120, 3):
+        before, passage, behind = sentence(rng, 40), sentence(rng, 48), sentence(rng, 6)
+        texts += [(i, f"{before} {passage} {sentence(rng, 60)}"), (i + 1, f"{before} {passage} {behind} {sentence(rng, 60)}"),
+                  (i + 2, f"{sentence(rng, 60)} {passage} {behind} {sentence(rng, 60)}")]
+    # The first document has the passage twice, each time with other words around it.
+    for i in range(200, 280, 2):
+        passage, behind = sentence(rng, 48), sentence(rng, 6)
+        texts += [(i, f"{sentence(rng, 60)} {passage} {sentence(rng, 60)} {passage} {behind}"), (i + 1, f"{sentence(rng, 60)} {passage} {behind} {sentence(rng, 60)}")]
+    covered = {i: set() for i, _ in texts}
+    for r in repeats(frame(spark, texts)).collect():
+        covered[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    assert all(covered[i] >= set(range(a, a + 50)) for i, starts in repeated(texts).items() for a in starts)
+
+
+def test_repeats_miss_no_exact_passage(spark):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    covered = {i: set() for i, _ in texts}
+    for r in repeats(frame(spark, texts)).collect():
+        covered[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    assert all(covered[i] >= set(range(a, a + 50)) for i, starts in repeated(texts).items() for a in starts)
+
+
 def test_matching_spans_follow_the_line():
     import numpy as np
 
