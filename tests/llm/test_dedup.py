@@ -131,6 +131,18 @@ def test_repeats_miss_no_exact_passage(spark):
         covered[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
     assert all(covered[i] >= set(range(a, a + 50)) for i, starts in repeated(texts).items() for a in starts)
 
+def test_repeats_find_passages_with_a_word_more_or_less(spark):
+    rng = random.Random(9)
+    for kind in ("changed", "inserted", "deleted"):
+        texts = []
+        for i in range(0, 200, 2):
+            own = sentence(rng, 50 + (kind == "deleted")).split()
+            at = rng.randrange(5, 45)
+            copy = own[:at] + ([] if kind == "deleted" else ["zz"]) + own[at + (kind != "inserted") :]
+            texts += [(i + j, f"{sentence(rng, 60)} {' '.join(w)} {sentence(rng, 60)}") for j, w in enumerate((own, copy))]
+        assert len({r.doc_id for r in repeats(frame(spark, texts)).collect()}) >= 95, kind
+
+
 
 def test_matching_spans_follow_the_line():
     import numpy as np
