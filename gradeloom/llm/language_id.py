@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from gradeloom.llm.common import LOWER, blocks, text_buffers
 
 DIM = 4096
-#: Bounds of the fit: languages, and rows per language. They hold for the fit alone.
-MAX_LANGUAGES, ROWS_PER_LANGUAGE = 64, 1000
+#: Bounds of the fit: rows, and rows per language. They hold for the fit alone; every language takes part.
+MAX_ROWS, ROWS_PER_LANGUAGE = 64_000, 1000
 UNKNOWN = "und"
 
 #: Families of languages by ISO 639-1 code. A language that is not listed is a family of its own.
@@ -135,21 +135,23 @@ def _machine(x: np.ndarray, positive: np.ndarray, ridge: float = 1e-4, rounds: i
     return w
 
 
-def train(rows: DataFrame, per_language: int = ROWS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+def train(rows: DataFrame, per_language: int = ROWS_PER_LANGUAGE, max_rows: int = MAX_ROWS) -> LanguageModel:
     """A model fitted on ``doc_id``, ``text``, ``lang`` rows.
 
     Rows without a text or a language are left out. About ``per_language`` rows
-    of each of the ``max_languages`` most frequent languages take part, drawn by
-    a hash of the id. Without rows, the model answers ``und``; with one language,
+    of every language take part, drawn by a hash of the id; fewer, but one at
+    least, where the languages are so many that it would be over ``max_rows``. Without rows, the model answers ``und``; with one language,
     always that.
     """
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL AND trim(text) <> ''").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()
     if not sizes:
         return LanguageModel()
-    share = F.create_map(*(F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    found = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("text", "lang").mapInArrow(_feature_rows, "lang string, x binary").toArrow()
+    per_language = min(per_language, max(1, max_rows // len(sizes)))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], per_language / r["n"], r["least"]) for r in sizes], "lang string, share double, least double")
+    drawn = rows.join(F.broadcast(shares), "lang").where((draw < F.col("share")) | (draw <= F.col("least")))
+    found = drawn.select("text", "lang").mapInArrow(_feature_rows, "lang string, x binary").toArrow()
     pairs = sorted(zip(found["lang"].to_pylist(), found["x"].to_pylist()))
     langs = np.array([p[0] for p in pairs], dtype=object)
     x = np.frombuffer(b"".join(p[1] for p in pairs), dtype=np.float16).reshape(-1, DIM).astype(np.float32)

@@ -31,6 +31,15 @@ def test_languages_without_or_with_one_language(spark):
     assert {r.lang_pred for r in language_id.identify(rows, language_id.train(rows)).collect()} == {"en", "und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(5)
+    words = {f"x{i:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for i in range(68)}
+    rows = [(10 * i + k, " ".join(rng.choice(words[lang]) for _ in range(20)), lang, "s", 1) for i, lang in enumerate(words) for k in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     test = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
