@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -36,8 +37,11 @@ _TAG_AT = {t: i for i, t in enumerate(_TAGS)}
 _NUMBERS = 20
 
 
-def describe(page: Page) -> tuple[np.ndarray, list[tuple[int, int]], list[bool]]:
-    """Numbers of every element, its (element, place) marks, and which are hidden."""
+def describe(page: Page, wanted: int = -1) -> tuple[np.ndarray, list[tuple[int, int]], list[bool]]:
+    """Numbers of every element, its (element, place) marks, and which are hidden.
+
+    Words around an element are marked at the places that are bits of ``wanted``.
+    """
     tags, parents, n = page.tags, page.parents, len(page.tags)
     own, links, stops, before = [0] * n, [0] * n, [0] * n, [0] * n
     hidden = [False] * n
@@ -80,23 +84,27 @@ def describe(page: Page) -> tuple[np.ndarray, list[tuple[int, int]], list[bool]]
     for p in range(n):
         own_children = children[p][::-1]
         count = len(own_children)
+        alike = Counter(tags[c] for c in own_children)
         for i, e in enumerate(own_children):
-            same = sum(1 for c in own_children if tags[c] == tags[e]) if count < 40 else count
             t = text[e]
             rows[e] = (depth[e], t, own[e], links[e] / (t + 1), inside[e], t / inside[e], i, count, count - i, t / (text[p] + 1), t / (total + 1),
                        stops[e] / (t + 1), t / (blocks[e] + 1), paragraphs[e], fields[e], text[own_children[i - 1]] if i else -1,
-                       text[own_children[i + 1]] if i + 1 < count else -1, same, items[e], starts[e] / (total + 1))
-    above: list[set[str]] = [set() for _ in range(n)]
+                       text[own_children[i + 1]] if i + 1 < count else -1, alike[tags[e]], items[e], starts[e] / (total + 1))
+    # The words around an element as bits, which it hands on; equal ones are listed once.
+    above = [0] * n
+    listed: dict[int, list[int]] = {}
     for e in range(1, n):
         marks.append((e, _TAG_AT.get(tags[e], len(_TAGS))))
         marks.append((e, 64 + _TAG_AT.get(tags[parents[e]], len(_TAGS))))
         for word in page.tokens[e]:
             marks.append((e, 128 + zlib.crc32(word.encode()) % (_PLACES - 128)))
-        outer = set(above[parents[e]])
-        outer.update(page.tokens[parents[e]])
-        above[e] = outer if len(outer) < 64 else set()
-        for word in outer:
-            marks.append((e, _PLACES + zlib.crc32(word.encode()) % _PLACES))
+        outer = above[parents[e]]
+        for word in page.tokens[parents[e]]:
+            outer |= 1 << zlib.crc32(word.encode()) % _PLACES & wanted
+        above[e] = outer
+        if outer not in listed:
+            listed[outer] = [_PLACES + i for i, bit in enumerate(reversed(f"{outer:b}")) if bit == "1"]
+        marks.extend((e, place) for place in listed[outer])
     return rows, marks, hidden
 
 
@@ -390,13 +398,14 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], model: BoostedTrees) -> Iterator[pa.RecordBatch]:
+    wanted = sum(1 << int(p) - _PLACES for p in model.places if p >= _PLACES)
     for whole in batches:
         for start in range(0, whole.num_rows, 256):
             batch = whole.slice(start, 256)
             pages, parts, base, marks, hidden = [], [], 0, [], []
             for source in batch.column(2).to_pylist():
                 page = Page(source or "")
-                rows, own, hid = describe(page)
+                rows, own, hid = describe(page, wanted)
                 marks += [(e + base, p) for e, p in own]
                 pages.append(page)
                 parts.append(rows)

@@ -82,6 +82,16 @@ def test_page_reader():
     assert Page("a < b and <i").texts and Page("").tags == ["#page"]
 
 
+def test_size_of_a_page_changes_no_description():
+    deep = "".join(f'<div class="{chr(97 + i % 26)}{chr(97 + i // 26)}q">' for i in range(80))
+    page = Page(f"<div class='comments'>{deep}<p>x</p>")
+    _, marks, _ = html_extract.describe(page)
+    place = html_extract._PLACES + html_extract.zlib.crc32(b"comments") % html_extract._PLACES
+    assert {e for e, at in marks if at == place} >= set(range(2, len(page.tags)))
+    rows, _, _ = html_extract.describe(Page("<div>" + "<p>a</p><h2>b</h2>" * 30 + "</div>"))
+    assert {r[17] for r in rows[2:]} == {30}
+
+
 def test_decoding_keeps_nothing_in_what_is_dropped():
     page = Page("<div><p>a</p></div><div><p>b</p></div>")
     kept = html_extract.decide(page, np.array([0, -9, 3, 5, -1]), [False] * 5)
