@@ -11,6 +11,7 @@ from gradeloom.llm import byte_bpe, html_extract, language_id, packing, token_st
 from gradeloom.llm.embedding_dedup import near_vectors
 from gradeloom.llm.exact_dedup import exact_groups
 from gradeloom.llm.minhash_dedup import near_groups
+from gradeloom.llm.sharding import assign_shards, numbered
 from gradeloom.llm.substring_dedup import repeats
 from gradeloom.session import scratch_path
 
@@ -119,3 +120,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query("op11_sharding")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = {i: 1.0 for i in range(24)}
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 8).alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("key").alias("law"))
+    return numbered(assign_shards(assign_shards(rows, shards), {**shards, 24: 1.0}, out="grown_shard"))
