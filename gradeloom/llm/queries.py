@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import byte_bpe, html_extract, language_id, packing, token_store, toxicity
+from gradeloom.llm import byte_bpe, conversation_repair, html_extract, language_id, packing, token_store, toxicity
 from gradeloom.llm.embedding_dedup import near_vectors
 from gradeloom.llm.exact_dedup import exact_groups
 from gradeloom.llm.minhash_dedup import near_groups
@@ -129,3 +129,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("key").alias("law"))
     return numbered(assign_shards(assign_shards(rows, shards), {**shards, 24: 1.0}, out="grown_shard"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.conversation_digests(turns, conversation_repair.damaged(turns))
