@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import byte_bpe, conversation_repair, html_extract, language_id, packing, token_store, toxicity
+from gradeloom.llm import byte_bpe, conversation_repair, html_extract, language_id, packing, spelling, token_store, toxicity
 from gradeloom.llm.embedding_dedup import near_vectors
 from gradeloom.llm.exact_dedup import exact_groups
 from gradeloom.llm.minhash_dedup import near_groups
@@ -135,3 +135,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return conversation_repair.conversation_digests(turns, conversation_repair.damaged(turns))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Errors only shorten a run, so shorter runs make no word of seven letters.
+    runs = spelling.word_runs(table(spark, sf_dir, "documents"), least=7)
+    return spelling.variants(spelling.vocabulary(spelling.misspelt(runs), least_length=7, least_n=2), factor=10)
