@@ -29,7 +29,7 @@ LETTERS = "A-Za-zÀ-ÿ"
 #: A list that more words share is divided again by halves of its middle.
 LIST_WORDS = 200_000
 #: Words of a list that are scanned at once.
-_AT_ONCE = 1 << 14
+_AT_ONCE = 1 << 13
 _FAR = 9
 _NO_BOUND = 1 << 30
 
@@ -126,14 +126,16 @@ def scan(words: list[bytes], lists: np.ndarray, starts: np.ndarray) -> Iterator[
     length = np.diff(offsets)
     shared = _shared(words, lists)
     first = shared < starts  # also where a list begins, for ``shared`` is -1 there
+    # Where words that share exactly so many letters with the one before them stand: the borders inside ranges.
+    borders = np.sort(shared * (len(words) + 1) + np.arange(len(words)))
     begin = np.flatnonzero(first)
     own = np.cumsum(first) - 1
     for part in range(0, len(words), _AT_ONCE):
         asked = np.arange(part, min(part + _AT_ONCE, len(words)))
-        yield from _scan_block(asked, letters, offsets, length, shared, begin, own, starts)
+        yield from _scan_block(asked, letters, offsets, length, borders, begin, own, starts)
 
 
-def _scan_block(asked, letters, offsets, length, shared, begin, own, starts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _scan_block(asked, letters, offsets, length, borders, begin, own, starts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     n = len(length)
     end_of_list = np.append(begin[1:], n)
     # A range is [lo, hi) of the list; all its words share the first ``depth`` letters.
@@ -157,16 +159,19 @@ def _scan_block(asked, letters, offsets, length, shared, begin, own, starts) ->
             q, depth, lo, hi, row = q[alive], depth[alive], lo[alive], hi[alive], row[:, alive]
             if not len(q):
                 return
-        # Divide the ranges by the next letter: a word begins one if it shares no more than ``depth``.
-        size = hi - lo
-        index = ranges(lo, size)
-        parent = np.repeat(np.arange(len(q)), size)
-        cut = shared[index] <= depth[parent]
-        cut[np.cumsum(size) - size] = True
-        index, parent = index[cut], parent[cut]
+        # Divide the ranges by the next letter, at the words that share no more than ``depth`` with the one before.
+        level = depth * (n + 1)
+        left = np.searchsorted(borders, level + lo, side="right")
+        inner = np.searchsorted(borders, level + hi, side="left") - left
+        parent = np.repeat(np.arange(len(q)), inner + 1)
+        head = np.cumsum(inner + 1) - (inner + 1)
+        index = np.empty(len(parent), dtype=np.int64)
+        index[head] = lo
+        rest = np.ones(len(parent), dtype=bool)
+        rest[head] = False
+        index[rest] = borders[ranges(left, inner)] - level[parent[rest]]
         stop = np.append(index[1:], 0)
-        last = np.append(parent[1:] != parent[:-1], True)
-        stop[last] = hi[parent[last]]
+        stop[np.append(head[1:] - 1, len(parent) - 1)] = hi
         q, depth, row = q[parent], depth[parent], row[:, parent]
         letter = letters[offsets[index] + depth]
         room, base = length[q] - depth, offsets[q] + depth
