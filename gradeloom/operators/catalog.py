@@ -24,8 +24,8 @@ def unknown_models(requested: DataFrame, models: DataFrame) -> DataFrame:
     return requested.select("name").distinct().join(models, "name", "left_anti")
 
 
-def upsert_catalog(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Existing rows plus the incoming ones that are absent.
+def absent_models(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The incoming rows whose (provider, name, version) is absent, once each.
 
     Keys compare with plain equality: a row without a version never matches, as
     under a unique key over a nullable column.
@@ -34,7 +34,12 @@ def upsert_catalog(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     rest = F.struct(*[c for c in incoming.columns if c not in key])
     dated = incoming.where("version IS NOT NULL").groupBy(*key).agg(F.min(rest).alias("_rest")).select(*key, "_rest.*")
     fresh = dated.unionByName(incoming.where("version IS NULL"))
-    return existing.unionByName(fresh.join(existing, key, "left_anti"), allowMissingColumns=True)
+    return fresh.join(existing, key, "left_anti")
+
+
+def upsert_catalog(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Existing rows plus the incoming ones that are absent."""
+    return existing.unionByName(absent_models(existing, incoming), allowMissingColumns=True)
 
 
 def patch_catalog(models: DataFrame, patch: DataFrame, on: list[str] | None = None) -> DataFrame:

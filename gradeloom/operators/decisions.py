@@ -254,6 +254,18 @@ def decisions_to_insert(decided: DataFrame, log: DataFrame, now) -> DataFrame:
     ])
 
 
+def logged_once(log: DataFrame, new: DataFrame, timed: bool = False) -> DataFrame:
+    """``log`` and the new decisions whose input hash, prompt and profile it lacks.
+
+    With ``timed`` the time of creation belongs to the key, so that a forced
+    decision stands beside the one before it.
+    """
+    key = ["input_hash", "prompt_id", "profile", *(["created_at"] if timed else [])]
+    known = log.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return log.unionByName(new.join(known, same, "left_anti").select(*log.columns))
+
+
 def metrics_feed(metrics: DataFrame, run_id: int) -> DataFrame:
     """One run's metrics, by model."""
     return metrics.where(F.col("run_id") == run_id).orderBy("model")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import content_hash, is_blank, strip
-from gradeloom.functions.windows import lag_by_bucket, number_rows
+from gradeloom.functions.windows import in_parts, lag_in_parts, number_parts
 from gradeloom.operators.cases import violations
 
 
@@ -38,34 +38,29 @@ def sync_prompts(prompts: DataFrame, staged: DataFrame, now) -> DataFrame:
     time of creation.
     """
     staged = hashed(staged).select("source", "name", "version", "content", "hash")
-    before = F.col("previous_version_id") if "previous_version_id" in prompts.columns else F.lit(None).cast("bigint")
-    row = F.struct(F.col("id").alias("known_id"), F.col("version").cast("string").alias("known_version"),
-                   before.cast("bigint").alias("known_previous"), F.col("created_at").cast("timestamp_ntz").alias("known_at"))
-    known = prompts.groupBy("name", "hash").agg(F.min_by(row, "id").alias("_k")).select("name", "hash", "_k.*")
-    newest = prompts.groupBy("name").agg(
-        F.max_by("id", F.struct("created_at", "id")).alias("latest_id")
-    )
-    joined = staged.join(known, ["name", "hash"], "left")
-    fresh = joined.where("known_id IS NULL")
-    first = fresh.groupBy("name", "hash").agg(
-        F.min_by(F.struct("source", "version", "content"), "source").alias("_first")
-    ).select("name", "hash", "_first.*")
-    in_order = Window.partitionBy("name").orderBy("id")
-    made = (
-        number_rows(first, "name", ["source"], prompts)
-        .join(newest, "name", "left")
-        .withColumn("previous_version_id", F.coalesce(F.lag("id").over(in_order), "latest_id"))
-        .withColumn("action", F.when(F.col("previous_version_id").isNull(), "initial").otherwise("new_version"))
-    )
-    made = made.withColumn("created_at", F.lit(str(now)).cast("timestamp_ntz"))
-    seen = joined.where("known_id IS NOT NULL").withColumns({
-        "id": F.col("known_id"), "version": F.col("known_version"),
-        "previous_version_id": F.col("known_previous"), "created_at": F.col("known_at")})
-    repeats = fresh.select("source", "name", "content", "hash").join(first.select("source"), "source", "left_anti").join(
-        made.select("name", "hash", "id", "version", "previous_version_id", "created_at"), ["name", "hash"])
-    columns = ["source", "name", "version", "hash", "content", "action", "id", "previous_version_id", "created_at"]
-    same = [part.withColumn("action", F.lit("unchanged")).select(*columns) for part in (seen, repeats)]
-    return made.select(*columns).unionByName(same[0]).unionByName(same[1])
+    before = F.col("previous_version_id") if "previous_version_id" in prompts.columns else F.lit(None)
+    known = prompts.select("name", "hash", F.struct(
+        "id", F.col("version").cast("string").alias("version"), before.cast("bigint").alias("previous"),
+        F.col("created_at").cast("timestamp_ntz").alias("created_at")).alias("_known"))
+    # Known and staged rows of one text meet in one window; each text's first source is the one that counts.
+    of_text = Window.partitionBy("name", "hash")
+    met = staged.unionByName(known, allowMissingColumns=True).select(
+        "source", "name", "version", "content", "hash", F.min("_known").over(of_text).alias("_known"),
+        F.min("source").over(of_text).alias("_first"), F.col("_known").isNull().alias("_staged"))
+    # The rows are read three times below, and the parts number the new ones.
+    parts = in_parts(met.where("_staged").drop("_staged"), ["name", "source"])
+    newest = prompts.groupBy("name").agg(F.max_by("id", F.struct("created_at", "id")).alias("_latest"))
+    fresh = number_parts(parts.select("name", "source", "hash", "version", "_first", "_known", "_part"), ["name", "source"], prompts,
+                         where="_known IS NULL AND source = _first")
+    made = fresh.join(newest, "name", "left").select(
+        F.col("name").alias("_name"), F.col("hash").alias("_hash"), F.struct(
+            "id", "version", F.coalesce(F.lag("id").over(Window.partitionBy("name").orderBy("id")), "_latest").alias("previous"),
+            F.lit(str(now)).cast("timestamp_ntz").alias("created_at")).alias("_made"))
+    row, is_new = F.coalesce("_known", "_made"), F.col("_known").isNull() & (F.col("source") == F.col("_first"))
+    return parts.join(made, (F.col("name") == F.col("_name")) & (F.col("hash") == F.col("_hash")), "left").select(
+        "source", "name", row["version"].alias("version"), "hash", "content",
+        F.when(~is_new, "unchanged").when(row["previous"].isNull(), "initial").otherwise("new_version").alias("action"),
+        row["id"].alias("id"), row["previous"].alias("previous_version_id"), row["created_at"].alias("created_at"))
 
 
 def latest_prompts(prompts: DataFrame) -> DataFrame:
@@ -94,7 +89,6 @@ def prompts_history(prompts: DataFrame) -> DataFrame:
 
 def version_chain(prompts: DataFrame) -> DataFrame:
     """Each version with the id of the one before it."""
-    return lag_by_bucket(
-        prompts, ["name"], ["created_at", "id"], "id",
-        F.date_trunc("hour", "created_at"), "previous_version_id",
-    )
+    order = ["created_at", "id"]
+    chain = lag_in_parts(in_parts(prompts.select("name", *order), ["name", *order]), ["name"], order, "id", "previous_version_id")
+    return prompts.drop("previous_version_id").join(chain.select("id", "previous_version_id"), "id")
