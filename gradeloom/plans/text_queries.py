@@ -309,14 +309,9 @@ def _event_results(events):
         "cast(length(props) as int) AS output_tokens")
 
 
-def _streamed(spark, d):
-    """The partial sums left by a stream over the events file."""
+def _event_stream(spark, d):
     schema = bed.table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    out = scratch_path(spark, "live")
-    live.start_rollup(_event_results(stream), out, scratch_path(spark, "live-state"), once=True).awaitTermination()
-    live.compact(spark, out, keep=0)
-    return live.read_partials(spark, out)
+    return _event_results(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
 
 
 _TENTHS = "least(CAST(floor(value) AS INTEGER), 50)"
@@ -326,13 +321,29 @@ _TENTHS = "least(CAST(floor(value) AS INTEGER), 50)"
     sum(length(props))::BIGINT AS tokens, CAST(sum({_TENTHS}) AS DOUBLE) / CAST(count(*) * 10 AS DOUBLE) AS mean_score
     FROM events GROUP BY user_id, event_type""")
 def live_metrics(spark, d):
-    return live.live_metrics(_streamed(spark, d))
+    out = scratch_path(spark, "board")
+    live.start_board(_event_stream(spark, d), out, scratch_path(spark, "board-state"), once=True).awaitTermination()
+    return live.read_board(spark, out)
 
 
-@query("s02_regression_alerts", f"""WITH daily AS (SELECT event_type AS model, CAST(ts AS DATE) AS day, count(*) AS n, sum({_TENTHS}) AS s FROM events GROUP BY 1, 2),
+@query("s01_run_views", "SELECT * FROM mm")
+def run_views(spark, d):
+    """The results land in three files, a batch each; every batch touches every run."""
+    models, landed, out = bed.models(spark, d), scratch_path(spark, "landed"), scratch_path(spark, "views")
+    rows = bed.results(spark, d)
+    rows.repartition(3).write.parquet(landed)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    live.start_run_views(stream, models, out, scratch_path(spark, "views-state"), runs_per_folder=50, once=True).awaitTermination()
+    return live.read_run_views(spark, out, models, rows)
+
+
+# A day is closed once the newest event is a day and a half behind its end.
+@query("s02_regression_alerts", f"""WITH daily AS (SELECT event_type AS model, CAST(ts AS DATE) AS day, count(*) AS n, sum({_TENTHS}) AS s FROM events
+        WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 36 HOUR GROUP BY 1, 2),
     running AS (SELECT model, day, CAST(sum(s) OVER w AS DOUBLE) / CAST(sum(n) OVER w * 10 AS DOUBLE) AS mean_score FROM daily WINDOW w AS (PARTITION BY model ORDER BY day)),
     states AS (SELECT *, mean_score < 3.1 AS low, coalesce(lag(mean_score < 3.1) OVER (PARTITION BY model ORDER BY day), false) AS was FROM running)
     SELECT model, CAST(day AS VARCHAR) AS day, mean_score, CASE WHEN low THEN 'raised' ELSE 'resolved' END AS event FROM states WHERE low <> was""")
 def regression_alerts(spark, d):
-    alerts = live.regression_alerts(_streamed(spark, d), threshold=3.1)
-    return alerts.withColumn("day", F.col("day").cast("string"))
+    out = scratch_path(spark, "alerts")
+    live.start_alerts(_event_stream(spark, d), out, scratch_path(spark, "alerts-state"), threshold=3.1, delay="36 hours", once=True).awaitTermination()
+    return live.read_alerts(spark, out).withColumn("day", F.col("day").cast("string"))

@@ -44,7 +44,12 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     A tenth of the runs is never judged; one model slot is not judged on two
     cases, which leaves holes; one case has no id.
     """
-    base = table(spark, sf_dir, "lineitem").selectExpr(
+    return results_of(table(spark, sf_dir, "lineitem"))
+
+
+def results_of(line_items: DataFrame) -> DataFrame:
+    """Line items, of a table or a stream, as results."""
+    base = line_items.selectExpr(
         "*",
         f"cast(l_orderkey % {N_CASES} as int) AS case_no",
         f"cast(l_partkey % {RUN_MODELS} as int) AS slot",

@@ -1,80 +1,127 @@
 import datetime as dt
+from decimal import Decimal
+from pathlib import Path
+
+import pytest
 
 from gradeloom.operators import rollups as R
 from gradeloom.streaming import live
 from helpers import models, results, rows
 
 _SCHEMA = "run_id long, model string, created_at timestamp_ntz, judge_score decimal(3,1), output_tokens int"
-
-
-def _drop(spark, folder, name, items):
-    from decimal import Decimal
-    data = [(r, m, dt.datetime(2024, 1, day), None if s is None else Decimal(str(s)), 10) for r, m, day, s in items]
-    spark.createDataFrame(data, _SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
-
-
-def test_board_fills_batch_by_batch_and_survives_a_replay(spark, tmp_path):
-    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    stream = lambda: spark.readStream.schema(_SCHEMA).option("recursiveFileLookup", "true").parquet(source)
-    _drop(spark, source, "a", [(1, "m", 1, 2), (1, "m", 1, None), (1, "k", 1, 4)])
-    live.start_rollup(stream(), out, state, once=True).awaitTermination()
-    columns = ("model", "n_results", "n_judged", "mean_score")
-    assert rows(live.live_metrics(live.read_partials(spark, out)), *columns) == [("k", 1, 1, 4.0), ("m", 2, 1, 2.0)]
-    _drop(spark, source, "b", [(1, "m", 2, 5)])
-    live.start_rollup(stream(), out, state, once=True).awaitTermination()
-    after = rows(live.live_metrics(live.read_partials(spark, out)), *columns)
-    assert after == [("k", 1, 1, 4.0), ("m", 3, 2, 3.5)]
-    # A replayed batch overwrites its own folder.
-    batch = spark.read.schema(_SCHEMA).parquet(f"{source}/b")
-    live.partial_sums(batch).write.mode("overwrite").parquet(f"{out}/batch_id=1")
-    assert rows(live.live_metrics(live.read_partials(spark, out)), *columns) == after
-
-
-def test_alerts_rise_and_resolve_in_event_time(spark):
-    rows_ = [(1, "m", dt.date(2024, 1, d), 1, 1, s, 1) for d, s in ((1, 40), (2, 20), (3, 20), (4, 50), (5, 50))]
-    partials = spark.createDataFrame(rows_, "run_id long, model string, day date, n_results long, n_judged long, score_tenths long, tokens long")
-    got = live.regression_alerts(partials, 3.5).orderBy("day").collect()
-    assert [(r.day.day, r.event) for r in got] == [(2, "raised"), (5, "resolved")]
-
-
-def test_touched_runs_are_recomputed_whole(spark):
-    batch = spark.createDataFrame([(1,)], "run_id long")
-    assert live.touched_runs(batch, spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "run_id long, x string")).count() == 2
-
-
-def test_compaction_publishes_generations(spark, tmp_path):
-    out = str(tmp_path / "parts")
-    kind = "run_id bigint, model string, day date, n_results bigint, n_judged bigint, score_tenths bigint, tokens bigint"
-
-    def batch(number, *counts):
-        day = dt.date(2024, 1, 1)
-        spark.createDataFrame([(1, "m", day, n, n, 10 * n, n) for n in counts], kind).write.mode("overwrite").parquet(f"{out}/batch_id={number}")
-
-    def total():
-        return live.read_partials(spark, out).groupBy().sum("n_results").first()[0]
-
-    assert live.read_partials(spark, out).count() == 0
-    for number in range(4):
-        batch(number, 1, number)
-    assert total() == 10
-    live.compact(spark, out)
-    assert total() == 10 and live.read_partials(spark, out).count() == 1 + 2
-    batch(3, 5)  # a replay of the newest batch counts
-    batch(1, 99)  # one of a closed batch does not
-    assert total() == 11
-    batch(4, 7)
-    live.compact(spark, out)
-    live.expire(spark, out)
-    assert total() == 18 and sorted(p.name for p in (tmp_path / "parts").iterdir()) == ["batch_id=4", "upto=3"]
-
-
-def test_touched_runs_are_computed_anew(spark, tmp_path):
-    first = results(spark, [{"run_id": 1, "model_id": 1, "judge_score": 1}, {"run_id": 1, "model_id": 2, "judge_score": 3}, {"run_id": 2, "judge_score": 2}])
-    second = results(spark, [{"run_id": 1, "model_id": m, "judge_score": 5, "case_id": "c2"} for m in (1, 2)])
-    both, catalogue = first.unionByName(second), models(spark, "a", "b")
-    for i, part in enumerate((first, second)):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    live.start_run_views(stream, catalogue, str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
-    got = live.read_run_views(spark, str(tmp_path / "out"))
-    assert rows(got, *sorted(got.columns)) == rows(R.model_metrics(both, catalogue), *sorted(got.columns))
+_BOARD = ("run_id", "model", "n_results", "n_judged", "tokens", "mean_score")
+
+
+def _land(spark, folder, items, number):
+    """A file of (run, model, day, score) rows; files are taken in the order of their times."""
+    data = [(r, m, None if d is None else dt.datetime(2024, 1, 1) + dt.timedelta(days=d - 1), None if s is None else Decimal(str(s)), 10) for r, m, d, s in items]
+    spark.createDataFrame(data, _SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/{number}")
+
+
+def _stream(spark, folder, per_batch=1):
+    return (spark.readStream.schema(_SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).parquet(folder))
+
+
+@pytest.fixture
+def paths(tmp_path):
+    return tuple(str(tmp_path / n) for n in ("in", "out", "state"))
+
+
+def _fill(spark, paths):
+    live.start_board(_stream(spark, paths[0]), paths[1], paths[2], once=True).awaitTermination()
+    return rows(live.read_board(spark, paths[1]), *_BOARD)
+
+
+def test_board_fills_batch_by_batch(spark, paths):
+    _land(spark, paths[0], [(1, "m", 1, 2), (1, "m", 1, None), (1, "k", 1, 4), (None, "m", 1, 1), (7000, "m", 1, None)], 1)
+    first = [(1, "k", 1, 1, 10, 4.0), (1, "m", 2, 1, 20, 2.0), (7000, "m", 1, 0, 10, None), (None, "m", 1, 1, 10, 1.0)]
+    assert _fill(spark, paths) == first
+    assert _fill(spark, paths) == first  # no new rows
+    before = {p: p.stat().st_mtime_ns for p in Path(paths[1]).rglob("run_group=7/*.parquet")}
+    # Two batches in one start; rows older than all before, by years, count as well.
+    _land(spark, paths[0], [(1, "m", 2, 5), (2, None, 1, 1)], 2)
+    _land(spark, paths[0], [(1, "m", -3000, 2), (None, "m", None, 3)], 3)
+    assert _fill(spark, paths) == [(1, "k", 1, 1, 10, 4.0), (1, "m", 4, 3, 40, 3.0), (2, None, 1, 1, 10, 1.0),
+                                   (7000, "m", 1, 0, 10, None), (None, "m", 2, 2, 20, 2.0)]
+    assert before and before == {p: p.stat().st_mtime_ns for p in Path(paths[1]).rglob("run_group=7/*.parquet")}
+
+
+def _forget_last(state):
+    """Undo the commit of the newest batch, as if the driver had died before it."""
+    last = max((p for p in Path(state, "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    for p in (last, last.with_name(f".{last.name}.crc")):
+        p.unlink(missing_ok=True)
+
+
+def test_a_replayed_batch_changes_nothing(spark, paths):
+    for i in (1, 2):
+        _land(spark, paths[0], [(1, "m", i, 2 * i), (1, "k", i, 4), (i, "z", i, 1)], i)
+    first = _fill(spark, paths)
+    _forget_last(paths[2])
+    assert _fill(spark, paths) == first
+
+
+def test_run_views_read_the_touched_runs_and_survive_a_replay(spark, paths):
+    parts = [[{"run_id": 1, "model_id": 1, "judge_score": 1}, {"run_id": 1, "model_id": 2, "judge_score": 3}, {"run_id": 2, "judge_score": 2}],
+             [{"run_id": 1, "model_id": m, "judge_score": 5, "case_id": "c2"} for m in (1, 2)], [{"run_id": 1500, "judge_score": 4}]]
+    catalogue, both = models(spark, "a", "b"), None
+    for part in parts:
+        part = results(spark, part)
+        part.coalesce(1).write.mode("append").parquet(paths[0])
+        both = part if both is None else both.unionByName(part)
+    stream = lambda: spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(paths[0])
+    want = R.model_metrics(both, catalogue)
+    for replay in range(2):
+        live.start_run_views(stream(), catalogue, paths[1], paths[2], once=True).awaitTermination()
+        got = live.read_run_views(spark, paths[1], catalogue, both)
+        assert rows(got, *sorted(want.columns)) == rows(want, *sorted(want.columns))
+        _forget_last(paths[2])
+    facts = f"{paths[1]}/facts"
+    assert spark.read.parquet(facts).count() == both.count()
+    touched = live.facts_of_runs(spark, facts, both.schema, [2, 1500])
+    assert touched.count() == 2
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [run_group" in plan and "IN (2,1500)" in plan.replace(", ", ",")
+    assert live.facts_of_runs(spark, facts, both.schema, [1], runs_per_folder=1).count() == 4
+
+
+def _follow(spark, paths, threshold=3.5, delay="1 day"):
+    live.start_alerts(_stream(spark, paths[0]), paths[1], paths[2], threshold, delay, once=True).awaitTermination()
+    return sorted((r.model, r.day.day, round(r.mean_score, 3), r.event) for r in live.read_alerts(spark, paths[1]).collect())
+
+
+def test_alerts_are_emitted_once_over_many_batches(spark, paths):
+    _land(spark, paths[0], [(1, "m", 1, 4), (1, "k", 1, 1)], 1)
+    assert _follow(spark, paths) == []  # no day is closed yet
+    _land(spark, paths[0], [(1, "m", 2, 2), (1, "m", 3, 2)], 2)
+    _land(spark, paths[0], [(1, "m", 4, 5)], 3)
+    want = [("k", 1, 1.0, "raised"), ("m", 2, 3.0, "raised")]
+    assert _follow(spark, paths) == want
+    assert _follow(spark, paths) == want
+    _land(spark, paths[0], [(1, "m", 5, 5), (1, "m", 6, None)], 4)
+    _land(spark, paths[0], [(1, "m", 9, 5), (1, None, 9, 1), (1, "m", None, 1)], 5)
+    # Means of m: 4, 3, 8/3, 13/4, 18/5, then a day without a score.
+    assert _follow(spark, paths) == [*want, ("m", 5, 3.6, "resolved")]
+    for _ in range(2):  # a replay of the last batch
+        _forget_last(paths[2])
+        assert _follow(spark, paths) == [*want, ("m", 5, 3.6, "resolved")]
+
+
+def test_late_rows_count_from_the_next_day_on(spark, paths):
+    _land(spark, paths[0], [(1, "m", 1, 4), (1, "m", 5, 4)], 1)
+    assert _follow(spark, paths) == []
+    # Day 1 is closed: the late row lowers day 5. A row inside the delay still belongs to its day.
+    _land(spark, paths[0], [(1, "m", 1, 1), (1, "m", 4, 4)], 2)
+    _land(spark, paths[0], [(1, "m", 8, 5)], 3)
+    assert _follow(spark, paths) == [("m", 4, 3.0, "raised")]
+
+
+def test_alerts_do_not_depend_on_how_rows_are_batched(spark, tmp_path):
+    scores = [(1, m, d, (d * k) % 6) for d in range(1, 25) for m, k in (("m", 3), ("k", 5), ("z", 4))]
+    found = []
+    for name, cuts in (("whole", [72]), ("some", [10, 30, 31, 72]), ("end", [71, 72])):
+        paths = tuple(str(tmp_path / name / n) for n in ("in", "out", "state"))
+        for i, (a, b) in enumerate(zip([0, *cuts], cuts)):
+            _land(spark, paths[0], scores[a:b], i)
+        found.append(_follow(spark, paths, threshold=2.5))
+    assert found[0] and found[0] == found[1] == found[2]
