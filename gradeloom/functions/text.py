@@ -30,6 +30,15 @@ def style_counts(response: Column) -> dict[str, Column]:
     return counts
 
 
+# Fixed value: a fenced block that is marked as Python.
+PYTHON_BLOCK = r"(?s)```python[^\n]*\n(.*?)```"
+
+
+def first_python_block(response: Column) -> Column:
+    """The code of the first fenced Python block; NULL without one."""
+    return F.when(F.regexp_like(response, F.lit(PYTHON_BLOCK)), F.regexp_extract(response, PYTHON_BLOCK, 1))
+
+
 def failure_type(score: Column, reasoning_lower: Column) -> Column:
     """Triage label from the judge's lower-cased wording; the first match wins.
 

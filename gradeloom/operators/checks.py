@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom import schema
-from gradeloom.functions.text import strip
+from gradeloom.functions.text import first_python_block, strip
 from gradeloom.functions.verdict_json import is_object, let, strict_json
 
 # Shape of one check of a case. ``values`` and ``pattern`` serve the text
@@ -35,8 +35,7 @@ def _text_passed(response: Column, check: Column) -> Column:
     fold = lambda t: F.when(as_is, strip(t)).otherwise(F.lower(strip(t)))
     text = fold(response)
     has = lambda v: F.contains(text, fold(v))
-    flags = F.when(as_is, "(?U)").otherwise("(?iU)")
-    pattern = F.concat(flags, check["pattern"])
+    pattern = F.concat(_flags(check), check["pattern"])
     kind = check["kind"]
     return (
         F.when(kind == "exact", text == fold(F.get(check["values"], F.lit(0))))
@@ -72,6 +71,30 @@ def _schema_passed(response: Column, check: Column) -> Column:
     return valid & let(F.from_json(F.when(valid, response), "map<string,variant>"), conforms)
 
 
+def _flags(check: Column) -> Column:
+    return F.when(F.coalesce(check["case_sensitive"], F.lit(False)), "(?U)").otherwise("(?iU)")
+
+
+def _with_known_patterns(checks: Column) -> Column:
+    """Checks with ``bad``: whether a pattern of theirs does not compile; such patterns are taken out.
+
+    The regular expressions are Java's. ``Pattern.compile`` decides, called on the
+    case table, so once per check and not per response.
+    """
+    broken = lambda p: p.isNotNull() & F.try_reflect(
+        F.lit("java.util.regex.Pattern"), F.lit("compile"), p).isNull()
+
+    def marked(c: Column) -> Column:
+        own = F.when(c["kind"] == "regex", broken(F.concat(_flags(c), c["pattern"])))
+        inner = F.when(c["kind"] == "json_schema", F.exists(F.map_values(c["properties"]), lambda p: broken(p["pattern"])))
+        bad = F.coalesce(own, inner, F.lit(False))
+        fields = {f: c[f] for f in ("kind", "values", "pattern", "required", "properties", "threshold", "weight", "case_sensitive")}
+        fields |= {f: F.when(~bad, c[f]) for f in ("pattern", "properties")}
+        return F.struct(*[v.alias(k) for k, v in fields.items()], bad.alias("bad"))
+
+    return F.transform(checks, marked)
+
+
 def check_scores(responses: DataFrame, cases: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     """One row per response and check: score, threshold, weight and verdict.
 
@@ -80,11 +103,13 @@ def check_scores(responses: DataFrame, cases: DataFrame, plan: DataFrame | None
     ``outside_scores`` by check number. A missing response or score is a
     technical ERROR, a low score is a FAIL. ``plan`` lists the calls that were to
     be made: one that left no response is an ERROR of each of its checks. A case
-    that is unknown or has no checks is one ERROR row without a check.
+    that is unknown or has no checks is one ERROR row without a check, and a check
+    whose pattern does not compile is an ERROR; the others are judged. ``error``
+    says why a row is one.
     """
     if plan is not None:
         responses = plan.join(responses, [c for c in plan.columns if c in responses.columns], "left")
-    spec = cases.select("case_id", F.col("kind").alias("case_kind"), "category", "checks")
+    spec = cases.select("case_id", F.col("kind").alias("case_kind"), "category", _with_known_patterns(F.col("checks")).alias("checks"))
     rows = responses.join(spec, "case_id", "left").select("*", F.posexplode_outer("checks").alias("check_no", "c")).drop("checks")
     c, response = F.col("c"), F.col("response")
     text_kinds = ["exact", "contains", "not_contains", "regex"]
@@ -92,7 +117,8 @@ def check_scores(responses: DataFrame, cases: DataFrame, plan: DataFrame | None
     if "outside_scores" in responses.columns:
         outside = F.try_element_at(F.col("outside_scores"), F.col("check_no"))
     score = (
-        F.when(c["kind"].isin(text_kinds), _text_passed(response, c).cast("double"))
+        F.when(c["bad"], None)
+        .when(c["kind"].isin(text_kinds), _text_passed(response, c).cast("double"))
         .when((c["kind"] == "json_schema") & response.isNotNull(), _schema_passed(response, c).cast("double"))
         .when(response.isNotNull(), outside)
     )
@@ -101,9 +127,22 @@ def check_scores(responses: DataFrame, cases: DataFrame, plan: DataFrame | None
     return rows.withColumns({
         "check_kind": c["kind"], "is_judged": judged, "score": score, "threshold": threshold,
         "weight": F.coalesce(c["weight"], F.lit(1.0)),
+        "error": F.when(c.isNull(), "no check").when(c["bad"], "invalid pattern").when(response.isNull(), "no response")
+        .when(score.isNull(), "no score"),
     }).withColumn("verdict", verdict(F.col("score"), F.col("threshold"))).drop("c")
 
 
+def code_work(responses: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row per response and code test of its case, with the ``code`` to run elsewhere.
+
+    NULL code means that the response has no Python block. The scores come back by
+    ``check_no`` as ``outside_scores``.
+    """
+    spec = cases.select("case_id", F.posexplode("checks").alias("check_no", "c")).where("c.kind = 'code_test'")
+    coded = responses.withColumn("code", first_python_block(F.col("response"))).drop("response")
+    return coded.join(spec.select("case_id", "check_no"), "case_id")
+
+
 def verdict(score: Column, threshold: Column) -> Column:
     """PASS at or above the threshold, FAIL below, ERROR without a score."""
     return F.when(score.isNull(), "ERROR").when(score >= threshold, "PASS").otherwise("FAIL")

@@ -266,8 +266,8 @@ def logged_once(log: DataFrame, new: DataFrame, timed: bool = False) -> DataFram
     return log.unionByName(new.join(known, same, "left_anti").select(*log.columns))
 
 
-def metrics_feed(metrics: DataFrame, run_id: int) -> DataFrame:
-    """One run's metrics, by model."""
+def metrics_feed(metrics: DataFrame, run_id: int | Column) -> DataFrame:
+    """One run's metrics, by model; the run may be a scalar subquery."""
     return metrics.where(F.col("run_id") == run_id).orderBy("model")
 
 

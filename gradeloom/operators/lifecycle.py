@@ -34,11 +34,11 @@ def _rows_of(df: DataFrame, runs: DataFrame, how: str) -> DataFrame:
     return df.join(runs.select(F.col("id").alias("run_id")), "run_id", how)
 
 
-def export_dataset(runs: DataFrame, results: DataFrame, decisions: DataFrame, name: str,
+def export_dataset(runs: DataFrame, results: DataFrame, decisions: DataFrame, name: str | Column,
                    path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Runs, results and decisions of one data set, also written when a path is given.
 
-    A data set without runs is refused: it is a misspelt name.
+    The name may be a scalar subquery. A data set without runs is refused: it is a misspelt name.
     """
     chosen = runs.where(F.col("dataset") == name)
     if chosen.isEmpty():
@@ -52,7 +52,7 @@ def export_dataset(runs: DataFrame, results: DataFrame, decisions: DataFrame, na
 
 
 def restore_dataset(current: tuple[DataFrame, DataFrame, DataFrame],
-                    snapshot: tuple[DataFrame, DataFrame, DataFrame], name: str
+                    snapshot: tuple[DataFrame, DataFrame, DataFrame], name: str | Column
                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Current (runs, results, decisions) with one data set's rows replaced."""
     runs, results, decisions = current
@@ -65,7 +65,7 @@ def restore_dataset(current: tuple[DataFrame, DataFrame, DataFrame],
 
 
 def chosen_runs(today: dt.date | None = None, run_id: int | None = None,
-                dataset: str | None = None, everything: bool = False) -> Column:
+                dataset: str | Column | None = None, everything: bool = False) -> Column:
     """Condition on the runs table for one of the four purge modes."""
     modes = [today is not None, run_id is not None, dataset is not None, everything]
     if sum(modes) != 1:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import content_hash, is_blank, strip
@@ -73,7 +73,7 @@ def prompt_names(prompts: DataFrame) -> DataFrame:
     return prompts.select("name").distinct().orderBy("name")
 
 
-def prompt_history(prompts: DataFrame, name: str | None = None) -> DataFrame:
+def prompt_history(prompts: DataFrame, name: str | Column | None = None) -> DataFrame:
     """Versions oldest first, of one name or of all."""
     chosen = prompts if name is None else prompts.where(F.col("name") == name)
     return chosen.orderBy("name", "created_at", "id")

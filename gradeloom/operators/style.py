@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import style_counts
@@ -21,7 +21,7 @@ def with_style_features(responses: DataFrame, column: str = "response") -> DataF
     )
 
 
-def style_observations(results: DataFrame, models: DataFrame, run_id: int | None = None,
+def style_observations(results: DataFrame, models: DataFrame, run_id: int | Column | None = None,
                        exclude_code: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Per (model, case) means over the replicates of judged, styled rows.
 

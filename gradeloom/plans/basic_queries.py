@@ -94,7 +94,7 @@ _OBS = """SELECT {keys}model, case_id, CAST(sum(tenths) AS DOUBLE) / CAST(count(
     keys="", more="AND run_id = (SELECT max(run_id) FROM results WHERE tenths IS NOT NULL) AND resp_style_code_blocks = 0"))
 def optional_filters(spark, d):
     rows = bed.results(spark, d)
-    newest = rows.where("judge_score IS NOT NULL").agg(F.max("run_id")).first()[0]
+    newest = rows.where("judge_score IS NOT NULL").agg(F.max("run_id")).scalar()
     return S.style_observations(rows, bed.models(spark, d), run_id=newest, exclude_code=True)
 
 

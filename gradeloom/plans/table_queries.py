@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gradeloom.operators import cases as C
@@ -211,8 +212,8 @@ def validate_prompts(spark, d):
     return P.validate_prompts(staged)
 
 
-def _first_dataset(spark, d) -> str:
-    return bed.runs(spark, d).agg(F.min_by("dataset", "id")).first()[0]
+def _first_dataset(spark, d) -> Column:
+    return bed.runs(spark, d).agg(F.min_by("dataset", "id")).scalar()
 
 
 _FIRST = "(SELECT arg_min(dataset, id) FROM runs)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import content_hash, normalize_content
@@ -68,19 +69,34 @@ def document_hash(spark, d):
     return bed.table(spark, d, "documents").select("doc_id", content_hash(F.col("text")).alias("hash"))
 
 
-def _known(spark, d):
-    """Prompt table: all turns of a conversation but its last, chained by time."""
-    turns = bed.prompts(spark, d)
-    last = turns.groupBy("name").agg(F.max("turn").alias("_last"))
-    kept = P.version_chain(turns.join(last, "name").where("turn < _last")).withColumn("hash", content_hash(F.col("content")))
-    return kept.select("id", "name", "content", "version", "hash", "previous_version_id", "created_at")
+def _versions(spark, d):
+    """Prompt table: the turns of each conversation, chained by time."""
+    turns = P.version_chain(bed.prompts(spark, d)).withColumn("hash", content_hash(F.col("content")))
+    return turns.select("id", "name", "content", "version", "hash", "previous_version_id", "created_at")
+
+
+def _hashed_turns(spark, d):
+    return bed.prompts(spark, d).withColumn("hash", content_hash(F.col("content")))
+
+
+_VERSIONS = f"""WITH versions AS (SELECT id, name, version, created_at, sha256({_clean_sql('content')}) AS hash,
+    lag(id) OVER (PARTITION BY name ORDER BY created_at, id) AS previous_version_id FROM prompts p)
+    """
 
 
+# The prompt table of the sync: a conversation's last turn is not in it yet.
 _KNOWN = f"""WITH known AS (SELECT id, name, version, created_at, sha256({_clean_sql('content')}) AS hash,
     lag(id) OVER (PARTITION BY name ORDER BY created_at, id) AS previous_version_id FROM prompts p WHERE turn < (SELECT max(turn) FROM prompts q WHERE q.name = p.name))
     """
 
 
+def _known(spark, d):
+    of_name = Window.partitionBy("name")
+    turns = _hashed_turns(spark, d).withColumn("_last", F.max("turn").over(of_name)).where("turn < _last")
+    return turns.withColumn("previous_version_id", F.lag("id").over(of_name.orderBy("created_at", "id"))).select(
+        "id", "name", "content", "version", "hash", "previous_version_id", "created_at")
+
+
 @query("n03_sync_prompts", _KNOWN + f""", staged AS (SELECT name, version, sha256({_clean_sql('content')}) AS hash FROM
         (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN CAST(substring(name, 6) AS BIGINT) % 3 = 0 THEN turn ELSE -turn END) AS rn FROM prompts) WHERE rn = 1)
     SELECT s.name, coalesce(k.version, s.version) AS version, coalesce(k.created_at, TIMESTAMP '2024-06-01') AS created_at, s.hash, CASE WHEN k.id IS NOT NULL THEN 'unchanged' WHEN l.id IS NOT NULL THEN 'new_version' ELSE 'initial' END AS action,
@@ -97,10 +113,10 @@ def sync_prompts(spark, d):
                          F.when(F.col("action") == "unchanged", F.col("id")).alias("known_id"), "previous_version_id")
 
 
-@query("n04_latest_prompts", _KNOWN + """SELECT id, name, version, hash FROM
-    (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created_at DESC, id DESC) AS rn FROM known) WHERE rn = 1""")
+@query("n04_latest_prompts", _VERSIONS + """SELECT id, name, version, hash FROM
+    (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created_at DESC, id DESC) AS rn FROM versions) WHERE rn = 1""")
 def latest_prompts(spark, d):
-    return P.latest_prompts(_known(spark, d)).select("id", "name", "version", "hash")
+    return P.latest_prompts(_hashed_turns(spark, d)).select("id", "name", "version", "hash")
 
 
 @query("n04_prompt_names", "SELECT DISTINCT name FROM prompts")
@@ -111,26 +127,25 @@ def prompt_names(spark, d):
 @query("n04_prompt_history", "SELECT id, name, version, created_at FROM prompts WHERE name = (SELECT max(name) FROM prompts)")
 def prompt_history(spark, d):
     turns = bed.prompts(spark, d)
-    name = turns.agg(F.max("name")).first()[0]
-    return P.prompt_history(turns, name).select("id", "name", "version", "created_at")
+    return P.prompt_history(turns, turns.agg(F.max("name")).scalar()).select("id", "name", "version", "created_at")
 
 
-@query("e06_version_chain", _KNOWN + "SELECT id, name, previous_version_id FROM known")
+@query("e06_version_chain", _VERSIONS + "SELECT id, name, previous_version_id FROM versions")
 def version_chain(spark, d):
-    return _known(spark, d).select("id", "name", "previous_version_id")
+    return P.version_chain(bed.prompts(spark, d)).select("id", "name", "previous_version_id")
 
 
-_HISTORY = "SELECT id, name, version, substring(hash, 1, 12) AS hash_short, hash, previous_version_id, created_at FROM known"
+_HISTORY = "SELECT id, name, version, substring(hash, 1, 12) AS hash_short, hash, previous_version_id, created_at FROM versions"
 
 
-@query("v11_prompts_history", _KNOWN + _HISTORY)
+@query("v11_prompts_history", _VERSIONS + _HISTORY)
 def prompts_history(spark, d):
-    return P.prompts_history(P.version_chain(_known(spark, d)))
+    return P.prompts_history(_versions(spark, d))
 
 
-@query("f02_short_hash", _KNOWN + "SELECT substring(hash, 1, 12) AS hash_short, count(*) AS n FROM known GROUP BY 1")
+@query("f02_short_hash", _VERSIONS + "SELECT substring(hash, 1, 12) AS hash_short, count(*) AS n FROM versions GROUP BY 1")
 def short_hash(spark, d):
-    return P.prompts_history(P.version_chain(_known(spark, d))).groupBy("hash_short").agg(F.count(F.lit(1)).alias("n"))
+    return P.prompts_history(_versions(spark, d)).groupBy("hash_short").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- case curation and call texts --------------------------------------------
@@ -253,6 +268,30 @@ def verdicts(spark, d):
     return _scored(spark, d).select("doc_id", "check_no", "threshold", "verdict")
 
 
+@query("k03_bad_patterns", """SELECT doc_id, check_no, CASE WHEN lang IN ('de', 'es') AND check_no = 0 THEN 'invalid pattern' END AS error,
+        CASE WHEN lang IN ('de', 'es') AND check_no = 0 THEN NULL WHEN check_no = 0 THEN 0.0 ELSE contains(lower(text), 'la')::DOUBLE END AS score,
+        CASE WHEN lang IN ('de', 'es') AND check_no = 0 THEN 'ERROR' WHEN check_no = 0 OR NOT contains(lower(text), 'la') THEN 'FAIL' ELSE 'PASS' END AS verdict
+    FROM documents, (VALUES (0), (1)) AS c(check_no)""")
+def bad_patterns(spark, d):
+    """Patterns that do not compile make their own checks errors and no others."""
+    bad = {"de": _check("regex", pattern="'(abc'"),
+           "es": _check("json_schema", properties="map('k', named_struct('type', 'string', 'pattern', '[z-a]'))")}
+    first = "CASE case_id " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in bad.items()) + " ELSE " + _check("regex", pattern="'^$'") + " END"
+    docs = bed.table(spark, d, "documents").select("doc_id", F.col("lang").alias("case_id"), F.col("text").alias("response"))
+    cases = docs.select("case_id").distinct().selectExpr(
+        "case_id", "'main' AS kind", "'c' AS category", f"array({first}, {_check('contains', values="array('la')")}) AS checks")
+    return K.check_scores(docs, cases).select("doc_id", "check_no", "error", "score", "verdict")
+
+
+@query("k03_code_blocks", """SELECT doc_id, 1 AS check_no, CASE doc_id % 3 WHEN 0 THEN 'x = ' || doc_id || chr(10) WHEN 1 THEN '' END AS code FROM documents""")
+def code_blocks(spark, d):
+    docs = bed.table(spark, d, "documents").selectExpr(
+        "doc_id", "lang AS case_id", "concat(replace(text, '`', ''), CASE doc_id % 3 WHEN 0 THEN concat('\n```python title\nx = ', doc_id, '\n```\n```python\ny\n```')"
+        " WHEN 1 THEN '```python\n```' ELSE '```\ncode\n```' END) AS response")
+    cases = docs.select("case_id").distinct().selectExpr("case_id", f"array({_check('regex')}, {_check('code_test')}) AS checks")
+    return K.code_work(docs, cases).select("doc_id", "check_no", "code")
+
+
 @query("k04_case_verdicts", _SCORED + """SELECT doc_id, CASE WHEN NOT bool_or(verdict = 'ERROR') THEN round(sum(score * weight) / sum(weight), 9) END AS score,
     CASE WHEN bool_or(verdict = 'ERROR') THEN 'ERROR' WHEN bool_and(verdict = 'PASS') THEN 'PASS' ELSE 'FAIL' END AS verdict
     FROM verdicts GROUP BY doc_id""")

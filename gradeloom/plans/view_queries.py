@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeloom import schema
@@ -183,7 +184,7 @@ def decide_or_replay(spark, d):
 
 @query("m13_metrics_feed", "SELECT * FROM mdm WHERE run_id = (SELECT max(run_id) FROM results WHERE tenths IS NOT NULL)")
 def metrics_feed(spark, d):
-    newest = bed.results(spark, d).where("judge_score IS NOT NULL").agg(F.max("run_id")).first()[0]
+    newest = bed.results(spark, d).where("judge_score IS NOT NULL").agg(F.max("run_id")).scalar()
     return D.metrics_feed(decision_metrics(spark, d), newest)
 
 
@@ -431,14 +432,15 @@ def cost_by_dataset(spark, d):
 # --- panels as SQL text over the registered views -----------------------------
 
 def _registered(spark, d):
-    turns = P.version_chain(bed.prompts(spark, d)).withColumn("hash", content_hash(F.col("content")))
+    before = F.lag("id").over(Window.partitionBy("name").orderBy("created_at", "id"))
+    turns = bed.prompts(spark, d).withColumns({"previous_version_id": before, "hash": content_hash(F.col("content"))})
     register_views(spark, EvalTables(bed.models(spark, d), turns, bed.runs(spark, d), bed.results(spark, d), bed.decisions(spark, d)))
 
 
-@query("q02_score_sql", "SELECT run_id, model, avg_judge_score, avg_latency_ms FROM mm WHERE run_id % 2 = 0 AND avg_judge_score >= 2.5")
+@query("q02_score_sql", "SELECT run_id, model, avg_judge_score, avg_latency_ms FROM mm WHERE avg_judge_score >= 2.5")
 def score_sql(spark, d):
     _registered(spark, d)
-    return spark.sql("SELECT run_id, model, avg_judge_score, avg_latency_ms FROM model_metrics WHERE run_id % 2 = 0 AND avg_judge_score >= 2.5")
+    return spark.sql("SELECT run_id, model, avg_judge_score, avg_latency_ms FROM model_metrics WHERE avg_judge_score >= 2.5")
 
 
 @query("q08_comparison_sql", """SELECT m.run_id, u.dataset, m.model, m.mean_judge_score, m.avg_cost FROM mdm m JOIN runs u ON u.id = m.run_id

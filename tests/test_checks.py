@@ -76,3 +76,33 @@ def test_gate_needs_all_canaries_and_the_pass_rate(spark):
     broken = scored.withColumn("verdict", F.when(F.col("case_kind") == "canary", "ERROR").otherwise(F.col("verdict")))
     assert not K.dataset_gate(broken, ["set"], 0.5).first().gate_ok
     assert rows(K.judged_quality(scored, ["set"])) == [("d", 0.8, 1)]
+
+
+@pytest.mark.parametrize("spec, response, score, error", [
+    (_spec("regex", pattern="(abc"), "abc", None, "invalid pattern"), (_spec("regex", pattern="[z-a]", case_sensitive=True), "a", None, "invalid pattern"),
+    (_spec("regex", pattern=None), "a", None, "no score"), (_spec("regex", pattern="a"), None, None, "no response"),
+    (_spec("contains", values=["a"], pattern="(abc"), "a", 1.0, None),
+    (_spec("json_schema", required=["k"], properties={"k": ("string", "*")}), '{"k": "x"}', None, "invalid pattern"),
+    (_spec("json_schema", required=["k"], properties={"k": ("string", None)}), '{"k": "x"}', 1.0, None),
+])
+def test_patterns_that_do_not_compile_are_errors_of_their_check(spark, spec, response, score, error):
+    got = _score(spark, [spec, _spec("contains", values=["a"])], response)
+    found = {r.check_no: (r.score, r.error, r.verdict) for r in got.collect()}
+    assert found[0] == (score, error, "ERROR" if score is None else "PASS")
+    other = None if response is None else float("a" in response)
+    assert found[1][0] == other
+
+
+def test_a_bad_pattern_does_not_stop_other_cases(spark):
+    cases = spark.createDataFrame([(c, "main", "cat", [tuple(_spec("regex", pattern=p).values())]) for c, p in (("x", "(abc"), ("y", "b+"))],
+                                  f"case_id string, kind string, category string, checks array<{K.CHECK}>")
+    answers = spark.createDataFrame([("x", "abc"), ("y", "abc"), ("z", "abc")], "case_id string, response string")
+    got = K.check_scores(answers, cases)
+    assert rows(got, "case_id", "verdict", "error") == [("x", "ERROR", "invalid pattern"), ("y", "PASS", None), ("z", "ERROR", "no check")]
+
+
+def test_code_work(spark):
+    cases = spark.createDataFrame([("c", [tuple(_spec("regex", pattern="a").values()), tuple(_spec("code_test").values())]), ("d", [])], f"case_id string, checks array<{K.CHECK}>")
+    answers = spark.createDataFrame([(1, "c", "see\n```python\nf = 1\n```\n```python\ng\n```"), (2, "c", "none"), (3, "c", None), (4, "d", "```python\nx\n```")],
+                                    "id long, case_id string, response string")
+    assert rows(K.code_work(answers, cases), "id", "check_no", "code") == [(1, 1, "f = 1\n"), (2, 1, None), (3, 1, None)]
