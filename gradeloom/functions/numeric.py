@@ -40,6 +40,39 @@ def guarded_corr(y: Column, x: Column) -> Column:
     return F.try_divide(F.covar_samp(y, x), F.stddev_samp(y) * F.stddev_samp(x))
 
 
+def moments(y: str, x: str, name: str) -> list[Column]:
+    """Whole-number sums of pairs without a NULL, which add up over any partitioning.
+
+    ``y`` and ``x`` are SQL expressions of whole numbers; ``name`` begins the columns.
+    """
+    both = f"({y}) IS NOT NULL AND ({x}) IS NOT NULL"
+    of = lambda e, kind: f"sum(CASE WHEN {both} THEN cast({e} as {kind}) ELSE 0 END)"
+    long = lambda e: f"cast({e} as bigint)"
+    sums = {"n": f"count_if({both})", "x": of(x, "bigint"), "y": of(y, "bigint")}
+    sums |= {k: of(f"{long(a)} * {long(b)}", "decimal(20,0)") for k, a, b in (("xx", x, x), ("xy", x, y), ("yy", y, y))}
+    return [F.expr(f"{e} AS {name}_{k}") for k, e in sums.items()]
+
+
+MOMENTS = ("n", "x", "y", "xx", "xy", "yy")
+
+
+def _deviations(name: str, a: str, b: str) -> Column:
+    """n * sum(ab) - sum(a) * sum(b), exact until it becomes a double."""
+    first = lambda c: f"cast({name}_{c} as decimal(18,0))"
+    whole = f"cast({name}_n as decimal(13,0)) * cast({name}_{a}{b} as decimal(24,0)) - {first(a)} * {first(b)}"
+    return F.expr(f"cast({whole} as double)")
+
+
+def corr_of_moments(name: str) -> Column:
+    """Pearson correlation from ``moments``; NULL on constant or missing input."""
+    return F.try_divide(_deviations(name, "x", "y"), F.sqrt(_deviations(name, "x", "x")) * F.sqrt(_deviations(name, "y", "y")))
+
+
+def slope_of_moments(name: str) -> Column:
+    """Slope of y over x from ``moments``; NULL on constant or missing input."""
+    return F.try_divide(_deviations(name, "x", "y"), _deviations(name, "x", "x"))
+
+
 def duration_ms(start: Column, end: Column) -> Column:
     """Milliseconds between two zone-less timestamps; NULL while unfinished.
 

@@ -233,10 +233,12 @@ def style_metrics(results: DataFrame, models: DataFrame) -> DataFrame:
 
 def result_variance(results: DataFrame, models: DataFrame) -> DataFrame:
     """Per (run, model, case): spread of the repeated samples."""
-    g = named_results(results, models).groupBy("run_id", "model", "case_id").agg(*_aggs(
+    part = results.groupBy("run_id", "model_id", "case_id").agg(*_aggs(
         *_SCORE_SUMS, f"min({N.TENTHS}) AS lo", f"max({N.TENTHS}) AS hi",
         "count(1) AS n", "sum(cast(latency_ms as bigint)) AS lat", "sum(cost) AS cost",
     ))
+    g = part.join(_names(models), "model_id").groupBy("run_id", "model", "case_id").agg(
+        *_merge("n_judged", "score_sum", "score_sq", "n", "lat", "cost"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return g.select(
         "run_id", "model", "case_id", F.col("n_judged").alias("n_samples"),
         _mean_score().alias("mean_score"), _stddev_score().alias("stddev_score"),
@@ -246,22 +248,24 @@ def result_variance(results: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
+# The figures whose relation to the score is examined, as whole numbers.
+_CONFOUNDERS = {"len": "output_tokens", "headers": "resp_style_headers", "bold": "resp_style_bold",
+                "lists": "resp_style_ordered + resp_style_unordered"}
+
+
 def style_confound(results: DataFrame, models: DataFrame) -> DataFrame:
-    """Per (model, run): does the score move with length or formatting?"""
-    y, tokens = F.col("judge_score").cast("double"), F.col("output_tokens").cast("double")
-    lists = F.col("resp_style_ordered") + F.col("resp_style_unordered")
-    return (
-        named_results(results.where("judge_score IS NOT NULL"), models)
-        .groupBy("model", "run_id")
-        .agg(
-            F.count("judge_score").alias("n_judged"),
-            F.round(N.guarded_corr(y, tokens), 3).alias("corr_score_len"),
-            F.round(F.regr_slope(y, tokens), 8).alias("slope_score_per_token"),
-            F.round(N.guarded_corr(y, F.col("resp_style_headers")), 3).alias("corr_score_headers"),
-            F.round(N.guarded_corr(y, F.col("resp_style_bold")), 3).alias("corr_score_bold"),
-            F.round(N.guarded_corr(y, lists), 3).alias("corr_score_lists"),
-        )
-    )
+    """Per (model, run): does the score move with length or formatting?
+
+    Rows fold to whole-number moments by model id; only these meet the catalogue
+    and are added up over the ids of a name, so no figure depends on the partitions.
+    """
+    names = [f"{k}_{m}" for k in _CONFOUNDERS for m in N.MOMENTS]
+    part = results.where("judge_score IS NOT NULL").groupBy("run_id", "model_id").agg(
+        F.count(F.lit(1)).alias("n_judged"), *[c for k, x in _CONFOUNDERS.items() for c in N.moments(N.TENTHS, x, k)])
+    g = part.join(_names(models), "model_id").groupBy("model", "run_id").agg(*_merge("n_judged", *names))
+    corr = lambda k: F.round(N.corr_of_moments(k), 3).alias(f"corr_score_{k}")
+    return g.select("model", "run_id", "n_judged", corr("len"), F.round(N.slope_of_moments("len") / 10, 8).alias("slope_score_per_token"),
+                    corr("headers"), corr("bold"), corr("lists"))
 
 
 def result_review(results: DataFrame, models: DataFrame) -> DataFrame:

@@ -238,6 +238,13 @@ def style_fit(spark, d):
     return fit.withColumns({c: F.round(c, 6) for c in fit.columns if c.startswith(("slope_", "raw", "adj"))})
 
 
+@query("m04_fit_status", f"""SELECT run_id, count(*) AS n_obs, count(DISTINCT model) AS n_models,
+    CASE WHEN count(*) < 90 THEN 'only ' || count(*) || ' observations, 90 are needed' END AS reason
+    FROM ({_OBS.format(keys="run_id, ", more="")}) GROUP BY run_id""")
+def fit_status(spark, d):
+    return S.fit_status(S.style_observations(*_pair(spark, d), by=("run_id",)), by=("run_id",), min_obs=90)
+
+
 @query("m05_style_report", _FIT + f"SELECT o.model, round(avg(o.judge_score), 6) AS raw_mean, round({_ADJUSTED}, 6) AS adjusted, "
        f"round({_ADJUSTED} - avg(o.judge_score), 6) AS delta, count(*) AS n, false AS rank_deficient FROM obs o, b{S.FEATURES[0]} "
        + "GROUP BY o.model, " + ", ".join(f"b_{c}" for c in S.FEATURES))
