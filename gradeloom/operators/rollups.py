@@ -118,9 +118,14 @@ def complete_cases(results: DataFrame) -> DataFrame:
 
 
 def fair_results(results: DataFrame, complete: DataFrame) -> DataFrame:
-    """Result rows of complete cases; a NULL case matches a NULL case."""
-    same = (results["run_id"] == complete["run_id"]) & results["case_id"].eqNullSafe(complete["case_id"])
-    return results.join(complete, same, "left_semi")
+    """Result rows of complete cases; a NULL case matches a NULL case.
+
+    The keys are plain columns, so rows that are bucketed by run and case stay where
+    they are. The few rows without a case are found by their run.
+    """
+    with_case = results.join(complete.where("case_id IS NOT NULL"), ["run_id", "case_id"], "left_semi")
+    without = results.where("case_id IS NULL").join(complete.where("case_id IS NULL").select("run_id"), "run_id", "left_semi")
+    return with_case.select(*results.columns).unionByName(without.select(*results.columns))
 
 
 def _fair_sums(results: DataFrame) -> DataFrame:

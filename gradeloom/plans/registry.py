@@ -13,15 +13,18 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its name, with its SQL statement when there is one."""
+def query(name: str, sql: str | None = None, **tables: str) -> Callable[[Query], Query]:
+    """Register a query under its name, with its SQL statement when there is one.
+
+    ``tables`` states tables of the statement that are not the bed's, by name.
+    """
 
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} exists")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = oracle.sql(sql)
+            ORACLES[name] = oracle.sql(sql, **tables)
         return fn
 
     return add

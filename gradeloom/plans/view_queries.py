@@ -89,6 +89,15 @@ def model_decision_metrics(spark, d):
     return decision_metrics(spark, d)
 
 
+@query("v08_context_windows", "SELECT m.*, n.n AS n_windows FROM mdm m JOIN (SELECT run_id, model, count(*) AS n FROM mdm GROUP BY run_id, model) n ON n.run_id = m.run_id AND n.model = m.model",
+       models=O.TWO_WINDOWS)
+def context_windows(spark, d):
+    """A name whose ids have two context windows gives two rows per run."""
+    models = bed.models(spark, d).withColumn("context_window", F.expr("CASE WHEN id <> 7 THEN 100000 * id END").cast("int"))
+    metrics = R.model_decision_metrics(bed.results(spark, d), models)
+    return metrics.withColumn("n_windows", F.count(F.lit(1)).over(Window.partitionBy("run_id", "model")))
+
+
 @query("v09_decision_summary", """SELECT d.id AS decision_id, d.recommended_model, d.confidence, d.reasoning, d.tradeoffs, array_to_string(d.determinant_metrics, ',') AS determinant_metrics,
     d.created_at, m.mean_judge_score, m.stddev_judge_score, m.avg_total_tokens, m.efficiency, m.avg_latency_ms, m.ctx_pct, m.avg_cost,
     m.n_judged, d.run_id FROM decisions d LEFT JOIN mdm m ON m.model = d.recommended_model AND m.run_id IS NOT DISTINCT FROM d.run_id

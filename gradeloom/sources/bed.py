@@ -85,6 +85,30 @@ def results_of(line_items: DataFrame) -> DataFrame:
     )
 
 
+def single_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as cases that five models answer once each; a tenth of the calls is lost.
+
+    Facts of this kind hardly shrink when they fold to (run, case, model) cells.
+    """
+    lost = "(l_partkey + slot) % 11 = 0"
+    calls = table(spark, sf_dir, "lineitem").selectExpr(
+        "*", "cast(floor(l_extendedprice) as int) AS price", f"explode(sequence(0, {RUN_MODELS - 1})) AS slot").where(f"NOT ({lost} AND l_orderkey % 2 = 0)")
+    return calls.selectExpr(
+        "*", f"slot * {RUN_MODELS} + l_suppkey % {RUN_MODELS} + 1 AS mid", "20 + cast(l_partkey % 180 as int) AS in_tok",
+        "1 + (price + 97 * slot) % 900 AS out_tok", "(l_suppkey % 10 = 9 OR (slot = 2 AND l_orderkey % 10 = 7)) AS unjudged",
+    ).selectExpr(
+        f"(l_orderkey * 10 + l_linenumber) * {RUN_MODELS} + slot AS id", "l_suppkey + 1 AS run_id", "mid AS model_id",
+        "concat('Answer of model ', mid, ' to order ', l_orderkey, ' line ', l_linenumber) AS response",
+        "price + slot AS latency_ms", "in_tok AS input_tokens", "out_tok AS output_tokens",
+        "cast((in_tok + 3 * out_tok) * mid * 0.000001 as decimal(18,9)) AS cost",
+        "CASE WHEN NOT unjudged THEN cast(((cast(l_quantity as int) + 7 * slot) % 51) * 0.1 as decimal(3,1)) END AS judge_score",
+        "CASE WHEN NOT unjudged THEN 'judged' END AS judge_reasoning", "l_shipdate AS created_at",
+        "CASE WHEN l_orderkey % 50 > 0 THEN concat('o', l_orderkey, '-', l_linenumber) END AS case_id",
+        "cast(null as string) AS prompt_style", "concat('Order ', l_orderkey) AS question", "0 AS sample_idx",
+        *[f"cast(null as int) AS resp_style_{k}" for k in ("headers", "bold", "ordered", "unordered", "code_blocks")],
+    )
+
+
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as models; the last two ids of one run group share a name."""
     return table(spark, sf_dir, "nation").selectExpr(

@@ -56,6 +56,21 @@ def append_results(df: DataFrame, path: str, run_folders: bool = False) -> None:
     _append(df.select(*[df[f.name].cast(f.dataType) for f in schema.RESULTS]), path, run_folders)
 
 
+def append_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Append result rows to a table that is bucketed and sorted by run and case, and return it.
+
+    For runs with few samples per case, whose facts hardly shrink when they fold to
+    cells: the rows of a case lie in one file, so folding them, counting a case's
+    models and keeping the complete cases need no exchange. One task reads a
+    bucket; take at least ``spark.sql.shuffle.partitions`` buckets, and so many
+    that one fits a task. A case is spread over no two buckets, a run over all.
+    """
+    keys = ["run_id", "case_id"]
+    (df.select(*[df[f.name].cast(f.dataType) for f in schema.RESULTS]).repartition(buckets, *keys)
+     .write.bucketBy(buckets, *keys).sortBy(*keys, "model_id").option("path", path).mode("append").saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def append_decisions(df: DataFrame, path: str, run_folders: bool = False) -> None:
     """Append decisions to the log."""
     _append(df, path, run_folders)

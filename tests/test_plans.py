@@ -75,3 +75,43 @@ def test_nothing_is_multiplied_out(spark):
 def test_top_rows_per_group_are_cut_before_the_shuffle(spark):
     for df in (K.latest_models(bed.catalog(spark, SF)), C.balanced_subset(bed.questions(spark, SF)), D.latest_per_profile(bed.decisions(spark, SF))):
         assert any("WindowGroupLimit" in ln and "Partial" in ln for ln in plan_of(df).split("\n"))
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark, tmp_path_factory):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    path = str(tmp_path_factory.mktemp("buckets") / "results")
+    for rows in (bed.single_samples(spark, SF), bed.single_samples(spark, SF).limit(5)):
+        table = tables.append_bucketed(rows, "plan_bucketed", path, int(before))
+    yield table
+    spark.sql("DROP TABLE plan_bucketed")
+
+
+def _without_broadcasts(spark, df) -> str:
+    """The plan as it is when the small sides are too large to be broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan_of(df())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bucketed_facts_fold_without_an_exchange(spark, bucketed):
+    assert bucketed.count() == bed.single_samples(spark, SF).count() + 5
+    for view in (R.model_metrics, R.model_decision_metrics):
+        lines = _without_broadcasts(spark, lambda: view(bucketed, bed.models(spark, SF))).split("\n")
+        window = max(i for i, ln in enumerate(lines) if "Window " in ln)
+        scan = next(i for i in range(window, len(lines)) if "FileScan" in lines[i])
+        assert "Bucketed: true" in lines[scan]
+        below = lines[window:scan]
+        assert not any("Exchange" in ln for ln in below), "\n".join(below)
+
+
+def test_bucketed_rows_of_complete_cases_stay_where_they_are(spark, bucketed):
+    lines = _without_broadcasts(spark, lambda: R.fair_results(bucketed, R.complete_cases(bucketed))).split("\n")
+    wide = [i for i, ln in enumerate(lines) if "FileScan" in ln and "response#" in ln]
+    assert len(wide) == 2  # rows with and without a case
+    first = next(i for i in range(wide[0], -1, -1) if "SortMergeJoin" in lines[i] and "case_id" in lines[i])
+    assert not any("Exchange" in ln for ln in lines[first:wide[0]]), "\n".join(lines[first:wide[0] + 1])
+    assert "isnull(case_id" in lines[wide[1]].lower()
