@@ -45,12 +45,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text column and the offsets of its texts; null is empty."""
+    """The bytes of a text or binary column and the offsets of its values; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
+    if pa.types.is_binary(column.type):
+        column = column.cast(pa.large_binary())
+    elif not pa.types.is_large_string(column.type) and not pa.types.is_large_binary(column.type):
         column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -70,7 +72,7 @@ def blocks(bounds: np.ndarray, most: int = BLOCK, rows: int = 1 << 16) -> Iterat
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     cache = worker_cache()
-    if len(cache.get("powers", ((),))[0]) < n:
+    if "powers" not in cache or len(cache["powers"][0]) < n:
         size = max(n, BLOCK + 1)
         out = []
         for base in (_BASE, _BASE_INVERSE):

@@ -73,7 +73,7 @@ def test_stages_on_odd_tables(spark):
 
 def test_queries_are_registered(spark):
     names = set(__spark_entry__.queries())
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_queries_cover_every_row(spark):
