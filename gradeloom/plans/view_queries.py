@@ -19,7 +19,7 @@ from gradeloom.plans.basic_queries import (
     _NAN, _OBS, _PLAN, CANONICAL, by_profile, dataset_cases, decision_metrics, requests,
 )
 from gradeloom.plans.registry import query
-from gradeloom.session import scratch_path
+from gradeloom.session import materialized
 from gradeloom.sources import bed
 from gradeloom.sources.tables import EvalTables
 from gradeloom.sources.views import register_views
@@ -177,17 +177,16 @@ def decision_keys(spark, d):
     confidence, profile IN ('rapide', 'economie') AS replayed, CASE WHEN profile IN ('rapide', 'economie') THEN 'as stored' ELSE 'new' END AS reasoning,
     CASE WHEN profile IN ('rapide', 'economie') THEN TIMESTAMP '2024-06-01' END AS created_at FROM reco""")
 def decide_or_replay(spark, d):
-    metrics, profiles = decision_metrics(spark, d), D.shipped_profiles(spark)
+    # The metrics serve the log of the earlier decisions and the decision itself.
+    metrics, profiles = materialized(decision_metrics(spark, d), "metrics"), D.shipped_profiles(spark)
     logged = profiles.where("profile IN ('rapide', 'economie')")
     log = D.keyed_recommendations(metrics, logged).selectExpr(
         "run_id AS id", "'logged' AS recommended_model", "confidence", "weighted_scores", "input_hash",
         "cast(7 as bigint) AS prompt_id", "profile", "timestamp_ntz'2024-06-01 00:00:00' AS created_at", "'as stored' AS reasoning")
-    # The log is read as a store of its own, not worked out again from the facts.
-    path = scratch_path(spark, "log")
-    log.write.parquet(path)
+    log = materialized(log, "log")
     prose = bed.runs(spark, d).select(F.col("id").alias("run_id"), F.lit("new").alias("reasoning"),
                                       F.explode(F.array(*map(F.lit, schema.PROFILE_WEIGHTS))).alias("profile"))
-    decided = D.decide(metrics, profiles, spark.read.parquet(path), prompt_id=7, justifications=prose)
+    decided = D.decide(metrics, profiles, log, prompt_id=7, justifications=prose)
     return decided.select("run_id", "profile", "recommended_model", "confidence", "replayed", "reasoning", "created_at")
 
 
