@@ -102,6 +102,21 @@ def failed_calls(plan: DataFrame, results: DataFrame) -> DataFrame:
     return missing_calls(plan, results).groupBy("run_id").agg(F.count(F.lit(1)).alias("failed"))
 
 
+def failed_counts(requests: DataFrame, cases: DataFrame, results: DataFrame) -> DataFrame:
+    """``failed_calls`` without the plan: its size by arithmetic, less the calls of it that were answered.
+
+    The facts fold to different calls, which meet the requests and the cases, so the
+    work is that of the facts. One request per run and model, one row per case of a
+    data set.
+    """
+    answered = results.where("sample_idx >= 0").select("run_id", "model_id", "case_id", "sample_idx").distinct()
+    done = (answered.join(requests, ["run_id", "model_id"]).where("sample_idx < samples")
+            .join(cases.select("dataset", "case_id"), ["dataset", "case_id"])
+            .groupBy("run_id").agg(F.count(F.lit(1)).alias("_done")))
+    lost = F.col("n_planned") - F.coalesce("_done", F.lit(0))
+    return planned_counts(requests, cases).join(done, "run_id", "left").select("run_id", lost.alias("failed")).where("failed > 0")
+
+
 def call_inputs(plan: DataFrame, system: str | Column) -> DataFrame:
     """Plan rows with the text sent to the model."""
     system = F.lit(system) if isinstance(system, str) else system

@@ -10,7 +10,6 @@ from gradeloom.functions.text import content_hash
 from gradeloom.operators import cases as C
 from gradeloom.operators import catalog as K
 from gradeloom.operators import decisions as D
-from gradeloom.operators import prompts as P
 from gradeloom.operators import rollups as R
 from gradeloom.operators import style as S
 from gradeloom.plans import boards as B
@@ -284,7 +283,7 @@ _SUMMARY = _PLAN.format(samples=8) + """, planned AS (SELECT run_id, count(*) AS
 
 def _summary(spark, d):
     asked, cases, results = requests(spark, d, 8), dataset_cases(spark, d), bed.results(spark, d)
-    return R.run_summary(C.planned_counts(asked, cases), results, C.failed_calls(C.call_plan(asked, cases), results))
+    return R.run_summary(C.planned_counts(asked, cases), results, C.failed_counts(asked, cases, results))
 
 
 @query("m14_run_summary", _SUMMARY + "SELECT * FROM summary")

@@ -101,6 +101,7 @@ def test_run_summary_and_status(spark):
     asked = spark.createDataFrame([(1, "d", 1, 2), (1, "d", 2, 2), (2, "d", 1, 1)], "run_id long, dataset string, model_id long, samples long")
     cases = spark.createDataFrame([("d", "a"), ("d", "b")], "dataset string, case_id string")
     r = results(spark, [{"model_id": m, "case_id": c, "sample_idx": s, "judge_score": 3} for m in (1, 2) for c in "ab" for s in (0, 1)][:7])
+    assert rows(C.failed_counts(asked, cases, r)) == rows(C.failed_calls(C.call_plan(asked, cases), r))
     summary = R.run_summary(C.planned_counts(asked, cases), r, C.failed_calls(C.call_plan(asked, cases), r))
     assert rows(summary, "run_id", "inserted", "failed", "avg_latency_ms") == [(1, 7, 1, 100.0), (2, 0, 2, 0.0)]
     plan = C.call_plan(asked, cases)
@@ -117,6 +118,7 @@ def test_a_row_stored_twice_hides_no_failure(spark):
     plan = C.call_plan(asked, cases)
     assert rows(plan, "model_id", "sample_idx") == [(1, 0), (1, 1)] and rows(C.planned_counts(asked, cases)) == [(1, 2)]
     r = results(spark, [{"case_id": "a"}, {"case_id": "a"}, {"case_id": "a"}])
+    assert rows(C.failed_counts(asked, cases, r)) == rows(C.failed_calls(plan, r))
     summary = R.run_summary(C.planned_counts(asked, cases), r, C.failed_calls(plan, r))
     assert rows(summary, "inserted", "failed") == [(3, 1)]
 
