@@ -138,7 +138,7 @@ def differing(left: Column, right: Column) -> Column:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
-                star_rounds: int = 3, margin: float = 0.2) -> DataFrame:
+                hubs: int = 3, margin: float = 0.2) -> DataFrame:
     """The group of near duplicates that every row belongs to.
 
     Two rows are linked if ``100 * shared shingles >= percent * shingles of
@@ -150,10 +150,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and kept. Other columns are not read; an empty table gives an empty one.
 
     Rows with equal sets fold into one representative first. In a bucket, every
-    member is compared with one hub, not with every other. Buckets whose members
-    are then still in different groups get other hubs, for ``star_rounds``
-    rounds. What remains apart is compared member by member, so no link is lost
-    to the choice of hubs. Pairs are ruled out by the sizes of the sets, by the
+    member is compared with ``hubs`` of the members, not with every other. Buckets
+    whose members are then still in different groups are compared member by
+    member, so no link is lost to the choice of hubs. Pairs are ruled out by the sizes of the sets, by the
     estimate from the packed bits (less than ``percent / 100 - margin``) and by
     the parity bits; in the last comparison that happens inside the join, which
     so emits little more than links between groups.
@@ -195,33 +194,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return (pairs.join(left, "a").join(right, "b")
                 .where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b"))
 
-    found, parts, open_rows = [], None, members.withColumn("comp", F.col("rep"))
-    for i in range(star_rounds + 1):
-        apart = (open_rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                              F.min_by("rep", F.xxhash64("rep", F.lit(i)) if i else F.col("rep")).alias("hub"))
-                 .where("lo <> hi").select("key", "hub"))
-        if i < star_rounds:
-            hubs = apart.join(open_rows.select(F.col("rep").alias("hub"), "key", F.col("comp").alias("hub_comp")), ["key", "hub"])
-            pairs = (open_rows.join(hubs, "key").where("comp <> hub_comp")
-                     .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
-            pairs = close(pairs)
-        else:
-            rest = open_rows.join(apart.select("key"), "key", "left_semi").join(bits, "rep")
-            rest = stored(rest, "rest")
-            x, y = rest.alias("x"), rest.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-                           & possible("x.n_shingles", "y.n_shingles", "x.bits", "y.bits", "x.odd", "y.odd"))
-            pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        links = stored(confirmed(pairs), "confirmed")
-        if links.limit(1).count() == 0:
-            continue
-        found.append(links)
-        parts = components(reduce(DataFrame.union, found))
-        open_rows = (members.join(parts, members.rep == parts.node, "left")
-                     .select("rep", "key", F.coalesce("component", "rep").alias("comp")))
-
-    grouped = classes if parts is None else classes.join(parts, classes.rep == parts.node, "left")
-    of_class = grouped.select("n_shingles", "p0", "p1", F.col("rep" if parts is None else "component").alias("component"), "rep")
+    # First every member meets the hubs of its buckets: the smallest one and others at random.
+    picks = [F.min_by("rep", F.xxhash64("rep", F.lit(i)) if i else F.col("rep")) for i in range(hubs)]
+    stars = members.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("hub")).select("key", F.explode("hub").alias("hub"))
+    pairs = (members.join(stars, "key").where("rep <> hub")
+             .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
+    links = stored(confirmed(close(pairs)), "confirmed")
+    parts = stored(components(links), "parts")
+    # Then buckets that hold several groups are compared member by member, but for members of one group.
+    grouped_members = members.join(parts, members.rep == parts.node, "left").select("rep", "key", F.coalesce("component", "rep").alias("comp"))
+    apart = grouped_members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = stored(grouped_members.join(apart, "key", "left_semi").join(bits, "rep"), "rest")
+    x, y = rest.alias("x"), rest.alias("y")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+                    & possible("x.n_shingles", "y.n_shingles", "x.bits", "y.bits", "x.odd", "y.odd"))
+    more = stored(confirmed(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()), "confirmed")
+    if not more.isEmpty():
+        # Only the groups that new links join are labelled again.
+        label = {c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group")) for c in "ab"}
+        joined = more.join(label["a"], "a", "left").join(label["b"], "b", "left").select(
+            F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
+        merged = components(joined).select(F.col("node").alias("group"), F.col("component").alias("to"))
+        alone = merged.select(F.col("group").alias("node"), F.col("group").alias("component")).join(parts.select("node"), "node", "left_anti")
+        known = parts.union(alone)
+        parts = known.join(merged, known.component == merged.group, "left").select("node", F.coalesce("to", "component").alias("component"))
+
+    grouped = classes.join(parts, classes.rep == parts.node, "left")
+    of_class = grouped.select("n_shingles", "p0", "p1", "component", "rep")
     rows = sketch.select("doc_id", "n_shingles", "p0", "p1").join(of_class, ["n_shingles", "p0", "p1"], "left")
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
