@@ -1,14 +1,17 @@
 """Exact, near and substring deduplication against plain code."""
 
 import hashlib
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gradeloom.llm.exact_dedup import drop_exact, exact_groups
 from gradeloom.llm.graph import components
 from gradeloom.llm.minhash_dedup import drop_near, near_groups
-from gradeloom.llm.substring_dedup import cut_repeats, matching_spans, repeats
+from gradeloom.llm.substring_dedup import _of_several, cut_repeats, matching_spans, repeats
 from plain import DOCS, SF, frame, groups, repeated, shingles, words
 
 
@@ -58,6 +61,18 @@ def test_near_groups_equal_all_pairs(spark):
         assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_groups_join_chains_past_the_hubs(spark):
+    """Neighbours of a chain are linked, others are not: hubs alone do not join it."""
+    rng = random.Random(12)
+    own = sentence(rng, 700).split()
+    texts = [(i, " ".join(own[5 * i : 5 * i + 100])) for i in rng.sample(range(120), 120)]
+    sets = {i: shingles(t, 4) for i, t in texts}
+    want = groups(sets, 80)
+    assert len(set(want.values())) < 10
+    for hubs in (1, 3):
+        assert {r.doc_id: r.component_id for r in near_groups(frame(spark, texts), size=4, hubs=hubs).collect()} == want
+
+
 def test_near_groups_on_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sets = {r.doc_id: shingles(r.text, 4) for r in docs.collect()}
@@ -144,10 +159,66 @@ def test_repeats_find_passages_with_a_word_more_or_less(spark):
 
 
 
+def spans_of(pairs, t, similarity):
+    """matching_spans over (x, y, line) triples, per triple."""
+    column = lambda k: pa.array([np.asarray(p[k]).astype("<u4").tobytes() for p in pairs], pa.binary())
+    out = [[] for _ in pairs]
+    for i, *span, _, _ in zip(*matching_spans(column(0), column(1), np.array([p[2] for p in pairs]), t, similarity)):
+        out[i].append(tuple(int(v) for v in span))
+    return out
+
+
+def plain_spans(x, y, line, t, similarity):
+    place = []
+    for i, token in enumerate(x):
+        near = [j for j, other in enumerate(y) if other == token and abs(j - i - line) <= t]
+        place.append(min(near, key=lambda j: (abs(j - i - line), -j), default=None))
+    need = math.ceil(2 * t * similarity / (1 + similarity) - 1e-9)
+    covered = set()
+    if len(y) >= t:
+        for a in range(len(x) - t + 1):
+            if sum(p is not None for p in place[a : a + t]) >= need:
+                covered |= set(range(a, a + t))
+    out = []
+    for a in sorted(covered):
+        if a - 1 not in covered:
+            b = a
+            while b + 1 in covered:
+                b += 1
+            hits = [i for i in range(a, b + 1) if place[i] is not None]
+            out.append((hits[0], hits[-1], place[hits[0]]))
+    return out
+
+
 def test_matching_spans_follow_the_line():
-    import numpy as np
+    x = np.arange(100, 200)
+    y = np.concatenate([np.arange(5), x[20:90]])
+    assert spans_of([(x, y, 5 - 20), (x, y[:30], 5 - 20), (x, [], 0), ([], y, 0)], 46, 0.8) == [[(20, 89, 5)], [], [], []]
+    assert spans_of([], 46, 0.8) == []
+
+
+def test_matching_spans_of_many_lines_equal_plain_code():
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(300):
+        x = [rng.randrange(rng.choice([3, 50, 2**32 - 1])) for _ in range(rng.randrange(60))]
+        y = [rng.randrange(9) for _ in range(rng.randrange(20))] + [t if rng.random() < 0.9 else rng.randrange(99) for t in x[rng.randrange(9):]]
+        if rng.random() < 0.5 and y:
+            y.insert(rng.randrange(len(y)), 7)
+        pairs.append((x, y, rng.randrange(-12, 20)))
+    for t in (5, 12):
+        want = [plain_spans(*p, t, 0.8) for p in pairs]
+        assert spans_of(pairs, t, 0.8) == want and sum(map(len, want)) > 60
+
+
+def test_keys_of_one_document_go_wherever_batches_are_cut():
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(40), rng.choice([1, 1, 1, 2, 3])) for _ in range(90))
+    rows += [(50, d) for d in (4, 4, 4, 4, 5)] + [(51, 4)] * 6 + [(52, 4)] * 3 + [(53, 1), (53, 2)]
+    want = [r for r in rows if len({d for k, d in rows if k == r[0]}) > 1]
+    for size in (1, 2, 3, 7, 1000):
+        batches = [pa.record_batch([pa.array([k for k, _ in part]), pa.array([d for _, d in part])], names=["key", "doc_id"])
+                   for part in (rows[i : i + size] for i in range(0, len(rows), size))]
+        got = [(k, d) for b in _of_several(iter(batches)) for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert got == want
 
-    x = np.arange(100, 200).astype(np.uint32)
-    y = np.concatenate([np.arange(5), x[20:90]]).astype(np.uint32)
-    assert matching_spans(x, y, 5 - 20, 46, 0.8) == [(20, 89, 5)]
-    assert matching_spans(x, y[:30], 5 - 20, 46, 0.8) == []
