@@ -49,7 +49,9 @@ def moments(y: str, x: str, name: str) -> list[Column]:
     of = lambda e, kind: f"sum(CASE WHEN {both} THEN cast({e} as {kind}) ELSE 0 END)"
     long = lambda e: f"cast({e} as bigint)"
     sums = {"n": f"count_if({both})", "x": of(x, "bigint"), "y": of(y, "bigint")}
-    sums |= {k: of(f"{long(a)} * {long(b)}", "decimal(20,0)") for k, a, b in (("xx", x, x), ("xy", x, y), ("yy", y, y))}
+    sums |= {"xx": of(f"{long(x)} * {long(x)}", "decimal(20,0)")}
+    # Scores are small: these sums fit a long, and one that does not is an error.
+    sums |= {k: of(f"{long(a)} * {long(y)}", "bigint") for k, a in (("xy", x), ("yy", y))}
     return [F.expr(f"{e} AS {name}_{k}") for k, e in sums.items()]
 
 
