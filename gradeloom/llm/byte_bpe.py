@@ -8,17 +8,21 @@ may stand side by side is decided by undoing their merges across the border: if
 an earlier merge would have crossed it, they may not.
 
 A corpus is cut where no piece can cross, every different chunk is encoded once
-per worker, and the tables of all new pieces grow together, a byte at a time, as
-array operations.
+per worker, and the tables of all new short pieces grow together, a byte at a time,
+as array operations. The tokens that the prefixes of a long piece end in come from
+one walk of an automaton over its bytes, and what is known of two tokens side by
+side is kept, so the work on a long piece grows with its bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -32,6 +36,8 @@ from gradeloom.llm.tokens import WordTable
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pieces of more bytes are encoded one by one.
 _TOGETHER = 48
+#: Pairs of tokens whose verdict is kept; with more, the table starts anew.
+_MAX_PAIRS = 1 << 20
 
 
 def _merge(data: bytes, ranks: dict[bytes, int], limit: int) -> list[bytes]:
@@ -74,17 +80,60 @@ class Vocabulary:
         keys = self.left[made] * n + self.right[made]
         order = np.argsort(keys)
         self._pairs, self._made = keys[order], made[order]
+        self.known: dict[int, bool] = {}
+        self.lengths = self.sizes.tolist()
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The token of every hash, or -1."""
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds all tokens in bytes written as Latin-1 letters."""
+        out = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            out.add_word(token.decode("latin-1"), rank)
+        out.make_automaton()
+        return out
+
+    @cached_property
+    def _merges(self) -> tuple[list[int], list[int], dict[int, int]]:
+        return self.left.tolist(), self.right.tolist(), dict(zip(self._pairs.tolist(), self._made.tolist()))
+
+    def find(self, data: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The token that the bytes [start, end) are, or -1."""
+        hashes = span_hashes(sums, starts, ends)
         out = np.full(len(hashes), -1, dtype=np.int64)
         maybe = np.flatnonzero(self._sieve[(hashes & np.uint64(0x3FFFFF)).astype(np.int64)])
         if len(maybe):
             at = np.minimum(np.searchsorted(self._hashes, hashes[maybe]), len(self._hashes) - 1)
-            hit = self._hashes[at] == hashes[maybe]
-            out[maybe[hit]] = self._order[at[hit]]
+            token = self._order[at]
+            sizes = self.sizes[token]
+            hit = np.flatnonzero((self._hashes[at] == hashes[maybe]) & (sizes == (ends - starts)[maybe]))
+            maybe, token, sizes = maybe[hit], token[hit], sizes[hit]
+            differs = data[ranges(starts[maybe], sizes)] != self.flat[ranges(self.starts[token], sizes)]
+            out[maybe] = token
+            if differs.any():
+                out[maybe[np.searchsorted(np.cumsum(sizes), np.flatnonzero(differs), side="right")]] = -1
         return out
 
+    def pair(self, first: int, second: int) -> bool:
+        """``may_follow`` of one pair of tokens, put among the ``known`` ones."""
+        if len(self.known) >= _MAX_PAIRS:
+            self.known.clear()
+        ok = self.known[first * len(self.bytes) + second] = self._stand_apart(first, second)
+        return ok
+
+    def _stand_apart(self, a: int, b: int) -> bool:
+        left, right, made = self._merges
+        n, limit = len(self.bytes), 1 << 40
+        while True:
+            if made.get(a * n + b, limit) < limit:
+                return False
+            whole_a, whole_b = right[a] == a, left[b] == b
+            if whole_a and whole_b:
+                return True
+            if whole_b or (a > b and not whole_a):
+                a, limit = right[a], a
+            else:
+                b, limit = left[b], b + 1
+
     def may_follow(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether the encoding of both tokens' bytes is the two tokens."""
         n = len(self.bytes)
@@ -112,20 +161,26 @@ class PrefixEncoding:
     """The table of one piece: append to it, edit it, read its tokens."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", []
+        self.vocabulary, self.data, self.last = vocabulary, b"", array("i")
         self.append(data)
 
     def append(self, more: bytes) -> None:
+        last, known, v = self.last, len(self.last), self.vocabulary
         self.data += more
-        v = self.vocabulary
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            sizes = range(1, min(end, v.longest) + 1)
-            found = [(k, t) for k in sizes if (t := v.ranks.get(self.data[end - k : end])) is not None]
-            before = np.array([self.last[end - k - 1] if end > k else -1 for k, _ in found])
-            tokens = np.array([t for _, t in found])
-            ok = before < 0
-            ok[~ok] = v.may_follow(before[~ok], tokens[~ok])
-            self.last.append(int(tokens[np.flatnonzero(ok)[0]]))
+        last.extend([-1] * len(more))
+        sizes, verdicts, n = v.lengths, v.known, len(v.bytes)
+        # A token that ends in the new bytes begins at most ``longest`` before them.
+        start = max(known - v.longest + 1, 0)
+        for at, token in v.automaton.iter(self.data[start:].decode("latin-1")):
+            end = start + at
+            if end < known or last[end] >= 0:
+                continue
+            before = end - sizes[token]
+            if before >= 0:
+                ok = verdicts.get(last[before] * n + token)
+                if not (v.pair(last[before], token) if ok is None else ok):
+                    continue
+            last[end] = token
 
     def replace(self, start: int, stop: int, with_: bytes) -> None:
         """Put other bytes in place of [start, stop); what is before stays encoded."""
@@ -149,7 +204,7 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarr
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     sums = running_sums(data)
-    whole = vocabulary.find(span_hashes(sums, starts, starts + sizes))
+    whole = vocabulary.find(data, sums, starts, starts + sizes)
     counts = np.where(whole >= 0, 1, 0)
     own: dict[int, list[int]] = {}
     rest = np.flatnonzero(whole < 0)
@@ -166,7 +221,7 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarr
         for size in range(1, min(end, vocabulary.longest) + 1):
             if not len(open_):
                 break
-            token = vocabulary.find(span_hashes(sums, s[open_] + end - size, s[open_] + end))
+            token = vocabulary.find(data, sums, s[open_] + end - size, s[open_] + end)
             fits = token >= 0
             if size < end:
                 there = np.flatnonzero(fits)

@@ -21,8 +21,8 @@ from gradeloom.llm.common import LOWER, _SPACE, ranges, running_sums, runs_of, s
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
-#: Different words kept per worker; with more, the worker starts a new table.
-MAX_WORDS = 600_000
+#: Different words and their bytes kept per worker; with more, the worker starts a new table.
+MAX_WORDS, MAX_BYTES = 600_000, 64 << 20
 #: What the file's own splitting rule reads as one unit (fixed value).
 _UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _MARK = np.zeros(256, dtype=bool)
@@ -33,7 +33,11 @@ _PLAIN = regex.compile("[!-~¡-¬®-įı-ɏ]*")
 
 
 class WordTable:
-    """Ids of the words met so far, end to end."""
+    """Ids of the words met so far, end to end, and the words' bytes.
+
+    Words are looked up by hash and then compared byte by byte with the word that
+    the table has under it; words that share a hash are told apart by their bytes.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self._encode = encode
@@ -41,12 +45,27 @@ class WordTable:
 
     def _clear(self) -> None:
         self._number: dict[int, int] = {}
+        self._others: dict[bytes, int] = {}
         self._ids, self._starts, self._counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._bytes, self._begins, self._sizes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of new words."""
+        ids, counts = self._encode(words)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        numbers = np.arange(len(self._counts), len(self._counts) + len(words))
+        self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(counts) - counts])
+        self._counts = np.concatenate([self._counts, counts])
+        self._ids = np.concatenate([self._ids, ids])
+        self._begins = np.concatenate([self._begins, len(self._bytes) + np.cumsum(sizes) - sizes])
+        self._sizes = np.concatenate([self._sizes, sizes])
+        self._bytes = np.concatenate([self._bytes, np.frombuffer(b"".join(words), dtype=np.uint8)])
+        return numbers
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words [start, end) one after the other, and the number of each."""
         codes, unique = pd.factorize(hashes)
-        if len(self._number) + len(unique) > MAX_WORDS:
+        if len(self._counts) + len(unique) > MAX_WORDS or len(self._bytes) > MAX_BYTES:
             self._clear()
         number = self._number
         at = np.array([number.get(h, -1) for h in unique.tolist()], dtype=np.int64)
@@ -55,16 +74,28 @@ class WordTable:
             first = np.empty(len(unique), dtype=np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             text = data.tobytes()
-            ids, counts = self._encode([text[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            at[new] = np.arange(len(number), len(number) + len(new))
+            at[new] = self._add([text[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             number.update(zip(unique[new].tolist(), at[new].tolist()))
-            self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(counts) - counts])
-            self._counts = np.concatenate([self._counts, counts])
-            self._ids = np.concatenate([self._ids, ids])
         words = at[codes]
+        self._tell_apart(data, starts, ends, words)
         counts = self._counts[words]
         return self._ids[ranges(self._starts[words], counts)], counts
 
+    def _tell_apart(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> None:
+        """Give words whose bytes are not those of their number the number of their own."""
+        sizes = ends - starts
+        other = sizes != self._sizes[words]
+        same = np.flatnonzero(~other)
+        differs = data[ranges(starts[same], sizes[same])] != self._bytes[ranges(self._begins[words[same]], sizes[same])]
+        if differs.any():
+            other[same[np.searchsorted(np.cumsum(sizes[same]), np.flatnonzero(differs), side="right")]] = True
+        if other.any():
+            own = [data[starts[i] : ends[i]].tobytes() for i in np.flatnonzero(other).tolist()]
+            fresh = [w for w in dict.fromkeys(own) if w not in self._others]
+            if fresh:
+                self._others.update(zip(fresh, self._add(fresh).tolist()))
+            words[other] = [self._others[w] for w in own]
+
 
 def _byte_letters() -> dict[int, int]:
     """The letters that byte-level files write for bytes: a rule of the file format."""

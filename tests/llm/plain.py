@@ -6,6 +6,17 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
 
 
+def _twins(doublings=10):
+    """Two words whose hashes by any polynomial modulo a power of two are equal."""
+    one, two = "a", "b"
+    for _ in range(doublings):
+        one, two = one + two, two + one
+    return one, two
+
+
+TWINS = _twins()
+
+
 def frame(spark, texts, **extra):
     """A documents table of (id, text) pairs."""
     return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in texts], DOCS)

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from gradeloom.llm import byte_bpe, packing, token_store, tokens
 from gradeloom.session import scratch_path
-from plain import DOCS, SF, frame
+from plain import DOCS, SF, TWINS, frame
 
 ODD = [None, "", " ", "\n\n  a\tb ", "ΣΟΦΟΣ Σ", "a<|endoftext|>b c", "naïve café ½ x² İstanbul", "it's I'LL don't 'tis  's", "日本語 テキスト　x y", "x́ éa",
        "a\x00 b \x1c c\x1f d", "a" * 300, "=-=-" * 40, "👍🏽👩‍👩‍👧 ok", "    def f(x):\n        return x  \n\n\n", "word " * 5000, "Hello, World. ABC def ghi"]
@@ -99,6 +99,19 @@ def test_byte_bpe(spark):
     assert byte_bpe.byte_bpe(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_words_of_equal_hash_keep_their_own_ids(order):
+    """The table compares bytes: hashes that all collide change nothing."""
+    table = tokens.WordTable(lambda words: (np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32), np.array([len(w) for w in words])))
+    own = [b"ab", b"ba", b"ab", b"abc", b"", b"ba", b"b"][::order]
+    data = np.frombuffer(b"".join(own) or b"", dtype=np.uint8)
+    ends = np.cumsum([len(w) for w in own])
+    starts = ends - [len(w) for w in own]
+    for _ in range(2):
+        ids, counts = table.encode(data, starts, ends, np.zeros(len(own), dtype=np.uint64))
+        assert bytes(ids.astype(np.uint8)) == data.tobytes() and counts.tolist() == [len(w) for w in own]
+
+
 VOCABULARY = byte_bpe.Vocabulary(byte_bpe.BYTE_BPE)
 
 
@@ -122,3 +135,21 @@ def test_appending_and_editing_a_piece(text, a, b, new):
     start, stop = sorted((min(a, len(data)), min(b, len(data))))
     table.replace(start, stop, new.encode())
     assert table.tokens() == BYTES.encode_ordinary(text[:start] + new + text[stop:])
+
+
+@pytest.mark.parametrize("letters", ["-", "a", "=-", "abcdefghijklmnopqrstuvwxyz", "the ing er".split(), [chr(c) for c in range(0x4E00, 0x5200)]])
+def test_long_pieces(letters):
+    """A piece of a megabyte takes seconds, and its encoding is the library's."""
+    rng = np.random.RandomState(2)
+
+    def text(n):
+        return "".join(letters[i] for i in rng.randint(0, len(letters), n))
+
+    for n in (49, 500, 20_000):
+        piece = text(n)
+        raw = np.frombuffer(piece.encode(), dtype=np.uint8)
+        assert byte_bpe.encode_texts(raw, np.array([0, len(raw)]))[0].tolist() == BYTES.encode_ordinary(piece)
+    long = text(300_000)
+    table = byte_bpe.PrefixEncoding(VOCABULARY, long.encode())
+    assert b"".join(VOCABULARY.bytes[t] for t in table.tokens()) == long.encode()
+    assert table.tokens(len(long[:2000].encode())) == byte_bpe.PrefixEncoding(VOCABULARY, long[:2000].encode()).tokens()
