@@ -1,17 +1,23 @@
 """Toxicity by a factorization machine over hashed terms.
 
 The terms of a text are its words and their beginnings of four, five and six
-bytes, each present or not. The score is ``sigmoid(b + sum w_i + sum_{i<j}
-<v_i, v_j>)`` over the terms present: the second sum learns which terms are worse
-together, such as an insult with a group's name, or harmless together.
-
-Only terms whose presence depends on the label take part. Their counts are taken
-over the training rows as a distributed aggregation; what reaches the driver is
-the list of chosen terms and, per training row, the numbers of its chosen terms.
+bytes, each present or not. A term's hash is its place in a table of weights and
+factors. The score is ``sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)`` over the
+places present: the second sum learns which terms are worse together, such as an
+insult with a group's name, or harmless together.
+
+No term is left out for what it says by itself; only places that few training
+rows have stay zero. Instead the fit shrinks weights and factors: each step takes
+off what a term without any meaning would gain by chance, so a long text does not
+collect the noise of its many terms. A pair of words that are balanced over the
+labels each, and tell together, is learned.
+
+What reaches the driver is, per training row, the places of its terms.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -24,8 +30,9 @@ from pyspark.sql import types as T
 
 from gradeloom.llm.common import LOWER, blocks, mix64, running_sums, runs_of, span_hashes, text_buffers
 
-#: Bounds of the fit: labelled rows, chosen terms. They are the only limits, and hold for the fit alone.
-MAX_ROWS, MAX_TERMS, MIN_ROWS_WITH_TERM, RANK = 20_000, 4096, 3, 4
+#: Bounds of the fit: labelled rows, and terms of one of them. They are the only limits, and hold for the fit alone.
+MAX_ROWS, MAX_TERMS = 20_000, 4096
+TABLE, MIN_ROWS_WITH_TERM, RANK = 1 << 18, 3, 4
 _BEGINNINGS = (4, 5, 6)
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -33,22 +40,29 @@ _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 
 @dataclass
 class FactorizationMachine:
-    """Sorted hashes of the chosen terms, their weights and factors, and the bias."""
+    """The bias, and the weight and the factors of every place of the table."""
 
-    terms: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
 
+    def used(self) -> np.ndarray:
+        """The places whose terms count."""
+        return (self.weights != 0) | (self.factors != 0).any(axis=1)
+
     def scores(self, rows: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
         """Scores of ``n`` texts; (rows[i], terms[i]) says that a text has a term."""
-        raw = self.bias + np.bincount(rows, weights=self.weights[terms], minlength=n)
-        for k in range(self.factors.shape[1]):
-            v = self.factors[terms, k]
-            raw += 0.5 * (np.bincount(rows, weights=v, minlength=n) ** 2 - np.bincount(rows, weights=v * v, minlength=n))
+        raw = self.bias + np.bincount(rows, weights=self.weights[terms], minlength=n) + _pair_sums(rows, self.factors[terms], n)[1]
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
+def _pair_sums(rows: np.ndarray, factors: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the sum of its terms' factors and that of their products in pairs."""
+    total = np.stack([np.bincount(rows, weights=factors[:, k], minlength=n) for k in range(factors.shape[1])], axis=1)
+    squares = np.bincount(rows, weights=(factors**2).sum(axis=1), minlength=n)
+    return total, 0.5 * ((total**2).sum(axis=1) - squares)
+
+
 def term_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The terms of consecutive texts, with repeats, and the texts they are in."""
     data = LOWER[raw[bounds[0] : bounds[-1]]]
@@ -65,126 +79,126 @@ def term_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def chosen_terms(raw: np.ndarray, bounds: np.ndarray, terms: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the sorted ``terms`` each text has: distinct (text, number) pairs.
-
-    ``sieve`` has a bit for the low 20 bits of every term and spares most
-    look-ups.
-    """
+def places(raw: np.ndarray, bounds: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the texts' terms, those ``used`` only: distinct (text, place) pairs."""
     hashes, owner = term_hashes(raw, bounds)
-    maybe = sieve[(hashes & np.uint64(0xFFFFF)).astype(np.int64)]
-    hashes, owner = hashes[maybe], owner[maybe]
-    if not len(terms) or not len(hashes):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-    hit = terms[at] == hashes
-    both = np.unique(owner[hit] * len(terms) + at[hit])
-    return both // len(terms), both % len(terms)
+    at = (hashes & np.uint64(TABLE - 1)).astype(np.int64)
+    if used is not None:
+        owner, at = owner[used[at]], at[used[at]]
+    both = np.unique(owner * TABLE + at)
+    return both // TABLE, both % TABLE
 
 
-def sieve_of(terms: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << 20, dtype=bool)
-    out[(terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
-    return out
+def _drawn(at: np.ndarray, most: int) -> np.ndarray:
+    """``most`` of a text's places, by a hash that differs from text to text."""
+    if len(at) <= most:
+        return at
+    salt = mix64(at.astype(np.uint64)).sum(dtype=np.uint64)
+    return np.sort(at[np.argsort(mix64(at.astype(np.uint64) + salt), kind="stable")[:most]])
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _term_lists(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, bounds = text_buffers(batch.column(0))
-        label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for a, b in blocks(bounds):
-            hashes, owner = term_hashes(raw, bounds[a : b + 1])
-            order = np.lexsort((hashes, owner))
-            hashes, owner = hashes[order], owner[order]
-            new = np.ones(len(hashes), dtype=bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-            terms, at = np.unique(hashes[new], return_inverse=True)
-            toxic = np.bincount(at, weights=label[a:b][owner[new]], minlength=len(terms)).astype(np.int64)
+            rows, at = places(raw, bounds[a : b + 1])
+            lists = [_drawn(x, most) for x in np.split(at, np.searchsorted(rows, np.arange(1, b - a)))]
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(terms.view(np.int64)), pa.array(np.bincount(at, minlength=len(terms))), pa.array(toxic)], names=["term", "n", "toxic"])
+                [batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(np.int32)))],
+                names=["toxic", "terms"])
 
 
-def _term_lists(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
-    sieve = sieve_of(terms)
-    for batch in batches:
-        raw, bounds = text_buffers(batch.column(0))
-        for a, b in blocks(bounds):
-            rows, at = chosen_terms(raw, bounds[a : b + 1], terms, sieve)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)), pa.array(at.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), lists], names=["toxic", "terms"])
+def _fit(lists: list[np.ndarray], labels: np.ndarray, epochs: int, shrink: float, seed: int, size: int = 128) -> FactorizationMachine:
+    """Minimise the logistic loss by AdaGrad over mini-batches, with shrinkage.
 
-
-def _fit(lists: list[np.ndarray], labels: np.ndarray, n_terms: int, epochs: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Minimise the logistic loss by AdaGrad over mini-batches."""
+    A term of ``n`` rows that has nothing to do with the label has a gradient of
+    about ``sqrt(n p (1 - p))`` over all rows, and its factors as much times the
+    sums they meet. Steps of less than ``shrink`` times that leave zero.
+    """
     rng = np.random.RandomState(seed)
-    rate = float(np.clip(labels.mean(), 0.001, 0.999))
-    bias, w = np.log(rate / (1 - rate)), np.zeros(n_terms)
-    v = rng.normal(0, 0.02, size=(n_terms, RANK))
-    gb, gw, gv = 1e-6, np.full(n_terms, 1e-6), np.full(v.shape, 1e-6)
+    with_term = np.zeros(TABLE, dtype=np.int64)
+    for x in lists:
+        with_term[x] += 1
+    lists = [x[with_term[x] >= MIN_ROWS_WITH_TERM] for x in lists]
+    rate, steps = float(labels.mean()), -(-len(labels) // size)
+    # Shrinkage acts on the batches that have the term, so it is more in each of fewer.
+    share = 1 - (1 - 1 / steps) ** np.maximum(with_term, 1)
+    chance = shrink * np.sqrt(with_term * rate * (1 - rate)) / len(labels) / share
+    bias, w = np.log(rate / (1 - rate)), np.zeros(TABLE)
+    v = rng.normal(0, 0.02, size=(TABLE, RANK)) * (with_term >= MIN_ROWS_WITH_TERM)[:, None]
+    gb, gw, gv = 1e-6, np.full(TABLE, 1e-6), np.full(TABLE, 1e-6)
     for epoch in range(epochs):
         step = 0.2 / (1 + 0.3 * epoch)
         order = rng.permutation(len(labels))
-        for start in range(0, len(order), 128):
-            some = order[start : start + 128]
-            at = np.concatenate([lists[i] for i in some])
+        for start in range(0, len(order), size):
+            some = order[start : start + size]
+            at, inverse = np.unique(np.concatenate([lists[i] for i in some]), return_inverse=True)
             row = np.repeat(np.arange(len(some)), [len(lists[i]) for i in some])
-            total = np.zeros((len(some), RANK))
-            np.add.at(total, row, v[at])
-            squares = np.bincount(row, weights=(v[at] ** 2).sum(1), minlength=len(some))
-            raw = bias + np.bincount(row, weights=w[at], minlength=len(some)) + 0.5 * ((total**2).sum(1) - squares)
-            error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[some]
-            bias -= step * (g := error.mean()) / np.sqrt(gb := gb + g * g)
-            g = np.bincount(at, weights=error[row], minlength=n_terms) / len(some) + 1e-6 * w
-            gw += g * g
-            w -= step * g / np.sqrt(gw)
-            gradient = np.zeros_like(v)
-            np.add.at(gradient, at, error[row, None] * (total[row] - v[at]))
-            gradient = gradient / len(some) + 1e-5 * v
-            gv += gradient**2
-            v -= 0.2 * step * gradient / np.sqrt(gv)
-    return float(bias), w, v
-
-
-def train(docs: DataFrame, labels: DataFrame, epochs: int = 12, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, seed: int = 3) -> FactorizationMachine:
+            total, pairs = _pair_sums(row, v[at][inverse], len(some))
+            raw = bias + np.bincount(row, weights=w[at][inverse], minlength=len(some)) + pairs
+            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[some]) / len(some)
+            bias -= step * (g := error.sum()) / np.sqrt(gb := gb + g * g)
+            g = np.bincount(inverse, weights=error[row], minlength=len(at))
+            gw[at] += g * g
+            pace = step / np.sqrt(gw[at])
+            moved = w[at] - pace * g
+            w[at] = np.sign(moved) * np.maximum(np.abs(moved) - pace * chance[at], 0)
+            pull = error[:, None] * total
+            gradient = np.stack([np.bincount(inverse, weights=pull[row, k], minlength=len(at)) for k in range(RANK)], axis=1) - g[:, None] * v[at]
+            gv[at] += (gradient**2).mean(axis=1)
+            pace = 0.2 * step / np.sqrt(gv[at])
+            moved = v[at] - pace[:, None] * gradient
+            noise = pace * chance[at] * np.sqrt((total**2).sum(axis=1).mean())
+            v[at] = moved * np.maximum(1 - noise / (np.sqrt((moved**2).sum(axis=1)) + 1e-12), 0)[:, None]
+    return FactorizationMachine(float(bias), w.astype(np.float32), v.astype(np.float32))
+
+
+def _constant(n: int, positive: int) -> FactorizationMachine:
+    """The machine for rows of one label: about its share, half without rows."""
+    bias = float(np.log((positive + 0.5) / (n - positive + 0.5))) if n else 0.0
+    return FactorizationMachine(bias, np.zeros(TABLE, np.float32), np.zeros((TABLE, RANK), np.float32))
+
+
+def train(docs: DataFrame, labels: DataFrame, epochs: int = 10, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS,
+          shrink: float = 2.0, seed: int = 3) -> FactorizationMachine:
     """A machine fitted on the ``text`` of ``docs`` and the ``toxic`` (0 or 1) of ``labels``, by ``doc_id``.
 
     Null labels are left out; of several for one document the largest counts; a
     null text is an empty one. At most ``max_rows`` documents take part, those
     with the smallest hash of their id; only their ids and labels, of which there
-    are no more than that, are broadcast. With no rows at all, or no telling
-    term, the machine is its bias: half, or the share of label 1.
+    are no more than that, are broadcast. Of a text with more than ``max_terms``
+    different terms, so many at random teach. With no rows at all, or labels of
+    one kind, the machine is its bias: half, or about the share of label 1.
     """
     keys = (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select(F.col("text").cast("string").alias("text"), "toxic")
     totals = keys.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, positive = int(totals["n"]), int(totals["toxic"] or 0)
-    none = FactorizationMachine(np.zeros(0, np.uint64), 0.0 if not n else float(np.log((positive + 0.5) / (n - positive + 0.5))), np.zeros(0), np.zeros((0, RANK)))
     if positive in (0, n):
-        return none
-    counts = rows.mapInArrow(_count_terms, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    # Squared difference between found and expected label-1 rows, in its variance.
-    rate = positive / n
-    gain = F.pow(F.col("toxic") - F.col("n") * rate, 2) / (F.col("n") * rate * (1 - rate))
-    best = (counts.where(F.col("n") >= MIN_ROWS_WITH_TERM).withColumn("gain", gain).where("gain > 10")
-            .orderBy(F.desc("gain"), "term").limit(max_terms).select("term").toArrow())
-    terms = np.sort(best["term"].to_numpy().astype(np.int64).view(np.uint64))
-    if not len(terms):
-        return none
-    found = rows.mapInArrow(partial(_term_lists, terms=terms), "toxic int, terms array<int>").toArrow()
+        return _constant(n, positive)
+    found = rows.mapInArrow(partial(_term_lists, most=max_terms), "toxic int, terms array<int>").toArrow()
+    lists, toxic = [], []
+    for batch in found.to_batches():
+        ends, at = batch["terms"].offsets.to_numpy(), batch["terms"].values.to_numpy()
+        lists += [at[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        toxic += batch["toxic"].to_pylist()
     # The order in which partitions arrive must not matter to the fit.
-    pairs = zip(found["toxic"].to_pylist(), (np.array(x, dtype=np.int64) for x in found["terms"].to_pylist()))
-    pairs = sorted(pairs, key=lambda x: (x[0], x[1].tobytes()))
-    return FactorizationMachine(terms, *_fit([x[1] for x in pairs], np.array([x[0] for x in pairs], dtype=float), len(terms), epochs, seed))
+    order = sorted(range(len(lists)), key=lambda i: (toxic[i], hashlib.sha256(lists[i].tobytes()).digest()))
+    marks = np.array([toxic[i] for i in order], dtype=float)
+    if not 0 < marks.sum() < len(marks):
+        return _constant(len(marks), int(marks.sum()))
+    return _fit([lists[i] for i in order], marks, epochs, shrink, seed)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: FactorizationMachine) -> Iterator[pa.RecordBatch]:
-    sieve = sieve_of(model.terms)
+    used = model.used()
     for batch in batches:
         raw, bounds = text_buffers(batch.column(batch.num_columns - 1))
         scores = [np.zeros(0)]
         for a, b in blocks(bounds):
-            scores.append(model.scores(*chosen_terms(raw, bounds[a : b + 1], model.terms, sieve), b - a))
+            scores.append(model.scores(*places(raw, bounds[a : b + 1], used), b - a))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*batch.schema.names, "score"])
 
 

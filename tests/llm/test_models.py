@@ -1,6 +1,7 @@
 """Language identification, toxicity and main-text extraction."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -66,6 +67,51 @@ def test_machine_learns_a_pair(spark):
     assert {(r.doc_id, r.score) for r in kept.collect()} == {(1, 9), (4, 9)}
 
 
+def test_machine_learns_a_pair_of_balanced_words(spark):
+    """The label is one if a text has exactly one of two words; neither tells anything alone."""
+    rng = random.Random(4)
+
+    def text(a, b):
+        own = [f"w{rng.randrange(30)}" for _ in range(6)] + ["clod"] * a + ["folk"] * b
+        rng.shuffle(own)
+        return " ".join(own)
+
+    marks = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(4000)]
+    docs = frame(spark, [(i, text(a, b)) for i, (a, b) in enumerate(marks)])
+    labels = spark.createDataFrame([(i, int(a != b)) for i, (a, b) in enumerate(marks) if i < 3000], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.score_ids(docs, toxicity.train(docs, labels)).collect()}
+    assert np.mean([(score[i] >= 0.5) == (marks[i][0] != marks[i][1]) for i in range(3000, 4000)]) > 0.9
+
+
+def test_machine_scores_are_the_sum_over_pairs(spark):
+    """The scores of odd texts against the formula, pair by pair; repeated rows score alike."""
+    rng = np.random.RandomState(8)
+    model = toxicity.FactorizationMachine(-0.5, rng.normal(0, 0.3, toxicity.TABLE).astype(np.float32), rng.normal(0, 0.3, (toxicity.TABLE, toxicity.RANK)).astype(np.float32))
+    texts = [None, "", "Clod folk", "clod, FOLK clod", "idiotic İstanbul naïve 12", "a b " * 50_000 + "c", "clod, FOLK clod"]
+
+    def plain(text):
+        words = [w for w in re.split(rb"[^0-9A-Za-z\x80-\xff]+", (text or "").encode()) if w]
+        raw = np.frombuffer(b" ".join(words), dtype=np.uint8)
+        own = sorted(set(toxicity.places(raw, np.array([0, len(raw)]))[1].tolist()))
+        z = model.bias + sum(float(model.weights[i]) for i in own)
+        z += sum(float(model.factors[i].astype(float) @ model.factors[j].astype(float)) for n, i in enumerate(own) for j in own[n + 1 :])
+        return 1 / (1 + np.exp(-z))
+
+    got = {r.doc_id: r.score for r in toxicity.score_ids(frame(spark, list(enumerate(texts))), model).collect()}
+    assert all(abs(got[i] - plain(t)) < 1e-5 for i, t in enumerate(texts)) and got[3] == got[6] and abs(got[2] - got[3]) < 1e-9
+
+
+def test_long_texts_teach_with_drawn_terms(spark):
+    texts = [(i, " ".join(f"x{i}y{k}" for k in range(300)) + (" clod" if i % 2 else " fine")) for i in range(40)]
+    docs, labels = frame(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert len(toxicity._drawn(np.arange(1000), 64)) == 64 and toxicity._drawn(np.arange(10), 64).tolist() == list(range(10))
+    assert not np.array_equal(toxicity._drawn(np.arange(1000), 64), toxicity._drawn(np.arange(1, 1001), 64))
+    for most in (64, 4096):
+        model = toxicity.train(docs.repartition(3), labels, max_terms=most)
+        again = toxicity.train(docs.repartition(7), labels, max_terms=most)
+        assert model.bias == again.bias and np.array_equal(model.weights, again.weights) and np.array_equal(model.factors, again.factors)
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
