@@ -44,6 +44,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Of every byte at the first 64 places of a word; those beyond are computed when met.
+_PLACE_CODES = mix64(mix64(np.arange(64 * 256, dtype=np.uint64) * _ODD) + _ODD)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text or binary column and the offsets of its values; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -101,6 +105,24 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words [start, end), which do not overlap.
+
+    Every byte counts with a random value of its own for every place in the word,
+    so unlike the hashes of spans these have no algebra by which words collide.
+    """
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
+    code = data[place + np.repeat(starts, sizes)].astype(np.int64) + 256 * place
+    values = _PLACE_CODES[np.minimum(code, len(_PLACE_CODES) - 1)]
+    far = np.flatnonzero(code >= len(_PLACE_CODES))
+    values[far] = mix64(mix64(code[far].astype(np.uint64) * _ODD) + _ODD)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return mix64(sums[before + sizes] - sums[before] + sizes.astype(np.uint64) * _ODD)
+
+
 def runs_of(kept: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of ``True``; runs end at the cuts between texts."""
     first = kept.copy()
@@ -123,7 +145,7 @@ def words_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     data = LOWER[raw[bounds[0] : bounds[-1]]]
     cuts = bounds - bounds[0]
     starts, ends = runs_of(~_SPACE[data], cuts)
-    return data, starts, ends, span_hashes(running_sums(data), starts, ends), np.searchsorted(starts, cuts)
+    return data, starts, ends, word_hashes(data, starts, ends), np.searchsorted(starts, cuts)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

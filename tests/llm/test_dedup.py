@@ -12,7 +12,7 @@ from gradeloom.llm.exact_dedup import drop_exact, exact_groups
 from gradeloom.llm.graph import components
 from gradeloom.llm.minhash_dedup import drop_near, near_groups
 from gradeloom.llm.substring_dedup import _of_several, cut_repeats, matching_spans, repeats
-from plain import DOCS, SF, frame, groups, repeated, shingles, words
+from plain import DOCS, SF, TWINS, frame, groups, repeated, shingles, words
 
 
 def sentence(rng, n):
@@ -61,6 +61,15 @@ def test_near_groups_equal_all_pairs(spark):
         assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_words_made_to_collide_link_nothing(spark):
+    """Two words whose polynomial hashes are equal are two words."""
+    rng = random.Random(6)
+    own = [TWINS[0] if rng.random() < 0.5 else "q" + str(i) for i in range(60)]
+    texts = [(1, TWINS[0]), (2, TWINS[1]), (3, " ".join(own)), (4, " ".join(TWINS[1] if w == TWINS[0] else w for w in own)), (5, TWINS[0])]
+    assert {r.doc_id: r.component_id for r in near_groups(frame(spark, texts), size=4).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    assert repeats(frame(spark, texts[2:4])).count() == 0
+
+
 def test_near_groups_join_chains_past_the_hubs(spark):
     """Neighbours of a chain are linked, others are not: hubs alone do not join it."""
     rng = random.Random(12)
