@@ -33,6 +33,8 @@ from gradeloom.llm.common import LOWER, blocks, mix64, running_sums, runs_of, sp
 #: Bounds of the fit: labelled rows, and terms of one of them. They are the only limits, and hold for the fit alone.
 MAX_ROWS, MAX_TERMS = 20_000, 4096
 TABLE, MIN_ROWS_WITH_TERM, RANK = 1 << 18, 3, 4
+#: Steps of a fit at least: few rows are gone through more often.
+MIN_STEPS = 300
 _BEGINNINGS = (4, 5, 6)
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -128,8 +130,9 @@ def _fit(lists: list[np.ndarray], labels: np.ndarray, epochs: int, shrink: float
     bias, w = np.log(rate / (1 - rate)), np.zeros(TABLE)
     v = rng.normal(0, 0.02, size=(TABLE, RANK)) * (with_term >= MIN_ROWS_WITH_TERM)[:, None]
     gb, gw, gv = 1e-6, np.full(TABLE, 1e-6), np.full(TABLE, 1e-6)
-    for epoch in range(epochs):
-        step = 0.2 / (1 + 0.3 * epoch)
+    rounds = max(epochs, -(-MIN_STEPS // steps))
+    for epoch in range(rounds):
+        step = 0.2 / (1 + 0.3 * epoch * epochs / rounds)
         order = rng.permutation(len(labels))
         for start in range(0, len(order), size):
             some = order[start : start + size]
