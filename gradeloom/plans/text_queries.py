@@ -367,12 +367,17 @@ def live_metrics(spark, d):
 
 @query("s01_run_views", "SELECT * FROM mm")
 def run_views(spark, d):
-    """The results land in three files, a batch each; every batch touches every run."""
-    models, landed, out = bed.models(spark, d), scratch_path(spark, "landed"), scratch_path(spark, "views")
+    """The results land in three loads, a batch each; every batch touches every run.
+
+    A load is written by as many tasks as the table has, and the stream takes all its files as one batch.
+    """
+    models, landed, out, state = bed.models(spark, d), scratch_path(spark, "landed"), scratch_path(spark, "views"), scratch_path(spark, "views-state")
     rows = bed.results(spark, d)
-    rows.repartition(3).write.parquet(landed)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    live.start_run_views(stream, models, out, scratch_path(spark, "views-state"), runs_per_folder=50, once=True).awaitTermination()
+    load = F.pmod(F.xxhash64("latency_ms", "input_tokens", "created_at", "case_id", "sample_idx"), F.lit(3))
+    for i in range(3):
+        rows.where(load == i).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(rows.schema).parquet(landed)
+        live.start_run_views(stream, models, out, state, runs_per_folder=50, once=True).awaitTermination()
     return live.read_run_views(spark, out, models, rows)
 
 

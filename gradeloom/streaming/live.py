@@ -121,8 +121,12 @@ def read_board(spark: SparkSession, out: str) -> DataFrame:
 def facts_of_runs(spark: SparkSession, facts: str, schema: T.StructType, runs: list, runs_per_folder: int = 1) -> DataFrame:
     """All stored rows of some runs; only the folders of these runs are opened."""
     groups = list({None if r is None else r // runs_per_folder for r in runs})
+    return _facts_of_groups(spark, facts, schema, groups).where(_among("run_id", runs))
+
+
+def _facts_of_groups(spark: SparkSession, facts: str, schema: T.StructType, groups: list) -> DataFrame:
     held = spark.read.schema(_schema_with(schema, "run_group")).parquet(facts)
-    return held.where(_among("run_group", groups) & _among("run_id", runs)).select(*schema.fieldNames())
+    return held.where(_among("run_group", groups)).select(*schema.fieldNames())
 
 
 def start_run_views(stream: DataFrame, models: DataFrame, out: str, checkpoint: str, runs_per_folder: int = 1,
@@ -130,7 +134,8 @@ def start_run_views(stream: DataFrame, models: DataFrame, out: str, checkpoint:
     """Keep the model metrics on complete cases up to date under ``out``.
 
     Facts are stored by run (or by groups of small runs) and batch, and the metrics
-    of the runs of a batch are computed anew from the folders of these runs.
+    of the runs of a batch are computed anew from the folders of these runs. Of a batch
+    the driver learns the folders; its runs meet the facts in a join.
     """
     spark, schema, facts, metrics = stream.sparkSession, stream.schema, f"{out}/facts", f"{out}/model_metrics"
     _prepared(spark, facts, _schema_with(schema, "run_group", "batch_id"), "run_group", "batch_id")
@@ -138,15 +143,19 @@ def start_run_views(stream: DataFrame, models: DataFrame, out: str, checkpoint:
     _prepared(spark, metrics, _schema_with(kind, "run_group"), "run_group")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
         # A replayed batch overwrites its own folders.
         rows = _grouped(batch, runs_per_folder).withColumn("batch_id", F.lit(batch_id).cast("long"))
         _overwrite(rows, facts, "run_group", "batch_id")
-        runs = _values(batch, "run_id")
-        if runs:
-            touched = facts_of_runs(batch.sparkSession, facts, schema, runs, runs_per_folder)
-            _merge(model_metrics(touched, models), ["run_id"], metrics)
-        batch.unpersist()
+        # Of the batch only the runs are kept; the rest of it is in the folders.
+        runs = batch.select("run_id").distinct().persist()
+        groups = _values(_grouped(runs, runs_per_folder), "run_group")
+        if groups:
+            held, run = _facts_of_groups(batch.sparkSession, facts, schema, groups), runs.select(F.col("run_id").alias("_run"))
+            touched = held.join(run, F.col("run_id").eqNullSafe(F.col("_run")), "left_semi")
+            figures = model_metrics(touched, models).persist()
+            _merge(figures, ["run_id"], metrics)
+            figures.unpersist()
+        runs.unpersist()
 
     return _started(stream.writeStream.foreachBatch(write), checkpoint, once)
 
