@@ -203,3 +203,27 @@ def test_numbers_and_look_back_spread_a_hot_key(spark):
         assert [r.id for r in in_order] == list(range(6, n + 10))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_folder_of_many_runs(spark, tmp_path):
+    """Changes of some runs keep the others of their folder, and other folders keep their files."""
+    store, path = EvalStore(spark, str(tmp_path / "many"), 1000).create(), str(tmp_path / "snap")
+    store.append("runs", runs(spark, *[(i, "a" if i < 3 else "b", T0, None) for i in (1, 2, 3, 1500)]))
+    store.append("results", results(spark, [{"run_id": r, "id": 10 * (r or 0) + k} for r in (1, 2, 3, 1500, None) for k in (1, 2)]))
+    store.append("decisions", spark.createDataFrame([_decision(i, run) for i, run in enumerate((1, 3, None), 1)], schema.DECISIONS))
+    names, before = ("runs", "results", "decisions"), _files(store, "results")
+    assert set(before) == {"by_1000_runs=0", "by_1000_runs=1", "by_1000_runs=__HIVE_DEFAULT_PARTITION__"}
+    found = spark.createDataFrame([(2, 21, Decimal("4.5"), "good"), (900, 9, Decimal("1.0"), "no such run")],
+                                  "run_id long, id long, judge_score decimal(3,1), judge_reasoning string")
+    store.apply_verdicts(found)
+    assert rows(store.read("results").where("judge_score IS NOT NULL"), "run_id", "id") == [(2, 21)]
+    whole = _rows(store, *names)
+    store.export_dataset("a", path)
+    assert store.purge(run_id=1) == [1]
+    assert _rows(store, *names) == {n: [r for r in whole[n] if r[{"runs": 0, "results": 1, "decisions": -1}[n]] != 1] for n in names}
+    store.append("results", results(spark, [{"run_id": 2, "id": 99}]))
+    store.restore_dataset("a", path)
+    assert _rows(store, *names) == whole
+    assert {f for f, files in _files(store, "results").items() if files != before[f]} == {"by_1000_runs=0"}
+    with pytest.raises(ValueError, match="not replaced"):
+        store.replace("results", results(spark, [{"run_id": 1500}]), [0])
