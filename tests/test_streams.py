@@ -125,3 +125,19 @@ def test_alerts_do_not_depend_on_how_rows_are_batched(spark, tmp_path):
             _land(spark, paths[0], scores[a:b], i)
         found.append(_follow(spark, paths, threshold=2.5))
     assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_a_load_of_the_run_views_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from gradeloom.plans import text_queries
+
+    d, n = str(tmp_path / "tables"), 400
+    spark.createDataFrame([(i, f"N{i}", 0) for i in range(25)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{d}/nation.parquet")
+    spark.range(n).selectExpr(
+        "id AS l_orderkey", "id % 10 AS l_partkey", "id % 2 AS l_suppkey", "1 AS l_linenumber", "double(id % 50) AS l_quantity",
+        "double(id) AS l_extendedprice", "0.01D AS l_discount", "0.02D AS l_tax", "'A' AS l_returnflag", "'F' AS l_linestatus",
+        "timestamp_ntz'2024-01-01 00:00:00' AS l_shipdate").repartition(4).write.parquet(f"{d}/lineitem.parquet")
+    monkeypatch.setattr(text_queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    text_queries.run_views(spark, d)
+    assert len([*(tmp_path / "landed").glob("*.parquet")]) > 3  # one task per load wrote three
+    assert spark.read.parquet(str(tmp_path / "landed")).count() == n
+    assert len([*(tmp_path / "views-state" / "commits").glob("[0-9]")]) == 3
