@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from gradeloom.llm import substring_dedup
 from gradeloom.llm.exact_dedup import drop_exact, exact_groups
 from gradeloom.llm.graph import components
 from gradeloom.llm.minhash_dedup import drop_near, near_groups
@@ -148,6 +149,25 @@ def test_repeats_meet_members_that_are_settled(spark):
     assert all(covered[i] >= set(range(a, a + 50)) for i, starts in repeated(texts).items() for a in starts)
 
 
+def test_a_common_passage_in_many_surroundings_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common, n = words(70), 60
+    texts = [(i, " ".join([*words(40), *common, *words(40)])) for i in range(n)]
+    lines = []
+
+    def counted(df, name, real=substring_dedup.stored):
+        out = real(df, name)
+        if name.endswith("-lines"):
+            lines.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stored", counted)
+    found = {r.doc_id: (r.start_word, r.n_words, r.first_doc_id) for r in repeats(frame(spark, texts)).collect()}
+    assert len(found) == n - 1 and set(found.values()) == {(40, 70, 0)}
+    assert sum(lines) <= 4 * n  # before: some n * n / 2
+
+
 def test_repeats_miss_no_exact_passage(spark):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     covered = {i: set() for i, _ in texts}
