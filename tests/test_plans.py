@@ -2,8 +2,12 @@
 
 import re
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from gradeloom import schema
 from gradeloom.operators import catalog as K
 from gradeloom.operators import cases as C
 from gradeloom.operators import decisions as D
@@ -87,6 +91,36 @@ def bucketed(spark, tmp_path_factory):
     spark.sql("DROP TABLE plan_bucketed")
 
 
+def test_rows_travel_to_their_buckets_packed(spark, tmp_path):
+    keys = ["run_id", "case_id"]
+    rows = bed.single_samples(spark, SF).select(*[F.col(f.name).cast(f.dataType) for f in schema.RESULTS])
+    rows = rows.union(rows.limit(7)).union(rows.limit(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.RESULTS]))
+    dealt = tables.by_bucket(rows, 6, keys, ["model_id"])
+    assert dealt.schema.simpleString() == rows.schema.simpleString()
+    assert dealt.exceptAll(rows).count() == rows.exceptAll(dealt).count() == 0
+    assert dealt.where("spark_partition_id() <> pmod(hash(run_id, case_id), 6)").count() == 0
+    lines = plan_of(dealt).split("\n")
+    exchange = next(i for i, ln in enumerate(lines) if "Exchange" in ln)
+    assert "response" not in lines[exchange] and "MapInArrow" in lines[exchange + 1]
+    assert tables.by_bucket(rows.limit(0), 6, keys, ["model_id"]).count() == 0
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert tables.append_bucketed(rows, "plan_packed", str(tmp_path / "t"), 4).count() == rows.count()
+    spark.sql("DROP TABLE plan_packed")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    files = [pq.ParquetFile(f) for f in (tmp_path / "t").glob("part-*")]
+    assert len(files) == 4 and all(f.metadata.row_group(0).column(3).compression == "ZSTD" for f in files)
+
+
+def test_packs_hold_few_rows_and_lose_none():
+    rows = pa.record_batch({"_bucket": pa.array([2, 0, 2, 1, 0], pa.int32()), "k": [5, None, 1, 3, 3], "t": ["a", None, "", "d", "é"]})
+    kept = pa.schema(list(rows.schema)[1:])
+    for most in (1, 1 << 20):
+        packs = list(tables._pack(iter([rows, rows.slice(0, 0), rows.slice(1, 3)]), kept, ["_bucket", "k"], most))
+        assert [p.column(0).to_pylist() for p in packs] == ([[0, 1, 2]] * 2 if most == 1 else [[0, 1, 2]])
+        back = sorted((r["k"] or 0, r["t"] or "") for p in packs for b in tables._unpack(iter([p]), kept) for r in b.to_pylist())
+        assert back == [(0, ""), (0, ""), (1, ""), (1, ""), (3, "d"), (3, "d"), (3, "é"), (5, "a")]
+
+
 def _without_broadcasts(spark, df) -> str:
     """The plan as it is when the small sides are too large to be broadcast."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
